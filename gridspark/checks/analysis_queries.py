@@ -205,10 +205,10 @@ def _weighted(v: str, weights: tuple[list[int], int], start: int) -> str:
     return "(" + " + ".join(f"{c} * {at(start + i)}" for i, c in enumerate(weights[0])) + f") / CAST({weights[1]} AS DOUBLE)"
 
 
-def _savgol(v: str, keys: str) -> str:
+def _savgol(v: str, keys: str, digits: int = 6) -> str:
     cases = "".join(f"WHEN rn = {i + 1} THEN {_weighted(v, ENDS[i], -i)} " for i in range(3))
     cases += "".join(f"WHEN n - rn = {i} THEN {_weighted(v, (ENDS[i][0][::-1], ENDS[i][1]), i - 6)} " for i in range(3))
-    return f"round(CASE {cases} ELSE {_weighted(v, INNER, -3)} END, 6) AS {v}".replace("{keys}", keys)
+    return f"round(CASE {cases} ELSE {_weighted(v, INNER, -3)} END, {digits}) AS {v}".replace("{keys}", keys)
 
 
 NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY time) AS rn, count(*) OVER (PARTITION BY {k}) AS n FROM {s})"

@@ -308,7 +308,7 @@ def _box_mean(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 on_view("uf_2", "grid", lambda d: rounded(blocks.apply_overlap(
-    align.densify(d).select(*COORDS, F.coalesce("zsd", F.lit(0.0)).alias("zsd")), _box_mean, 4.0, 1.0), ["zsd"]), f"""
+    align.densify(d).select(*COORDS, F.coalesce("zsd", F.lit(0.0)).alias("zsd")), _box_mean, 6.0, 1.0), ["zsd"]), f"""
 WITH d AS (SELECT {POS}, COALESCE(zsd, 0.0) AS zsd FROM dense),
 o AS (SELECT unnest([-1.0, 0.0, 1.0]) AS o),
 y AS (SELECT min(lat) AS y0, max(lat) AS y1, min(lon) AS x0, max(lon) AS x1 FROM d)
@@ -351,8 +351,8 @@ def _clean_sql() -> str:
     scale = f"s AS (SELECT {POS}, pp, " + ", ".join(
         f"({v} - (SELECT avg({v}) FROM c)) / ((SELECT stddev_pop({v}) FROM c) + 1e-10) AS {v}" for v in SCALED) + " FROM c)"
     derived = "e AS (SELECT *, 0.5 * current_speed * current_speed AS current_energy FROM s)"
-    cols = ", ".join(_savgol(v, "lat, lon") for v in (*VARS, "current_energy"))
-    return (f"WITH {fill}, {clip}, {scale}, {derived} SELECT {POS}, {cols}, round(sin(2 * pi() * dayofyear(time) / 365.25), 6) AS season_sin FROM "
+    cols = ", ".join(_savgol(v, "lat, lon", 8 if v == "pp" else 5) for v in (*VARS, "current_energy"))
+    return (f"WITH {fill}, {clip}, {scale}, {derived} SELECT {POS}, {cols}, round(sin(2 * pi() * dayofyear(time) / 365.25), 5) AS season_sin FROM "
             + NUMBERED.format(k="lat, lon", s="e"))
 
 
@@ -364,7 +364,8 @@ def _cleaned(spark: SparkSession, folder: str) -> cleaning.Cleaned:
 @query("pipe_1", _clean_sql())
 def pipe_1(spark: SparkSession, folder: str) -> DataFrame:
     cols = (*VARS, "current_energy", "season_sin")
-    return rounded(_cleaned(spark, folder).data.select(*COORDS, *cols), cols)
+    out = _cleaned(spark, folder).data.select(*COORDS, *cols)
+    return rounded(rounded(out, [c for c in cols if c != "pp"], 5), ["pp"], 8)
 
 
 @query("pipe_2")

@@ -58,6 +58,14 @@ def as_scalar(df: DataFrame) -> Column:
     return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("s")).scalar()
 
 
+def bind(df: DataFrame, row: Column, name: str = "_row") -> tuple[DataFrame, Column]:
+    """``df`` with a scalar struct as column ``name``, and that column.
+
+    Expressions that use several fields then share one subquery; drop the column afterwards.
+    """
+    return df.withColumn(name, row), F.col(name)
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the plan's leaves as the optimizer sees them; None if unknown."""
     try:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, need, one_row, present
+from gridspark.functions.frames import COORDS, bind, need, one_row, present
 from gridspark.operators.text import name_contains, names_overlap
 
 
@@ -203,11 +203,11 @@ def fill_spatial_nearest(df: DataFrame, var: str, min_valid: int = 10) -> DataFr
             .select(*COORDS, F.pow(F.col("lon") - F.col("_p.lon"), F.lit(2)).alias("_d2"),
                     F.col("_p.lon").alias("_lon"), F.col("_p.v").alias("_v"),
                     F.col(var).isNull().alias("_gap")))
-    lons = one_row(df, lo=F.min("lon"), hi=F.max("lon"), n=F.count_distinct("lon"))
+    near, lons = bind(near, one_row(df, lo=F.min("lon"), hi=F.max("lon"), n=F.count_distinct("lon")))
     strips = F.ceil(lons["n"] / STRIP)
     strip = F.when(lons["hi"] > lons["lo"], F.floor(
         (F.col("lon") - lons["lo"]) / (lons["hi"] - lons["lo"]) * strips)).otherwise(F.lit(0))
-    near = near.withColumn("_strip", strip)
+    near = near.withColumn("_strip", strip).drop("_row")
     times = df.schema["time"].dataType.simpleString()
     filled = near.groupBy("time", "_strip").applyInPandas(
         _fill_strip, f"time {times}, lat double, lon double, _fill double")

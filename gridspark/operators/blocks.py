@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import CELL, COORDS, one_row
+from gridspark.functions.frames import CELL, COORDS, bind, one_row
 
 PandasFn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -54,13 +54,13 @@ def apply_overlap(df: DataFrame, fn: PandasFn, tile: float = 4.0, halo: float =
     """
     if halo > tile:
         raise ValueError("the halo must not be wider than a tile")
-    edges = one_row(df, y0=F.min("lat"), y1=F.max("lat"), x0=F.min("lon"), x1=F.max("lon"))
+    held, edges = bind(df, one_row(df, y0=F.min("lat"), y1=F.max("lat"), x0=F.min("lon"), x1=F.max("lon")))
     spots = [F.array_distinct(F.array(tile_of(d, tile), F.floor((F.col(d) - halo) / tile).cast("long"),
                                       F.floor((F.col(d) + halo) / tile).cast("long"))) for d in CELL]
     own = [tile_of(d, tile) for d in CELL]
-    copies = (df.withColumn("_ty", F.explode(spots[0])).withColumn("_tx", F.explode(spots[1]))
+    copies = (held.withColumn("_ty", F.explode(spots[0])).withColumn("_tx", F.explode(spots[1]))
               .withColumn("_core", (F.col("_ty") == own[0]) & (F.col("_tx") == own[1]))
-              .withColumns({f"_{k}": edges[k] for k in ("y0", "y1", "x0", "x1")}))
+              .withColumns({f"_{k}": edges[k] for k in ("y0", "y1", "x0", "x1")}).drop("_row"))
     names = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

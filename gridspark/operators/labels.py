@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import need, one_of, one_row
+from gridspark.functions.frames import bind, need, one_of, one_row
 from gridspark.functions.quantiles import percentile_row
 
 CLASSES = ("LOW", "MEDIUM", "HIGH")
@@ -53,21 +53,22 @@ def index_weights(cols: Sequence[str]) -> dict[str, float]:
 def pollution_index(df: DataFrame, cols: Sequence[str], out: str = "pollution_index") -> DataFrame:
     """Weighted sum of min-max scaled indicators; a constant column adds 0 and keeps its weight."""
     weights = index_weights(cols)
-    row = one_row(df, **{f"lo_{c}": F.min(c) for c in weights}, **{f"hi_{c}": F.max(c) for c in weights})
+    held, row = bind(df, one_row(df, **{f"lo_{c}": F.min(c) for c in weights},
+                                 **{f"hi_{c}": F.max(c) for c in weights}))
     total = F.lit(0.0)
     for c, w in weights.items():
         width = row[f"hi_{c}"] - row[f"lo_{c}"]
         total = total + F.when(width > 0, (F.col(c) - row[f"lo_{c}"]) / width * w).otherwise(F.lit(0.0))
-    return df.withColumn(out, total)
+    return held.withColumn(out, total).drop("_row")
 
 
 def label_by_percentile(df: DataFrame, var: str, low: float = 0.33, high: float = 0.66,
                         out: str = "label", limit: int | None = None) -> DataFrame:
     """0 up to the low percentile, 1 up to the high one, 2 above."""
-    cut = percentile_row(df, [var], [low, high], limit)
+    held, cut = bind(df, percentile_row(df, [var], [low, high], limit))
     v = F.col(var)
     label = F.when(v > cut[var][1], 2).when(v > cut[var][0], 1).when(v.isNotNull(), 0)
-    return df.withColumn(out, label.cast("int"))
+    return held.withColumn(out, label.cast("int")).drop("_row")
 
 
 def level(chl: Column, scheme: str = "api") -> Column:
@@ -125,8 +126,8 @@ def encode_labels(df: DataFrame, col: str = "level", out: str = "code",
         known = F.array(*[F.lit(x) for x in sorted(names)])
     else:
         known = df.agg(F.sort_array(F.collect_set(col))).scalar()
-    pos = F.array_position(known, F.col(col))
-    return df.withColumn(out, F.when(pos > 0, (pos - 1).cast("int")))
+    held, row = bind(df, F.array_position(known, F.col(col)))
+    return held.withColumn(out, F.when(row > 0, (row - 1).cast("int"))).drop("_row")
 
 
 def decode_labels(df: DataFrame, names: Sequence[str], col: str = "code", out: str = "level") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import CELL, need, one_row, over_series, present, time_number
+from gridspark.functions.frames import CELL, bind, need, one_row, over_series, present, time_number
 from gridspark.functions.quantiles import percentile_row
 from gridspark.operators.align import fill_spatial_nearest
 from gridspark.operators.series import in_blocks, next_valid, plain_next_valid
@@ -62,13 +62,13 @@ def interpolate_time(df: DataFrame, cols: Sequence[str], limit: int = LIMIT,
 
 
 def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    row = one_row(df, **{c: F.avg(c) for c in cols})
-    return df.withColumns({c: F.coalesce(F.col(c), row[c]) for c in cols})
+    held, row = bind(df, one_row(df, **{c: F.avg(c) for c in cols}))
+    return held.withColumns({c: F.coalesce(F.col(c), row[c]) for c in cols}).drop("_row")
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], limit_bytes: int | None = None) -> DataFrame:
-    row = percentile_row(df, cols, [0.5], limit_bytes)
-    return df.withColumns({c: F.coalesce(F.col(c), row[c][0]) for c in cols})
+    held, row = bind(df, percentile_row(df, cols, [0.5], limit_bytes))
+    return held.withColumns({c: F.coalesce(F.col(c), row[c][0]) for c in cols}).drop("_row")
 
 
 def fill_slice_mean(df: DataFrame, cols: Sequence[str], time: str = "time") -> DataFrame:

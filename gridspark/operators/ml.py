@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, one_row
+from gridspark.functions.frames import COORDS, bind, one_row
 from gridspark.operators.sampling import class_weights, folds
 
 log = logging.getLogger(__name__)
@@ -235,6 +235,7 @@ def bootstrap(df: DataFrame, value: Column | str, keys: Sequence[str], replicate
     q = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     point = one_row(rows, m=F.avg("v"), n=F.count("*"))
     out = means.agg(F.avg("m").alias("boot_mean"), F.stddev_samp("m").alias("std_error"), q.alias("q"))
+    out, point = bind(out, point)
     return out.select(point["m"].alias("mean"), point["n"].alias("samples"), "boot_mean", "std_error",
                       F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw, draw_cuts
-from gridspark.functions.frames import COORDS, as_scalar, one_row
+from gridspark.functions.frames import COORDS, as_scalar, bind, one_row
 from gridspark.operators.series import same
 
 
@@ -39,10 +39,11 @@ def split(df: DataFrame, keys: Sequence[str], test: float = 0.2, val: float = 0.
     ``keys`` identify a row.  Two thresholds on the draw decide, so the data is not shuffled.
     """
     n = F.col("n")
-    cuts = as_scalar(draw_cuts(df, seed, keys, {"test": _part(n, test), "val": _part(n, test) + _part(n, val)}))
+    cuts = draw_cuts(df, seed, keys, {"test": _part(n, test), "val": _part(n, test) + _part(n, val)})
+    held, cuts = bind(df, as_scalar(cuts))
     h = draw(seed, keys)
     name = F.when(h <= cuts["test"], "test").when(h <= cuts["val"], "val").otherwise("train")
-    return df.withColumn("split", name)
+    return held.withColumn("split", name).drop("_row")
 
 
 def split_stratified(df: DataFrame, label: str, keys: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -80,18 +81,18 @@ def folds(df: DataFrame, keys: Sequence[str], k: int = 5, label: str | None = No
             "d.*", *[f"s._c{i}" for i in range(k)])
         cut = lambda i: F.coalesce(F.col(f"_c{i}"), F.lit(""))
     else:
-        row = as_scalar(cuts)
-        rows, cut = df, lambda i: row[f"_c{i}"]
+        rows, row = bind(df, as_scalar(cuts))
+        cut = lambda i: row[f"_c{i}"]
     h = draw(seed, keys)
     number = F.lit(k - 1)
     for i in range(k - 2, -1, -1):
         number = F.when(h <= cut(i), i).otherwise(number)
-    return rows.withColumn(out, number.cast("int")).drop(*[f"_c{i}" for i in range(k)])
+    return rows.withColumn(out, number.cast("int")).drop("_row", *[f"_c{i}" for i in range(k)])
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_class) on every row."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
-    total = one_row(counts, n=F.sum("_n"), k=F.count("*"))
-    weights = counts.select(label, (total["n"] / (total["k"] * F.col("_n"))).alias(out))
+    held, total = bind(counts, one_row(counts, n=F.sum("_n"), k=F.count("*")))
+    weights = held.select(label, (total["n"] / (total["k"] * F.col("_n"))).alias(out))
     return df.join(weights, label, "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import as_scalar, one_of, one_row
+from gridspark.functions.frames import as_scalar, bind, one_of, one_row
 from gridspark.functions.quantiles import percentile_row
 
 METHODS = ("standard", "minmax", "robust", "log", "power")
@@ -20,13 +20,15 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "standard",
     one_of(method, METHODS, "scaling method")
     v = {c: F.col(c) for c in cols}
     if method == "standard":
-        row = one_row(df, **{f"m_{c}": F.avg(c) for c in cols}, **{f"s_{c}": F.stddev_pop(c) for c in cols})
+        held, row = bind(df, one_row(df, **{f"m_{c}": F.avg(c) for c in cols},
+                                     **{f"s_{c}": F.stddev_pop(c) for c in cols}))
         out = {c: (v[c] - row[f"m_{c}"]) / (row[f"s_{c}"] + EPS) for c in cols}
     elif method == "robust":
-        row = percentile_row(df, cols, [0.25, 0.5, 0.75], limit)
+        held, row = bind(df, percentile_row(df, cols, [0.25, 0.5, 0.75], limit))
         out = {c: (v[c] - row[c][1]) / (row[c][2] - row[c][0] + EPS) for c in cols}
     else:
-        row = one_row(df, **{f"lo_{c}": F.min(c) for c in cols}, **{f"hi_{c}": F.max(c) for c in cols})
+        held, row = bind(df, one_row(df, **{f"lo_{c}": F.min(c) for c in cols},
+                                     **{f"hi_{c}": F.max(c) for c in cols}))
         if method == "minmax":
             a, b = (float(x) for x in bounds)
 
@@ -41,7 +43,7 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "standard",
         else:
             out = {c: F.when(row[f"lo_{c}"] >= 0, F.sqrt(F.abs(v[c])))
                    .otherwise(F.signum(v[c]) * F.sqrt(F.abs(v[c]))) for c in cols}
-    return df.withColumns(out)
+    return held.withColumns(out).drop("_row")
 
 
 def fit_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -55,5 +57,5 @@ def fit_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Scale any split with fitted parameters."""
-    row = as_scalar(params)
-    return df.withColumns({c: (F.col(c) - row[f"{c}_mean"]) / row[f"{c}_std"] for c in cols})
+    held, row = bind(df, as_scalar(params))
+    return held.withColumns({c: (F.col(c) - row[f"{c}_mean"]) / row[f"{c}_std"] for c in cols}).drop("_row")

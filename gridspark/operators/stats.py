@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, numeric_columns, one_of, one_row, present
+from gridspark.functions.frames import COORDS, bind, numeric_columns, one_of, one_row, present
 from gridspark.functions.quantiles import percentile_row, percentiles
 from gridspark.operators.outliers import detect_outliers
 from gridspark.operators.temporal import axis_regularity
@@ -47,11 +47,11 @@ def profile_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 def profile_stats(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """Per variable: mean, population deviation, min, max, median, missing flag, declared range."""
     cols = list(cols or numeric_columns(df))
-    med = percentile_row(df, cols, [0.5], limit)
     wide = df.agg(F.count("*").alias("_n"), *[
         F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
                  F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c)
         for c in cols])
+    wide, med = bind(wide, percentile_row(df, cols, [0.5], limit))
     meta = {f.name: f.metadata for f in df.schema.fields}
 
     def line(c: str) -> Column:
@@ -173,10 +173,10 @@ def batch_stats(df: DataFrame) -> DataFrame:
 
 def describe_exact(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max per column."""
-    q = percentile_row(df, cols, [0.25, 0.5, 0.75], limit)
     wide = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                              F.min(c).cast("double").alias("min"),
                              F.max(c).cast("double").alias("max")).alias(c) for c in cols])
+    wide, q = bind(wide, percentile_row(df, cols, [0.25, 0.5, 0.75], limit))
     return _lines(wide, [F.struct(
         F.lit(c).alias("var"), F.col(f"{c}.n").alias("count"), F.col(f"{c}.mean").alias("mean"),
         F.col(f"{c}.std").alias("std"), F.col(f"{c}.min").alias("min"), q[c][0].alias("p25"),
@@ -214,14 +214,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, threshold: flo
 
 def histogram(df: DataFrame, var: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over the range, the last one closed; empty bins are listed with 0."""
-    row = one_row(df, lo=F.min(var), hi=F.max(var))
+    held, row = bind(df.where(F.col(var).isNotNull()), one_row(df, lo=F.min(var), hi=F.max(var)))
     # a constant column is spread over one unit around its value
     lo = F.when(row["hi"] > row["lo"], row["lo"]).otherwise(row["lo"] - 0.5)
     hi = F.when(row["hi"] > row["lo"], row["hi"]).otherwise(row["hi"] + 0.5)
     width = (hi - lo) / bins
     slot = F.least(F.floor((F.col(var) - lo) / width), F.lit(bins - 1)).cast("long")
-    counts = df.where(F.col(var).isNotNull()).groupBy(slot.alias("bin")).agg(F.count("*").alias("n"))
-    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    counts = held.groupBy(slot.alias("bin")).agg(F.count("*").alias("n"))
+    every, _ = bind(df.sparkSession.range(bins).withColumnRenamed("id", "bin"), one_row(df, lo=F.min(var), hi=F.max(var)))
     return every.join(counts, "bin", "left").select(
         "bin", (lo + width * F.col("bin")).alias("left_edge"), (lo + width * (F.col("bin") + 1)).alias("right_edge"),
         F.coalesce("n", F.lit(0)).alias("n"))

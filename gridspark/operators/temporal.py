@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.functions.frames import CELL, COORDS, one_of, one_row, over_series
+from gridspark.functions.frames import CELL, COORDS, bind, one_of, one_row, over_series
 from gridspark.operators.series import same, time_chunk
 
 FILTERS = ("savgol", "moving_avg", "exponential", "median")
@@ -37,13 +37,10 @@ def moving_avg(df: DataFrame, cols: Sequence[str], window: int = 7,
     w = over_series(cell, time)
     half = window // 2
     frame = w.rowsBetween(-half, half if window % 2 else half - 1)
-    enough = _long_enough(w, time, window)
-
-    def mean(c: str) -> Column:
-        full = F.when(F.count(c).over(frame) == window, F.avg(c).over(frame))
-        return F.when(enough, full).otherwise(F.col(c))
-
-    return df.withColumns({c: mean(c) for c in cols})
+    held = df.withColumns({"_enough": _long_enough(w, time, window), **{
+        f"_m_{c}": F.when(F.count(c).over(frame) == window, F.avg(c).over(frame)) for c in cols}})
+    return (held.withColumns({c: F.when(F.col("_enough"), F.col(f"_m_{c}")).otherwise(F.col(c)) for c in cols})
+            .drop("_enough", *[f"_m_{c}" for c in cols]))
 
 
 def savgol_weights(window: int, order: int) -> np.ndarray:
@@ -55,34 +52,42 @@ def savgol_weights(window: int, order: int) -> np.ndarray:
 
 def savgol(df: DataFrame, cols: Sequence[str], window: int = 7, order: int = 2,
            cell: Sequence[str] = CELL, time: str = "time") -> DataFrame:
-    """Savitzky-Golay filter; the ends come from the polynomial of the first or last window."""
+    """Savitzky-Golay filter; the ends come from the polynomial of the first or last window.
+
+    Every neighbour is a column of its own, computed once and weighted as the row's
+    place in the series demands.
+    """
     if window % 2 == 0 or order >= window:
         raise ValueError("window must be odd and larger than the order")
     w = over_series(cell, time)
-    half = window // 2
+    half, reach = window // 2, window - 1
     weights = savgol_weights(window, order)
-    enough = _long_enough(w, time, window)
-    before = F.count(time).over(w.rowsBetween(-half, -1))  # rows before, at most half
-    after = F.count(time).over(w.rowsBetween(1, half))
 
-    def at(c: str, k: int) -> Column:
-        if k == 0:
-            return F.col(c)
-        return F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    def name(c: str, k: int) -> str:
+        return c if k == 0 else f"_at_{k + reach}_{c}"
+
+    shifts = [k for k in range(-reach, reach + 1) if k]
+    held = df.withColumns({
+        "_enough": _long_enough(w, time, window),
+        "_before": F.count(time).over(w.rowsBetween(-half, -1)),  # rows before, at most half
+        "_after": F.count(time).over(w.rowsBetween(1, half)),
+        **{name(c, k): (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w) for c in cols for k in shifts}})
 
     def fitted(c: str, pos: int) -> Column:
         # the window starts ``pos`` rows before this one
-        return reduce(Column.__add__, [F.lit(float(weights[pos, i])) * at(c, i - pos) for i in range(window)])
+        return reduce(Column.__add__, [F.lit(float(weights[pos, i])) * F.col(name(c, i - pos))
+                                       for i in range(window)])
 
     def smooth(c: str) -> Column:
-        value = F.when(~enough, F.col(c))
+        value = F.when(~F.col("_enough"), F.col(c))
         for i in range(half):
-            value = value.when(before == i, fitted(c, i))
+            value = value.when(F.col("_before") == i, fitted(c, i))
         for i in range(half):
-            value = value.when(after == i, fitted(c, window - 1 - i))
+            value = value.when(F.col("_after") == i, fitted(c, window - 1 - i))
         return value.otherwise(fitted(c, half))
 
-    return df.withColumns({c: smooth(c) for c in cols})
+    return (held.withColumns({c: smooth(c) for c in cols})
+            .drop("_enough", "_before", "_after", *[name(c, k) for c in cols for k in shifts]))
 
 
 def median_filter(df: DataFrame, cols: Sequence[str], window: int = 7,
@@ -93,16 +98,17 @@ def median_filter(df: DataFrame, cols: Sequence[str], window: int = 7,
     w = over_series(cell, time)
     half = window // 2
     frame = w.rowsBetween(-half, half)
-    enough = _long_enough(w, time, window)
+    held = df.withColumns({"_enough": _long_enough(w, time, window), "_rows": F.count(time).over(frame),
+                           **{f"_v_{c}": F.collect_list(c).over(frame) for c in cols}})  # at most ``window`` values
 
     def middle(c: str) -> Column:
-        values = F.collect_list(c).over(frame)  # at most ``window`` values
-        rows = F.count(time).over(frame)
-        padded = F.concat(values, F.array_repeat(F.lit(0.0), (F.lit(window) - rows).cast("int")))
+        values = F.col(f"_v_{c}")
+        padded = F.concat(values, F.array_repeat(F.lit(0.0), (F.lit(window) - F.col("_rows")).cast("int")))
         med = F.element_at(F.sort_array(padded), half + 1)
-        return F.when(~enough, F.col(c)).when(F.size(values) == rows, med)
+        return F.when(~F.col("_enough"), F.col(c)).when(F.size(values) == F.col("_rows"), med)
 
-    return df.withColumns({c: middle(c) for c in cols})
+    return (held.withColumns({c: middle(c) for c in cols})
+            .drop("_enough", "_rows", *[f"_v_{c}" for c in cols]))
 
 
 def ewm(df: DataFrame, cols: Sequence[str], span: int = 7,
@@ -235,8 +241,8 @@ def qq_points(df: DataFrame, var: str, n: int = 100) -> DataFrame:
     i = F.col("i") + 1
     m = F.when(i == 1, 1 - half).when(i == n, half).otherwise((i - 0.3175) / (n + 0.365))
     pts = values.withColumn("theoretical", normal_quantile(m))
-    fit = one_row(pts, slope=F.regr_slope("value", "theoretical"),
-                  intercept=F.regr_intercept("value", "theoretical"), r=F.corr("value", "theoretical"))
+    pts, fit = bind(pts, one_row(pts, slope=F.regr_slope("value", "theoretical"),
+                  intercept=F.regr_intercept("value", "theoretical"), r=F.corr("value", "theoretical")))
     return pts.select("i", "theoretical", "value", fit["slope"].alias("slope"),
                       fit["intercept"].alias("intercept"), fit["r"].alias("r"))
 
