@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import as_scalar, fits
+from gridspark.functions.frames import as_scalar, bind, fits, one_row
 
 LEVEL_BITS = 14  # two levels: 2^14 coarse buckets, each cut into 2^14 fine ones
 
@@ -24,6 +24,14 @@ def _stretch(v: Column) -> Column:
     return F.signum(v) * F.log1p(F.abs(v) * F.lit(1e6))
 
 
+def _fine(v: Column, lo: Column, hi: Column) -> Column:
+    """Number of the fine bucket of ``v`` between the stretched extremes; never decreases with ``v``."""
+    cells = 1 << (2 * LEVEL_BITS)
+    share = (_stretch(v) - lo) / (hi - lo)
+    return F.when(hi > lo, F.least(F.floor(share * F.lit(float(cells))), F.lit(cells - 1))
+                  ).otherwise(F.lit(0)).cast("long")
+
+
 def _running(by: Sequence[str], order: str) -> Column:
     w = Window.partitionBy(*by).orderBy(order)
     return F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -56,12 +64,8 @@ def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequ
         extra = [F.col(f"r.{c}") for c in right.columns if c not in on]
         return left.alias("l").join(small(right).alias("r"), cond).select("l.*", *extra)
 
-    cells = float(1 << (2 * LEVEL_BITS))
-    share = (_stretch(F.col("_v")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    fine = F.when(F.col("_hi") > F.col("_lo"),
-                  F.least(F.floor(share * F.lit(cells)), F.lit(int(cells) - 1))).otherwise(F.lit(0))
     placed = (joined(data, span, keys)
-              .withColumn("_b2", fine.cast("long"))
+              .withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
               .withColumn("_b1", F.shiftright("_b2", LEVEL_BITS))
               .drop("_n", "_lo", "_hi"))
     wanted = span.select(*keys, ranks.alias("_ranks"))
@@ -129,3 +133,22 @@ def percentile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    limit: int | None = None) -> Column:
     """Global percentiles as a scalar struct: ``row[col][i]`` is the i-th prob."""
     return as_scalar(percentiles(df, cols, probs, limit=limit))
+
+
+def value_ranks(df: DataFrame, var: str) -> DataFrame:
+    """Distinct values ``v`` with their count ``c`` and the number ``start`` of smaller rows.
+
+    Equal values are counted before the shuffle.  Ranks are sums over coarse buckets, over
+    the fine ones inside a coarse one, and over the values inside a fine one.
+    """
+    counts = df.where(F.col(var).isNotNull()).groupBy(F.col(var).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    held, span = bind(counts, one_row(df, lo=_stretch(F.min(var)), hi=_stretch(F.max(var))))
+    placed = (held.withColumn("_b2", _fine(F.col("v"), span["lo"], span["hi"]))
+              .withColumn("_b1", F.shiftright("_b2", LEVEL_BITS)).drop("_row"))
+    fine = placed.groupBy("_b1", "_b2").agg(F.sum("c").alias("c"))
+    coarse = fine.groupBy("_b1").agg(F.sum("c").alias("c"))  # at most 2^14 rows
+    coarse = coarse.select("_b1", _running([], "_b1").alias("_s1"))
+    fine = fine.select("_b1", "_b2", _running(["_b1"], "_b2").alias("_s2")).join(F.broadcast(coarse), "_b1")
+    inner = _running(["_b1", "_b2"], "v")
+    return placed.join(fine, ["_b1", "_b2"]).select(
+        "v", "c", (F.col("_s1") + F.col("_s2") + inner).alias("start"))

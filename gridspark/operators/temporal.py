@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions.frames import CELL, COORDS, bind, one_of, one_row, over_series
+from gridspark.functions.quantiles import value_ranks
 from gridspark.operators.series import same, time_chunk
 
 FILTERS = ("savgol", "moving_avg", "exponential", "median")
@@ -227,23 +228,36 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: inv(x) if 0.0 < x < 1.0 else None)
 
 
-def qq_points(df: DataFrame, var: str, n: int = 100) -> DataFrame:
-    """Normal Q-Q points at ``n`` evenly spaced ranks with slope, intercept and r of the fit line.
+def qq_points(df: DataFrame, var: str, n: int = 100, chunk: int = 100_000) -> DataFrame:
+    """Normal Q-Q points with slope, intercept and r of the line through all of them.
 
-    ``n`` plotting positions stand for the whole column: the value at each of them is
-    its exact percentile, so no full sort is needed.
+    The line uses every row; of the points, ``n`` at evenly spaced ranks come out.  A value
+    that occurs very often is cut into chunks of ranks, so its rows are spread as well.
     """
-    from gridspark.functions.quantiles import percentiles
-
-    probs = [i / (n - 1) for i in range(n)]
-    values = percentiles(df, [var], probs).select(F.posexplode(var).alias("i", "value"))
-    half = 0.5 ** (1.0 / n)
-    i = F.col("i") + 1
-    m = F.when(i == 1, 1 - half).when(i == n, half).otherwise((i - 0.3175) / (n + 0.365))
-    pts = values.withColumn("theoretical", normal_quantile(m))
-    pts, fit = bind(pts, one_row(pts, slope=F.regr_slope("value", "theoretical"),
-                  intercept=F.regr_intercept("value", "theoretical"), r=F.corr("value", "theoretical")))
-    return pts.select("i", "theoretical", "value", fit["slope"].alias("slope"),
-                      fit["intercept"].alias("intercept"), fit["r"].alias("r"))
-
-
+    ranks = value_ranks(df, var)
+    total = one_row(df, n=F.count(var))
+    last = F.floor((F.col("c") - 1) / chunk)
+    pieces = ranks.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), last))).hint("rebalance")
+    first = F.col("start") + F.col("_k") * chunk + 1
+    end = F.least(F.col("start") + F.col("c"), F.col("start") + (F.col("_k") + 1) * chunk)
+    rows, size = bind(pieces.select("v", F.explode(F.sequence(first, end)).alias("i")), total)
+
+    def place(i: Column, size: Column) -> Column:
+        top = F.pow(F.lit(0.5), 1.0 / size)
+        return F.when(i == size, top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (size + 0.365))
+
+    rows = rows.select("v", normal_quantile(place(F.col("i"), size["n"])).alias("z"))
+    fit = one_row(rows, slope=F.regr_slope("v", "z"), intercept=F.regr_intercept("v", "z"), r=F.corr("v", "z"))
+
+    held, size = bind(ranks, total)
+    step = (size["n"] - 1) / max(n - 1, 1)
+    shown = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                                         lambda k: F.round(k * F.col("_step")).cast("long") + 1))
+    held = held.withColumn("_step", step).withColumn("_shown", shown)
+    mine = F.filter("_shown", lambda r: (r > F.col("start")) & (r <= F.col("start") + F.col("c")))
+    points = held.select("v", "_row", F.explode(mine).alias("i"))
+    points = points.select("i", normal_quantile(place(F.col("i"), F.col("_row.n"))).alias("theoretical"),
+                           F.col("v").alias("value"))
+    points, line = bind(points, fit)
+    return points.select("i", "theoretical", "value", line["slope"].alias("slope"),
+                         line["intercept"].alias("intercept"), line["r"].alias("r"))

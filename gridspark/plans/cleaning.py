@@ -59,10 +59,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lazy(df: DataFrame, name: str) -> DataFrame:
-    return df
-
-
 def clean(df: DataFrame, target: str = "pp", plan: CleaningPlan | None = None, stage: Stage = written) -> Cleaned:
     """Validate, fill, clip, scale all but the target, derive, smooth, validate again.
 
