@@ -32,15 +32,15 @@ def draw_cuts(df: DataFrame, seed: int | str, keys: Sequence[str], sizes: dict[s
     """
     by = list(by)
     rows = df.select(*by, draw(seed, keys).alias("_h"))
-    slots = rows.groupBy(*by, _slot(F.col("_h")).alias("_slot")).agg(F.count("*").alias("c"))
+    slots = rows.groupBy(*by, _slot(F.col("_h")).alias("_slot")).agg(F.count("*").alias("_c"))
     # at most 65,536 slots per group
     upto = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*by)
-    slots = (slots.withColumn("_end", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(every)))
+    slots = (slots.withColumn("_end", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(every)))
     named = [F.struct(F.lit(k).alias("_name"), e.cast("long").alias("_k")) for k, e in sizes.items()]
     goal = (slots.select("*", F.inline(F.array(*named)))
-            .where((F.col("_k") > F.col("_end") - F.col("c")) & (F.col("_k") <= F.col("_end")))
-            .select(*by, "_slot", "_name", (F.col("_k") - F.col("_end") + F.col("c")).alias("_nth")))
+            .where((F.col("_k") > F.col("_end") - F.col("_c")) & (F.col("_k") <= F.col("_end")))
+            .select(*by, "_slot", "_name", (F.col("_k") - F.col("_end") + F.col("_c")).alias("_nth")))
     rows = rows.withColumn("_slot", _slot(F.col("_h")))
     hit = (F.broadcast(goal) if not by else goal).alias("g")
     cond = F.col("r._slot") == F.col("g._slot")

@@ -32,9 +32,9 @@ def _fine(v: Column, lo: Column, hi: Column) -> Column:
                   ).otherwise(F.lit(0)).cast("long")
 
 
-def _running(by: Sequence[str], order: str) -> Column:
+def _running(by: Sequence[str], order: str, count: str = "_c") -> Column:
     w = Window.partitionBy(*by).orderBy(order)
-    return F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -71,25 +71,25 @@ def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequ
     wanted = span.select(*keys, ranks.alias("_ranks"))
 
     def holds() -> Column:
-        return F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("c")))
+        return F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
 
-    coarse = placed.groupBy(*keys, "_b1").agg(F.count("*").alias("c"))
+    coarse = placed.groupBy(*keys, "_b1").agg(F.count("*").alias("_c"))
     coarse = coarse.withColumn("_before", _running(keys, "_b1"))
     coarse = joined(coarse, wanted, keys).where(holds()).select(
         *keys, "_b1", F.col("_before").alias("_base"), "_ranks")
 
     finer = joined(placed, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_ranks").agg(
-        F.count("*").alias("c"))
+        F.count("*").alias("_c"))
     finer = finer.withColumn("_before", F.col("_base") + _running([*keys, "_b1"], "_b2"))
     finer = finer.where(holds()).select(*keys, "_b2", F.col("_before").alias("_base"))
 
     values = joined(placed, finer, [*keys, "_b2"]).groupBy(*keys, "_b2", "_base", "_v").agg(
-        F.count("*").alias("c"))
+        F.count("*").alias("_c"))
     values = values.withColumn("_before", F.col("_base") + _running([*keys, "_b2"], "_v"))
     values = joined(values, span.select(*keys, "_n"), keys)
 
     def at(i: int, rank: Column) -> Column:
-        inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("c"))
+        inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
         return F.max(F.when((F.col("_var") == cols[i]) & inside, F.col("_v")))
 
     aggs = []
@@ -147,8 +147,8 @@ def value_ranks(df: DataFrame, var: str) -> DataFrame:
               .withColumn("_b1", F.shiftright("_b2", LEVEL_BITS)).drop("_row"))
     fine = placed.groupBy("_b1", "_b2").agg(F.sum("c").alias("c"))
     coarse = fine.groupBy("_b1").agg(F.sum("c").alias("c"))  # at most 2^14 rows
-    coarse = coarse.select("_b1", _running([], "_b1").alias("_s1"))
-    fine = fine.select("_b1", "_b2", _running(["_b1"], "_b2").alias("_s2")).join(F.broadcast(coarse), "_b1")
-    inner = _running(["_b1", "_b2"], "v")
+    coarse = coarse.select("_b1", _running([], "_b1", "c").alias("_s1"))
+    fine = fine.select("_b1", "_b2", _running(["_b1"], "_b2", "c").alias("_s2")).join(F.broadcast(coarse), "_b1")
+    inner = _running(["_b1", "_b2"], "v", "c")
     return placed.join(fine, ["_b1", "_b2"]).select(
         "v", "c", (F.col("_s1") + F.col("_s2") + inner).alias("start"))

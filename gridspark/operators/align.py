@@ -81,7 +81,7 @@ def series_at(df: DataFrame, lat: float, lon: float) -> DataFrame:
 
 def missing_variables(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected (file, var) pairs for which the file has no variable with a similar name."""
-    e, a = expected.alias("e"), actual.alias("a")
+    e, a = expected.alias("e"), actual.select("file", "var").distinct().alias("a")
     return e.join(a, (F.col("e.file") == F.col("a.file"))
                   & names_overlap(F.col("e.var"), F.col("a.var")), "left_anti")
 
