@@ -93,6 +93,15 @@ def time_number(df: DataFrame, time: str = "time") -> Column:
     return F.unix_micros(F.col(time).cast("timestamp")).cast("double")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for Python work per group.
+
+    Few bytes can mean much Python time, so the configured number of partitions is kept
+    instead of being merged by size; grouping by ``keys`` needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared folder (``spark.checkpoint.dir``).
 

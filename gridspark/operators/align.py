@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, bind, need, one_row, present
+from gridspark.functions.frames import COORDS, bind, need, one_row, present, spread
 from gridspark.operators.text import name_contains, names_overlap
 
 
@@ -112,6 +112,11 @@ def common_variables(catalog: DataFrame) -> DataFrame:
     return counts.where(F.col("n_files") == files["n"])
 
 
+def file_variables(catalog: DataFrame) -> DataFrame:
+    """The sorted variable names of every file."""
+    return catalog.groupBy("file").agg(F.sort_array(F.collect_set("var")).alias("variables"))
+
+
 def requested_minus_available(requested: DataFrame, available: DataFrame) -> DataFrame:
     return requested.exceptAll(available)
 
@@ -209,7 +214,7 @@ def fill_spatial_nearest(df: DataFrame, var: str, min_valid: int = 10) -> DataFr
         (F.col("lon") - lons["lo"]) / (lons["hi"] - lons["lo"]) * strips)).otherwise(F.lit(0))
     near = near.withColumn("_strip", strip).drop("_row")
     times = df.schema["time"].dataType.simpleString()
-    filled = near.groupBy("time", "_strip").applyInPandas(
+    filled = spread(near, "time", "_strip").groupBy("time", "_strip").applyInPandas(
         _fill_strip, f"time {times}, lat double, lon double, _fill double")
     kind = df.schema[var].dataType
     return (df.join(filled, list(COORDS), "left")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import CELL, COORDS, bind, one_row
+from gridspark.functions.frames import CELL, COORDS, bind, one_row, spread
 
 PandasFn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -28,7 +28,7 @@ def with_tiles(df: DataFrame, tile: float, per_step: bool = True) -> tuple[DataF
 def apply_blocks(df: DataFrame, fn: PandasFn, schema: str, tile: float = 4.0, per_step: bool = True) -> DataFrame:
     """``fn`` on the rows of every tile."""
     tiled, keys = with_tiles(df, tile, per_step)
-    return tiled.groupBy(*keys).applyInPandas(fn, schema)
+    return spread(tiled, *keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def _reflect(pdf: pd.DataFrame, dim: str, lo: float, hi: float, edge_lo: bool, edge_hi: bool,
@@ -75,7 +75,8 @@ def apply_overlap(df: DataFrame, fn: PandasFn, tile: float = 4.0, halo: float =
         core = full["_core"].to_numpy(dtype=bool)
         return fn(full[names]).loc[core, names]
 
-    return copies.groupBy("time", "_ty", "_tx").applyInPandas(run, df.schema)
+    keys = ("time", "_ty", "_tx")
+    return spread(copies, *keys).groupBy(*keys).applyInPandas(run, df.schema)
 
 
 def reduce_blocks(df: DataFrame, fn: PandasFn, schema: str, tile: float = 4.0, fan_in: int = 256) -> DataFrame:
@@ -85,7 +86,7 @@ def reduce_blocks(df: DataFrame, fn: PandasFn, schema: str, tile: float = 4.0, f
     groups about ``fan_in`` partial results, so no group grows with the data.
     """
     tiled, keys = with_tiles(df, tile)
-    parts = tiled.groupBy(*keys).applyInPandas(_numbered(fn), schema + ", _g long")
+    parts = spread(tiled, *keys).groupBy(*keys).applyInPandas(_numbered(fn), schema + ", _g long")
     for groups in (fan_in * fan_in, fan_in):
         parts = (parts.withColumn("_g", F.col("_g") % groups).groupBy("_g")
                  .applyInPandas(_numbered(fn, "_g"), schema + ", _g long"))
@@ -94,7 +95,7 @@ def reduce_blocks(df: DataFrame, fn: PandasFn, schema: str, tile: float = 4.0, f
 
 def _numbered(fn: PandasFn, drop: str | None = None):
     """``fn`` with a number per group that is the same on every attempt of a task."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0]) if drop else zlib.crc32(repr(tuple(str(k) for k in key)).encode())
         return fn(pdf.drop(columns=drop) if drop else pdf).assign(_g=number)
     return run
@@ -117,4 +118,4 @@ def apply_series(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], cols: Se
         pdf = pdf.sort_values(time, kind="stable")
         return pdf.assign(**{c: fn(pdf[c].to_numpy(dtype=float)) for c in cols})
 
-    return df.groupBy(*cell).applyInPandas(run, df.schema)
+    return spread(df, *cell).groupBy(*cell).applyInPandas(run, df.schema)

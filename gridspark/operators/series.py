@@ -21,13 +21,15 @@ from gridspark.functions.frames import CELL, time_number
 BLOCK_ROWS = 100_000
 
 
-def time_chunk(df: DataFrame, time: str = "time") -> Column:
+def time_chunk(df: DataFrame, time: str = "time", piece: float | None = None) -> Column:
     """Calendar piece of a series: about a year of dates, or one day of timestamps.
 
-    (cell, time) is unique in a grid, so a piece of dates has at most 366 rows.
+    (cell, time) is unique in a grid, so a piece of dates has at most 366 rows.  For faster
+    measurements ``piece`` sets another length, in days for dates and microseconds otherwise.
     """
-    span = 366.0 if isinstance(df.schema[time].dataType, T.DateType) else 86400e6
-    return F.floor(time_number(df, time) / span)
+    if piece is None:
+        piece = 366.0 if isinstance(df.schema[time].dataType, T.DateType) else 86400e6
+    return F.floor(time_number(df, time) / F.lit(float(piece)))
 
 
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -37,13 +39,14 @@ def same(left: str, right: str, keys: Sequence[str]) -> Column:
     return cond
 
 
-def position(df: DataFrame, cell: Sequence[str] = CELL, time: str = "time", out: str = "_rn") -> DataFrame:
+def position(df: DataFrame, cell: Sequence[str] = CELL, time: str = "time", out: str = "_rn",
+             piece: float | None = None) -> DataFrame:
     """Add the row's position (from 0) in its series.
 
     Rows are numbered within calendar pieces and shifted by the sizes of the pieces before.
     """
     cell = list(cell)
-    placed = df.withColumn("_chunk", time_chunk(df, time))
+    placed = df.withColumn("_chunk", time_chunk(df, time, piece))
     sizes = placed.groupBy(*cell, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*cell).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*cell, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -53,7 +56,8 @@ def position(df: DataFrame, cell: Sequence[str] = CELL, time: str = "time", out:
 
 
 def in_blocks(df: DataFrame, op: Callable[[DataFrame, Sequence[str]], DataFrame], reach: int,
-              cell: Sequence[str] = CELL, time: str = "time", block_rows: int = BLOCK_ROWS) -> DataFrame:
+              cell: Sequence[str] = CELL, time: str = "time", block_rows: int = BLOCK_ROWS,
+              piece: float | None = None) -> DataFrame:
     """Run ``op(df, cell)`` on blocks of consecutive rows of each series.
 
     ``reach`` is the number of rows the operator looks back or ahead; that many rows of
@@ -64,13 +68,13 @@ def in_blocks(df: DataFrame, op: Callable[[DataFrame, Sequence[str]], DataFrame]
     rn = F.col("_rn")
     own = F.floor(rn / block_rows)
     homes = F.array_distinct(F.array(own, F.floor((rn - reach) / block_rows), F.floor((rn + reach) / block_rows)))
-    blocks = position(df, cell, time).withColumn("_block", F.explode(homes))
+    blocks = position(df, cell, time, piece=piece).withColumn("_block", F.explode(homes))
     out = op(blocks, [*cell, "_block"])
     return out.where(F.col("_block") == own).drop("_block", "_rn")
 
 
 def next_valid(df: DataFrame, cols: Sequence[str], cell: Sequence[str] = CELL, time: str = "time",
-               prefix: str = "_n_") -> DataFrame:
+               prefix: str = "_n_", piece: float | None = None) -> DataFrame:
     """Add the next valid (t, v) strictly after each row, however far away it is.
 
     Found inside the calendar piece, or else carried over from the first later piece with
@@ -79,7 +83,7 @@ def next_valid(df: DataFrame, cols: Sequence[str], cell: Sequence[str] = CELL, t
     cell = list(cell)
     now = time_number(df, time)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(now.alias("t"), F.col(c).alias("v"))) for c in cols}
-    placed = df.withColumn("_chunk", time_chunk(df, time))
+    placed = df.withColumn("_chunk", time_chunk(df, time, piece))
     firsts = placed.groupBy(*cell, "_chunk").agg(*[
         F.min_by(known[c], F.when(F.col(c).isNotNull(), now)).alias(f"_f_{c}") for c in cols])
     later = (Window.partitionBy(*cell).orderBy(F.col("_chunk").desc())

@@ -112,8 +112,8 @@ def median_filter(df: DataFrame, cols: Sequence[str], window: int = 7,
             .drop("_enough", "_rows", *[f"_v_{c}" for c in cols]))
 
 
-def ewm(df: DataFrame, cols: Sequence[str], span: int = 7,
-        cell: Sequence[str] = CELL, time: str = "time") -> DataFrame:
+def ewm(df: DataFrame, cols: Sequence[str], span: int = 7, cell: Sequence[str] = CELL, time: str = "time",
+        piece: float | None = None) -> DataFrame:
     """Exponentially weighted mean with adjusted weights; gaps decay the weights.
 
     Numerator and denominator are linear recurrences.  Each calendar piece of a series is
@@ -122,7 +122,7 @@ def ewm(df: DataFrame, cols: Sequence[str], span: int = 7,
     """
     keys = list(cell)
     decay = 1.0 - 2.0 / (span + 1.0)
-    rows = df.withColumn("_chunk", time_chunk(df, time))
+    rows = df.withColumn("_chunk", time_chunk(df, time, piece))
     fields = [time, *[c for c in df.columns if c not in keys and c != time]]
     pieces = rows.groupBy(*keys, "_chunk").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
@@ -184,7 +184,13 @@ def temporal_filter(df: DataFrame, cols: Sequence[str], kind: str = "savgol", wi
     """Apply one of the named filters; a column the filter would empty keeps its values."""
     one_of(kind, FILTERS, "temporal filter")
     act = {"savgol": savgol, "moving_avg": moving_avg, "exponential": ewm, "median": median_filter}
-    return act[kind](df, cols, window, cell=cell, time=time)
+    if not cols:
+        return df
+    kept = df.withColumns({f"_o_{c}": F.col(c) for c in cols})
+    out = act[kind](kept, cols, window, cell=cell, time=time)
+    out, found = bind(out, one_row(out, **{c: F.count(c) for c in cols}))
+    return (out.withColumns({c: F.when(found[c] > 0, F.col(c)).otherwise(F.col(f"_o_{c}")) for c in cols})
+            .select(*df.columns))
 
 
 def diff_time(df: DataFrame, cols: Sequence[str], lag: int = 1,

@@ -79,7 +79,9 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """
     if fmt not in SEPARATORS:
         raise ValueError(f"unsupported sample format '{fmt}'")
-    raw = spark.read.option("header", True).option("sep", SEPARATORS[fmt]).option("inferSchema", False).csv(path)
+    # with enforceSchema off, files of one folder with other headers are an error, not mixed up
+    raw = (spark.read.option("header", True).option("sep", SEPARATORS[fmt]).option("inferSchema", False)
+           .option("enforceSchema", False).csv(path))
     need(raw, "CHL")
     return raw.select(*[F.nanvl(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(None)).alias(c.lower())
                         for c in present(raw, SAMPLE_COLUMNS)])

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import align, blocks, derive, filters, labels, missing, ml, outliers, scaling, scoring, stats, text
+from gridspark.operators import align, blocks, derive, filters, labels, missing, ml, outliers, scaling, scoring, stats, temporal, text
 from gridspark.plans import cleaning, workflow
 from gridspark.sources import readers, sinks
 
@@ -169,6 +169,20 @@ def test_bbox_works_on_any_axis_name_and_direction(spark):
     assert filters.canonical_coords(df).schema["lat"].metadata["units"] == "degrees_north"
 
 
+def test_variable_lists(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "b"), ("b", "x"), ("a", "x")], "file string, var string")
+    assert {r.file: r.variables for r in align.file_variables(df).collect()} == {"a": ["b", "x"], "b": ["x"]}
+    assert [r["var"] for r in align.common_variables(df).collect()] == ["x"]
+
+
+def test_filter_that_would_empty_a_column_leaves_it(spark):
+    rows = [(DAY + dt.timedelta(days=i), 0.0, 0.0, float(i) if i % 3 else None, float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "time date, lat double, lon double, v double, w double")
+    got = temporal.temporal_filter(df, ["v", "w"], "moving_avg", 5).orderBy("time").collect()
+    assert [r.v for r in got] == [r[3] for r in rows]
+    assert [r.w for r in got] == [None, None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, None, None]
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     df = spark.createDataFrame([(DAY, 1.0, 2.0, 3.0, 4.0)], "time date, latitude double, lon double, CHL double, PP double")
     df.write.parquet(str(tmp_path / "g"))
