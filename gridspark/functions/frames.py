@@ -15,7 +15,7 @@ CELL = ("lat", "lon")
 
 # Inputs above this many bytes never go through an operator that holds all
 # distinct values of a column in one task.
-DIRECT_BYTES = 128 * 1024 * 1024
+DIRECT_BYTES = 32 * 1024 * 1024
 
 
 def numeric_columns(df: DataFrame, skip: Iterable[str] = COORDS) -> list[str]:

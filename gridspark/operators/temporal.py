@@ -7,6 +7,7 @@ Series are expected to be dense (see ``densify``): a neighbour is the neighbouri
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from gridspark.functions.frames import CELL, COORDS, bind, one_of, one_row, over_series
 from gridspark.functions.quantiles import value_ranks
-from gridspark.operators.series import same, time_chunk
+from gridspark.operators.series import position, same
 
 FILTERS = ("savgol", "moving_avg", "exponential", "median")
 
@@ -113,70 +114,58 @@ def median_filter(df: DataFrame, cols: Sequence[str], window: int = 7,
 
 
 def ewm(df: DataFrame, cols: Sequence[str], span: int = 7, cell: Sequence[str] = CELL, time: str = "time",
-        piece: float | None = None) -> DataFrame:
+        piece: float | None = None, rows: int | None = None) -> DataFrame:
     """Exponentially weighted mean with adjusted weights; gaps decay the weights.
 
-    Numerator and denominator are linear recurrences.  Each calendar piece of a series is
-    folded on its own in the JVM; the state at its end is carried to the next piece by a
-    fold over the few piece summaries of the series.
+    Numerator and denominator are running sums of values scaled by the inverse weights,
+    within pieces of ``rows`` rows: few enough that the scale cannot overflow, and so many
+    that of all earlier pieces only the last one still has weight in a DOUBLE.  A gap that
+    reaches back further keeps the mean of the last valid row.
     """
+    if span <= 1:
+        return df
     keys = list(cell)
     decay = 1.0 - 2.0 / (span + 1.0)
-    rows = df.withColumn("_chunk", time_chunk(df, time, piece))
-    fields = [time, *[c for c in df.columns if c not in keys and c != time]]
-    pieces = rows.groupBy(*keys, "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
-
-    def state(n: Column, d: Column) -> Column:
-        return F.struct(n.alias("n"), d.alias("d"))
-
-    zero = state(F.lit(0.0), F.lit(0.0))
-
-    def fold(c: str) -> Column:
-        def step(acc: Column, row: Column) -> Column:
-            last = F.coalesce(F.try_element_at(acc, F.lit(-1)), zero)
-            v = row[c].cast("double")
-            new = state(last["n"] * decay + F.coalesce(v, F.lit(0.0)),
-                        last["d"] * decay + F.when(v.isNotNull(), 1.0).otherwise(0.0))
-            return F.concat(acc, F.array(new))
-        return F.aggregate("_rows", F.array().cast("array<struct<n:double,d:double>>"), step)
-
-    pieces = pieces.withColumns({f"_s{i}": fold(c) for i, c in enumerate(cols)})
-    pieces = pieces.withColumn("_len", F.size("_rows"))
-    ends = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        "_chunk", "_len", *[F.element_at(f"_s{i}", -1).alias(f"e{i}") for i in range(len(cols))]))).alias("_ends"))
-    kind = "struct<" + ",".join(f"e{i}:struct<n:double,d:double>" for i in range(len(cols))) + ">"
-    none = F.struct(*[zero.alias(f"e{i}") for i in range(len(cols))])
-
-    def carry(acc: Column, e: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1)), none)
-        faded = F.pow(F.lit(decay), e["_len"])
-        nxt = F.struct(*[state(e[f"e{i}"]["n"] + faded * prev[f"e{i}"]["n"],
-                               e[f"e{i}"]["d"] + faded * prev[f"e{i}"]["d"]).alias(f"e{i}")
-                         for i in range(len(cols))])
-        return F.concat(acc, F.array(nxt))
-
-    ends = ends.withColumn("_after", F.aggregate("_ends", F.array().cast(f"array<{kind}>"), carry))
-    total = F.aggregate("_ends", F.lit(0), lambda a, e: a + e["_len"])
-    before = F.concat(F.array(none), F.slice("_after", 1, F.size("_ends") - 1))
-    ends = ends.withColumn("_total", total).select(
-        *keys, "_total", F.inline(F.arrays_zip(F.col("_ends").alias("e"), before.alias("_in"))))
-    ends = ends.select(*keys, F.col("e._chunk").alias("_chunk"), "_total", "_in")
-
-    merged = pieces.alias("d").join(ends.alias("s"), same("d", "s", [*keys, "_chunk"])).select(
-        "d.*", "s._total", "s._in")
-    lists = F.arrays_zip("_rows", *[f"_s{i}" for i in range(len(cols))])
-    flat = merged.select(*keys, "_total", "_in", F.posexplode(lists).alias("_i", "_z"))
+    rows = rows or int(250 / -math.log10(decay))
+    if decay ** rows > 1e-18:
+        raise ValueError("pieces are too short for this span")
+    part = [*keys, "_piece"]
+    held = (position(df, keys, time, piece=piece).withColumn("_piece", F.floor(F.col("_rn") / rows))
+            .withColumn("_j", F.col("_rn") % rows))
+    upto = Window.partitionBy(*part).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    grow, fade = F.pow(F.lit(1 / decay), F.col("_j")), F.pow(F.lit(decay), F.col("_j"))
+    for i, c in enumerate(cols):
+        weight = F.when(F.col(c).isNotNull(), grow).otherwise(0.0)
+        held = held.withColumns({
+            f"_n{i}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * grow).over(upto) * fade,
+            f"_d{i}": F.sum(weight).over(upto) * fade})
+    sums = [f"_{x}{i}" for i in range(len(cols)) for x in "nd"]
+
+    # one row per piece: its end state, that of the piece before, and the last mean so far
+    ends = held.groupBy(*part).agg(F.count("*").alias("_len"), F.max_by(F.struct(*sums), "_j").alias("_end"))
+    order = Window.partitionBy(*keys).orderBy("_piece")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*part, "_end", F.sum("_len").over(Window.partitionBy(*keys)).alias("_total"),
+                       F.lag("_end").over(order).alias("_prev"))
+    whole = F.pow(F.lit(decay), F.lit(rows))
+
+    def mean(n: Column, d: Column, i: int, faded: Column) -> Column:
+        past_n, past_d = (F.coalesce(F.col(f"_prev._{x}{i}"), F.lit(0.0)) for x in "nd")
+        return F.when(d > 0, (n + faded * past_n) / (d + faded * past_d))
+
+    ends = ends.withColumns({f"_m{i}": mean(F.col(f"_end._n{i}"), F.col(f"_end._d{i}"), i, whole)
+                             for i in range(len(cols))})
+    ends = ends.select(*part, "_total", "_prev", *[
+        F.last(f"_m{i}", ignorenulls=True).over(earlier).alias(f"_m{i}") for i in range(len(cols))])
+    out = held.alias("d").join(ends.alias("s"), same("d", "s", part)).select(
+        "d.*", "s._total", "s._prev", *[f"s._m{i}" for i in range(len(cols))])
+    faded = F.pow(F.lit(decay), F.col("_j") + 1)
 
     def value(i: int, c: str) -> Column:
-        faded = F.pow(F.lit(decay), F.col("_i") + 1)
-        s, start = F.col(f"_z._s{i}"), F.col(f"_in.e{i}")
-        mean = F.try_divide(s["n"] + faded * start["n"], s["d"] + faded * start["d"])
-        return F.when(F.col("_total") >= span, mean).otherwise(F.col(f"_z._rows.{c}"))
-
-    new = {c: value(i, c).alias(c) for i, c in enumerate(cols)}
-    return flat.select(*[F.col(c) if c in keys else new.get(c, F.col(f"_z._rows.{c}").alias(c))
-                         for c in df.columns])
+        smooth = F.coalesce(mean(F.col(f"_n{i}"), F.col(f"_d{i}"), i, faded), F.col(f"_m{i}"))
+        return F.when(F.col("_total") >= span, smooth).otherwise(F.col(c))
+
+    return out.withColumns({c: value(i, c) for i, c in enumerate(cols)}).select(*df.columns)
 
 
 def temporal_filter(df: DataFrame, cols: Sequence[str], kind: str = "savgol", window: int = 7,

@@ -163,12 +163,22 @@ def test_interpolation_limits_each_gap(spark):
     assert [None if math.isnan(x) else round(x, 9) for x in got["v"]] == want
 
 
-def test_ewm_equals_pandas(station):
-    got = as_pandas(temporal.ewm(station, ["v"], 7, ["cell"]))
+@pytest.mark.parametrize("piece, rows", [(None, None), (5000.0, 200), (40.0, 160)])
+def test_ewm_equals_pandas(station, piece, rows):
+    got = as_pandas(temporal.ewm(station, ["v", "w"], 7, ["cell"], piece=piece, rows=rows))
     src = as_pandas(station)
     for name, part in src.groupby("cell"):
-        want = part["v"].ewm(span=7, adjust=True).mean() if len(part) >= 7 else part["v"]
-        np.testing.assert_allclose(got.loc[got.cell == name, "v"].to_numpy(), want.to_numpy(), rtol=1e-12)
+        for c in ("v", "w"):
+            want = part[c].ewm(span=7, adjust=True).mean() if len(part) >= 7 else part[c]
+            np.testing.assert_allclose(got.loc[got.cell == name, c].to_numpy(), want.to_numpy(), rtol=1e-9)
+
+
+def test_ewm_keeps_the_mean_over_a_gap_longer_than_a_piece(spark):
+    v = [1.0, 3.0] + [None] * 700 + [5.0] * 3
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate(v)]
+    got = as_pandas(temporal.ewm(spark.createDataFrame(rows, "cell string, time date, v double"), ["v"], 7, ["cell"], rows=200))
+    want = pd.Series(v, dtype=float).ewm(span=7, adjust=True).mean()
+    np.testing.assert_allclose(got["v"], want, rtol=1e-9)
 
 
 def test_savgol_reproduces_a_parabola(spark):
