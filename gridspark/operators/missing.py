@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import CELL, bind, need, one_row, over_series, present, time_number
+from gridspark.functions.frames import CELL, bind, need, one_of, one_row, over_series, present, time_number
 from gridspark.functions.quantiles import percentile_row
 from gridspark.operators.align import fill_spatial_nearest
 from gridspark.operators.series import in_blocks, next_valid, plain_next_valid
@@ -18,6 +19,48 @@ LIMIT = 3
 PHYTOPLANKTON = ("DIATO", "DINO", "GREEN", "HAPTO", "MICRO", "NANO", "PICO", "PROCHLO", "PROKAR")
 
 
+class Default(NamedTuple):
+    """A missing feature is ``base + slope * chlorophyll`` if its name matches.
+
+    ``names`` must equal the name if ``exact``, else occur in it; ``uncertainty`` tells
+    whether the name must (True) or must not (False) speak of uncertainty.
+    """
+
+    names: tuple[str, ...]
+    base: float
+    slope: float
+    exact: bool = False
+    uncertainty: bool | None = None
+
+    def matches(self, name: str) -> bool:
+        hit = name in self.names if self.exact else any(n in name for n in self.names)
+        return hit and self.uncertainty in (None, "UNCERTAINTY" in name)
+
+
+# Defaults per variant, the first match counts.
+DEFAULTS = {
+    "cli": (
+        Default(("CHL",), 0.0, 1.0, uncertainty=False),
+        Default(("CHL",), 0.0, 0.1, uncertainty=True),
+        Default(("PP",), 0.0, 100.0, exact=True),
+        Default(("PP_",), 0.0, 100.0),
+        Default(("KD",), 0.1, 0.05),
+        Default(PHYTOPLANKTON, 0.0, 0.01, uncertainty=False),
+        Default(PHYTOPLANKTON, 0.0, 0.005, uncertainty=True),
+        Default(("CDM",), 0.01, 0.002, exact=True),
+        Default(("BBP",), 0.001, 0.0003, exact=True),
+    ),
+    "api": (
+        Default(("CHL",), 0.0, 1.0, uncertainty=False),
+        Default(("PP",), 0.0, 100.0),
+        Default(("KD",), 0.1, 0.05),
+        Default(("DIATO", "DINO"), 0.0, 0.01),
+        Default(("CDM",), 0.01, 0.002),
+        Default(("BBP",), 0.001, 0.0003),
+    ),
+}
+
+
 def ffill(df: DataFrame, cols: Sequence[str], limit: int = LIMIT,
           cell: Sequence[str] = CELL, time: str = "time") -> DataFrame:
     """Carry the last valid value forward over at most ``limit`` steps."""
@@ -118,38 +161,13 @@ def fill_zero(df: DataFrame, features: Sequence[str]) -> DataFrame:
         for f in features})
 
 
-def _rule(feature: str, chl: Column, variant: str) -> Column | None:
-    """Default of a feature from chlorophyll, None if no rule applies."""
-    name = feature.upper()
-    unsure = "UNCERTAINTY" in name
-    if "CHL" in name:
-        if not unsure:
-            return chl
-        if variant == "cli":
-            return chl * 0.1
-    if (name == "PP" or "PP_" in name) if variant == "cli" else "PP" in name:
-        return chl * 100.0
-    if "KD" in name:
-        return 0.1 + chl * 0.05
-    groups = PHYTOPLANKTON if variant == "cli" else ("DIATO", "DINO")
-    if any(g in name for g in groups):
-        return chl * (0.005 if unsure and variant == "cli" else 0.01)
-    exact = variant == "cli"
-    if name == "CDM" if exact else "CDM" in name:
-        return 0.01 + chl * 0.002
-    if name == "BBP" if exact else "BBP" in name:
-        return 0.001 + chl * 0.0003
-    return None
-
-
 def impute_features(df: DataFrame, features: Sequence[str], medians: Mapping[str, float] | None = None,
                     variant: str = "cli", chl: str = "chl") -> DataFrame:
     """Every feature a model needs: given value, training median, chlorophyll rule, 0.
 
     Given names match regardless of case.
     """
-    if variant not in ("cli", "api"):
-        raise ValueError(f"unknown variant '{variant}'")
+    one_of(variant, DEFAULTS, "variant")
     need(df, chl)
     have = {c.lower(): c for c in df.columns}
     medians = {k.lower(): v for k, v in (medians or {}).items()}
@@ -159,8 +177,8 @@ def impute_features(df: DataFrame, features: Sequence[str], medians: Mapping[str
         if f.lower() in medians:
             steps.append(F.lit(float(medians[f.lower()])))
         else:
-            rule = _rule(f, F.col(chl).cast("double"), variant)
-            steps += [rule] if rule is not None else []
+            rule = next((d for d in DEFAULTS[variant] if d.matches(f.upper())), None)
+            steps += [rule.base + F.col(chl).cast("double") * rule.slope] if rule else []
         return F.coalesce(*steps, F.lit(0.0))
 
     return df.withColumns({f: value(f) for f in features})

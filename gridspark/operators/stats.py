@@ -20,6 +20,14 @@ from gridspark.operators.temporal import axis_regularity
 
 LEVELS = ("LOW", "MEDIUM", "HIGH")
 CHECKED = ("chl", "kd490", "zsd", "pp")
+
+# Assessment by the share of high-risk samples, the first share exceeded counts.
+ASSESSMENTS = (
+    (0.3, "CRITICAL - Immediate action required"),
+    (0.1, "HIGH - Monitor closely"),
+    (None, "NORMAL - Regular monitoring sufficient"),
+)
+
 AGGREGATES = ("mean", "median", "sum", "min", "max")
 
 
@@ -157,10 +165,8 @@ def summary(df: DataFrame) -> DataFrame:
                  F.avg("confidence").alias("average_confidence"),
                  F.count_if(high).alias("high_risk_count"), F.count_if(low).alias("low_risk_count"))
     share = F.try_divide(F.col("high_risk_count"), F.col("total_samples"))
-    text = (F.when(share > 0.3, "CRITICAL - Immediate action required")
-            .when(share > 0.1, "HIGH - Monitor closely")
-            .when(share.isNotNull(), "NORMAL - Regular monitoring sufficient"))
-    return row.withColumn("risk_assessment", text)
+    tests = [F.when(share > limit if limit is not None else share.isNotNull(), text) for limit, text in ASSESSMENTS]
+    return row.withColumn("risk_assessment", F.coalesce(*tests))
 
 
 def batch_stats(df: DataFrame) -> DataFrame:
