@@ -33,8 +33,3 @@ def on_view(name: str, source: str, fn: Callable[[DataFrame], DataFrame], sql: s
 
 def rounded(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-def r(*cols: str, digits: int = 6) -> str:
-    """``round(c, 6) AS c`` for every column, as SQL text."""
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
