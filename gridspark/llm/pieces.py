@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"  # stands for a blank inside pieces
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SHIFT = np.uint64(44)
 MEMO = 400_000  # distinct words a task remembers
 
 
@@ -24,6 +25,7 @@ class Pieces:
 
     texts: list[str]
     keys: np.ndarray
+    present: np.ndarray     # which leading bits of a hash occur among the keys
     ids: np.ndarray
     scores: np.ndarray
     points: np.ndarray      # code points of each piece, filled up with zeros
@@ -52,7 +54,9 @@ def vocabulary(pieces: list[tuple[str, float]], byte_ids: dict[int, int], skip:
     by_value = np.zeros(256, dtype=np.int32)
     for value, i in byte_ids.items():
         values[i], by_value[value] = value, i
-    return Pieces([p for p, _ in pieces], keys[order], np.array(own, dtype=np.int32)[order], scores[order], points[order],
+    present = np.zeros(1 << 20, dtype=bool)
+    present[keys >> SHIFT] = True
+    return Pieces([p for p, _ in pieces], keys[order], present, np.array(own, dtype=np.int32)[order], scores[order], points[order],
                   lengths[order], longest, by_value, float(scores.min()) - 10.0, values)
 
 
@@ -74,7 +78,7 @@ def _hashes(points: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = (h ^ points[:, k:k + spots].astype(np.uint64)) * BASE
         h ^= h >> np.uint64(29)
-    return h
+    return h * BASE
 
 
 def viterbi(points: np.ndarray, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +92,11 @@ def viterbi(points: np.ndarray, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
     rows = np.full((vocab.longest + 1, n, size), -1, dtype=np.int32)
     for k in range(1, min(vocab.longest, size) + 1):
         h = _hashes(points, k)
-        at = np.minimum(np.searchsorted(vocab.keys, h.ravel()), len(vocab.keys) - 1).reshape(h.shape)
-        w, s = np.nonzero((vocab.keys[at] == h) & (vocab.lengths[at] == k))
-        piece = at[w, s]
+        w, s = np.nonzero(vocab.present[h >> SHIFT])  # most substrings are no piece and end here
+        h = h[w, s]
+        at = np.minimum(np.searchsorted(vocab.keys, h), len(vocab.keys) - 1)
+        known = (vocab.keys[at] == h) & (vocab.lengths[at] == k)
+        w, s, piece = w[known], s[known], at[known]
         # equal hashes are compared character by character
         same = (points[w[:, None], s[:, None] + np.arange(k)] == vocab.points[piece, :k]).all(axis=1)
         w, s, piece = w[same], s[same], piece[same]
@@ -109,9 +115,9 @@ def viterbi(points: np.ndarray, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return start, last
 
 
-def encode_words(words: list[str], vocab: Pieces) -> list[list[int]]:
-    """Ids of words, a word being blanks and then other characters; equally long words advance together."""
-    out: list[list[int]] = [[]] * len(words)
+def encode_words(words: list[str], vocab: Pieces) -> list[bytes]:
+    """Ids of words as little-endian int32, a word being blanks and then other characters; equally long words advance together."""
+    out: list[bytes] = [b""] * len(words)
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
@@ -120,23 +126,23 @@ def encode_words(words: list[str], vocab: Pieces) -> list[list[int]]:
         for s in range(0, len(where), step):
             part = where[s:s + step]
             points = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), size)
-            # a lone stand-in character of the text itself was moved aside by prepare()
             start, last = viterbi(points, vocab)
+            found = np.full((len(part), size), -2, dtype=np.int32)  # the piece that ends there, -1: a character without one
             ends, active = np.full(len(part), size), np.arange(len(part))
-            chain: list[list[int]] = [[] for _ in part]
             while len(active):
                 e = ends[active]
-                b, p = start[active, e], last[active, e]
-                for i, piece, at in zip(active.tolist(), p.tolist(), b.tolist()):
-                    if piece >= 0:
-                        chain[i].append(int(vocab.ids[piece]))
-                    else:
-                        raw = _char(int(points[i, at])).encode()
-                        chain[i].extend(int(vocab.bytes_[x]) for x in reversed(raw))
-                ends[active] = b
-                active = active[b > 0]
-            for i, ids in zip(part, chain):
-                out[i] = ids[::-1]
+                found[active, e - 1] = last[active, e]
+                ends[active] = start[active, e]
+                active = active[ends[active] > 0]
+            met = found > -2
+            ids = vocab.ids[found[met]].astype("<i4").tobytes()
+            upto = np.concatenate(([0], np.cumsum(met.sum(axis=1)))) * 4
+            for i, x, y in zip(part, upto[:-1].tolist(), upto[1:].tolist()):
+                out[i] = ids[x:y]
+            for r in np.flatnonzero((found == -1).any(axis=1)).tolist():
+                out[part[r]] = b"".join(
+                    vocab.ids[p].tobytes() if p >= 0 else vocab.bytes_[list(_char(c).encode())].tobytes()
+                    for p, c in zip(found[r].tolist(), points[r].tolist()) if p > -2)
     return out
 
 
@@ -144,7 +150,7 @@ ASIDE = "\udfff"  # no text holds a lone surrogate: it keeps the place of a stan
 
 
 def _char(point: int) -> str:
-    return SPACE if chr(point) == ASIDE else chr(point)
+    return SPACE if point == 0xDFFF else chr(point)
 
 
 def prepare(text: str) -> str:
@@ -156,7 +162,8 @@ class Coder:
     """Encodes and decodes texts of a task; remembers words, up to a bound on their number."""
 
     def __init__(self, vocab: Pieces):
-        self.vocab, self.memo = vocab, {}
+        self.vocab = vocab
+        self.memo: dict[str, bytes] = {}
         self.bytes = [bytes([v]) if v >= 0 else p.replace(SPACE, " ").encode() for p, v in zip(vocab.texts, vocab.values.tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -168,7 +175,7 @@ class Coder:
         for w, ids in zip(new, encode_words(new, self.vocab)):
             self.memo[w] = ids
         get = self.memo.__getitem__
-        return [np.array([i for ids in map(get, words) for i in ids], dtype=np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -176,7 +183,7 @@ class Coder:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, model_file: str, texts_at_once: int = 64) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, texts_at_once: int = 512) -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text.  Missing and empty texts have no ids; each row stands for itself."""
     vocab = load(model_file)
 
@@ -205,7 +212,7 @@ def decode(coded: DataFrame, model_file: str) -> DataFrame:
     return own.mapInPandas(run, "doc_id long, text string")
 
 
-def coded(docs: DataFrame, model_file: str, texts_at_once: int = 64) -> DataFrame:
+def coded(docs: DataFrame, model_file: str, texts_at_once: int = 512) -> DataFrame:
     """Per document ``n_pieces, n_bytes_pieces, ids_crc32`` and whether decoding gives the text back."""
     vocab = load(model_file)
 
