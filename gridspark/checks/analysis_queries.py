@@ -63,8 +63,7 @@ def _clip(v: str, a: float, b: float) -> str:
     return f"CASE WHEN {v} IS NOT NULL THEN round(greatest(least({v}, {_q(v, b)}), {_q(v, a)}), 6) END AS {v}"
 
 
-# limit=0 takes the path that large inputs take
-on_view("out_4", "grid", lambda d: _pick(outliers.clip_outliers(d, PAIR, limit=0), *PAIR),
+on_view("out_4", "grid", lambda d: _pick(outliers.clip_outliers(d, PAIR), *PAIR),
         f"SELECT {POS}, {', '.join(_clip(v, 0.01, 0.99) for v in PAIR)} FROM grid")
 on_view("out_5", "grid", lambda d: _pick(outliers.winsorize(d, PAIR), *PAIR),
         f"SELECT {POS}, {', '.join(_clip(v, 0.05, 0.95) for v in PAIR)} FROM grid")
@@ -317,7 +316,7 @@ def agg_5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # medians per time step on the path that large inputs take
-on_view("agg_5_ranked", "grid", lambda d: rounded(stats.spatial_series(d, "chl", "median", limit=0), ["chl"]),
+on_view("agg_5_ranked", "grid", lambda d: rounded(stats.spatial_series(d, "chl", "median"), ["chl"]),
         "SELECT time, round(quantile_cont(chl, 0.5), 6) AS chl FROM grid GROUP BY time")
 on_view("agg_6", "grid", lambda d: stats.coverage(d, ["lat"]),
         "SELECT lat, min(time) AS first, max(time) AS last, count(DISTINCT time) AS steps FROM grid GROUP BY lat")
@@ -335,7 +334,7 @@ on_view("agg_9", "samples", lambda d: rounded(stats.batch_stats(labels.score_rul
 SELECT count(*) AS total, count(*) FILTER (id % 9 > 0) AS successful, count(*) FILTER (id % 9 > 0 AND level = 'HIGH') AS high_risk,
   round(count(*) FILTER (id % 9 > 0) / count(*), 6) AS success_rate FROM scored""")
 DESCRIBED = ("chl", "pp", "kd490")
-on_view("agg_10", "samples", lambda d: rounded(stats.describe_exact(d, DESCRIBED, limit=0), ("mean", "std", "min", "p25", "p50", "p75", "max")),
+on_view("agg_10", "samples", lambda d: rounded(stats.describe_exact(d, DESCRIBED), ("mean", "std", "min", "p25", "p50", "p75", "max")),
         " UNION ALL ".join(f"""SELECT '{v}' AS var, count({v}) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, round(min({v}), 6) AS min,
   round(quantile_cont({v}, 0.25), 6) AS p25, round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.75), 6) AS p75, round(max({v}), 6) AS max FROM samples"""
                            for v in DESCRIBED))
@@ -348,7 +347,7 @@ c AS (SELECT least(CAST(floor((sst - lo) / w) AS BIGINT), 19) AS bin, count(*) A
 SELECT b.bin, round(lo + w * b.bin, 6) AS left_edge, round(lo + w * (b.bin + 1), 6) AS right_edge, COALESCE(n, 0) AS n
 FROM range(20) b(bin) CROSS JOIN m LEFT JOIN c ON c.bin = b.bin""")
 BOX = ("mean", "q1", "median", "q3", "whisker_low", "whisker_high")
-on_view("agg_14", "samples", lambda d: rounded(stats.box_stats(labels.score_rules(d), "pp", ["level"], limit=0), BOX), """
+on_view("agg_14", "samples", lambda d: rounded(stats.box_stats(labels.score_rules(d), "pp", ["level"]), BOX), """
 WITH q AS (SELECT level, quantile_cont(pp, 0.25) AS q1, quantile_cont(pp, 0.5) AS med, quantile_cont(pp, 0.75) AS q3 FROM scored GROUP BY level),
 j AS (SELECT s.level, s.pp, q1, med, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM scored s JOIN q ON s.level = q.level)
 SELECT level, count(pp) AS n, round(avg(pp), 6) AS mean, round(min(q1), 6) AS q1, round(min(med), 6) AS median, round(min(q3), 6) AS q3,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,9 +202,9 @@ on_view("tx_2", "listing", lambda d: d.where(text.name_contains(F.col("var"), "C
 @query("jn_1", f"""
 SELECT COALESCE(a.time, b.time) AS time, COALESCE(a.lat, b.lat) AS lat, COALESCE(a.lon, b.lon) AS lon,
   {", ".join(f"a.{v}" for v in GRID_VARS)}, b.cdm, b.bbp
-FROM (SELECT * FROM grid WHERE lat >= 20) a FULL JOIN grid_b b ON a.time = b.time AND a.lat = b.lat AND a.lon = b.lon""")
+FROM (SELECT * REPLACE (lat + 2 AS lat) FROM grid) a FULL JOIN grid_b b ON a.time = b.time AND a.lat = b.lat AND a.lon = b.lon""")
 def jn_1(spark: SparkSession, folder: str) -> DataFrame:
-    a = view(spark, folder, "grid").where("lat >= 20")
+    a = view(spark, folder, "grid").withColumn("lat", F.col("lat") + 2)
     b = view(spark, folder, "grid_b").withColumn("chl", F.lit(-1.0))
     return align.merge_grids([a, b])
 
@@ -219,13 +221,22 @@ def jn_2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 on_view("jn_3", "grid", lambda d: align.densify(d), f"SELECT {GRID} FROM dense")
-on_view("jn_4", "grid", lambda d: align.fill_spatial_nearest(align.densify(d), "chl").select(*COORDS, "chl"), """
-WITH ok AS (SELECT time FROM dense GROUP BY time HAVING count(chl) >= 10),
-pairs AS (SELECT m.time, m.lat, m.lon, v.chl, row_number() OVER (PARTITION BY m.time, m.lat, m.lon
+def _nearest(source: str, cols: Sequence[str], digits: int | None = None) -> str:
+    """Every variable of ``source`` with its gaps filled from the nearest cell of the slice."""
+    out, tables, joins = [], [], []
+    for c in cols:
+        tables.append(f"""p_{c} AS (SELECT m.time, m.lat, m.lon, v.{c}, row_number() OVER (PARTITION BY m.time, m.lat, m.lon
     ORDER BY (m.lat - v.lat)**2 + (m.lon - v.lon)**2, v.lat, v.lon) AS rn
-  FROM dense m JOIN ok ON m.time = ok.time JOIN dense v ON v.time = m.time AND v.chl IS NOT NULL WHERE m.chl IS NULL)
-SELECT d.time, d.lat, d.lon, COALESCE(d.chl, p.chl) AS chl FROM dense d
-LEFT JOIN pairs p ON p.time = d.time AND p.lat = d.lat AND p.lon = d.lon AND p.rn = 1""")
+  FROM {source} m JOIN (SELECT time FROM {source} GROUP BY time HAVING count({c}) >= 10) ok ON m.time = ok.time
+  JOIN {source} v ON v.time = m.time AND v.{c} IS NOT NULL WHERE m.{c} IS NULL)""")
+        joins.append(f"LEFT JOIN p_{c} ON p_{c}.time = d.time AND p_{c}.lat = d.lat AND p_{c}.lon = d.lon AND p_{c}.rn = 1")
+        value = f"COALESCE(d.{c}, p_{c}.{c})"
+        out.append(f"{value if digits is None else f'round({value}, {digits})'} AS {c}")
+    return f"WITH {', '.join(tables)} SELECT d.time, d.lat, d.lon, {', '.join(out)} FROM {source} d {' '.join(joins)}"
+
+
+on_view("jn_4", "grid", lambda d: align.fill_spatial_nearest(align.densify(d), GRID_VARS).select(*COORDS, *GRID_VARS),
+        _nearest("dense", GRID_VARS))
 on_view("jn_5", "grid", lambda d: align.series_at(d, 22.6, -93.5).select(*COORDS, "chl", "sst"), """
 SELECT time, lat, lon, chl, sst FROM grid
 WHERE lat = (SELECT lat FROM grid ORDER BY abs(lat - 22.6), lat LIMIT 1) AND lon = (SELECT lon FROM grid ORDER BY abs(lon + 93.5), lon LIMIT 1)""")
@@ -266,10 +277,10 @@ def jn_10(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- set operations
 
 @query("set_1", """
-SELECT time, lat, lon, chl, CAST(NULL AS DOUBLE) AS bbp FROM grid WHERE time < DATE '1996-01-01'
+SELECT time, lat, lon, chl, CAST(NULL AS DOUBLE) AS bbp FROM grid
 UNION ALL SELECT time, lat, lon, NULL, bbp FROM grid_b""")
 def set_1(spark: SparkSession, folder: str) -> DataFrame:
-    a = view(spark, folder, "grid").where("time < DATE '1996-01-01'").select(*COORDS, "chl")
+    a = view(spark, folder, "grid").select(*COORDS, "chl")
     return align.concat_time([a, view(spark, folder, "grid_b").select(*COORDS, "bbp")])
 
 
@@ -327,14 +338,11 @@ on_view("mv_1_series", "series", lambda d: rounded(
     missing.interpolate_time(d, ["v"], cell=("cell",), long_series=True), ["v"]),
     f"SELECT cell, time, round(v_filled, 6) AS v FROM ({_interpolated('v', 'series', 'cell')})")
 
-on_view("mv_2", "grid", lambda d: rounded(missing.fill_missing(align.densify(d).select(*COORDS, "kd490"), ["kd490"]), ["kd490"]), f"""
-WITH a AS (SELECT time, lat, lon, kd490_filled AS v FROM ({_interpolated("kd490", "dense", "lat, lon")})),
-ok AS (SELECT time FROM a GROUP BY time HAVING count(v) >= 10),
-pairs AS (SELECT m.time, m.lat, m.lon, o.v, row_number() OVER (PARTITION BY m.time, m.lat, m.lon
-    ORDER BY (m.lat - o.lat)**2 + (m.lon - o.lon)**2, o.lat, o.lon) AS rn
-  FROM a m JOIN ok ON m.time = ok.time JOIN a o ON o.time = m.time AND o.v IS NOT NULL WHERE m.v IS NULL)
-SELECT a.time, a.lat, a.lon, round(COALESCE(a.v, p.v), 6) AS kd490 FROM a
-LEFT JOIN pairs p ON p.time = a.time AND p.lat = a.lat AND p.lon = a.lon AND p.rn = 1""")
+on_view("mv_2", "grid", lambda d: rounded(missing.fill_missing(align.densify(d), GRID_VARS).select(*COORDS, *GRID_VARS), GRID_VARS, 8),
+        "WITH " + ", ".join(f"i_{c} AS ({_interpolated(c, 'dense', 'lat, lon')})" for c in GRID_VARS)
+        + ", filled AS (SELECT d.time, d.lat, d.lon, " + ", ".join(f"i_{c}.{c}_filled AS {c}" for c in GRID_VARS) + " FROM dense d "
+        + " ".join(f"JOIN i_{c} ON i_{c}.time = d.time AND i_{c}.lat = d.lat AND i_{c}.lon = d.lon" for c in GRID_VARS)
+        + "), " + _nearest("filled", GRID_VARS, 8).removeprefix("WITH "))
 
 W = "(PARTITION BY lat, lon ORDER BY time ROWS BETWEEN"
 on_view("mv_3", "grid", lambda d: missing.ffill(align.densify(d), ["chl"]).select(*COORDS, "chl"),

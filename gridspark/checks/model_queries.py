@@ -232,8 +232,8 @@ on_view("pr_2", "samples", lambda d: _flat(scoring.score_or_rules(d), "features_
 
 
 @query("pr_3", """
-WITH s(name, chl, level, confidence) AS (VALUES ('clear', 0.3, 'LOW', 0.85), ('moderate', 2.5, 'MEDIUM', 0.75), ('polluted', 8.0, 'HIGH', 0.8),
-  ('coastal', 0.8, 'LOW', 0.85), ('bloom', 15.0, 'HIGH', 0.8))
+WITH s(name, chl, level, confidence) AS (VALUES ('open_ocean', 0.11, 'LOW', 0.85), ('shelf_winter', 0.65, 'LOW', 0.85), ('upwelling', 3.4, 'HIGH', 0.8),
+  ('river_plume', 4.2, 'HIGH', 0.8), ('estuary_summer', 11.7, 'HIGH', 0.8))
 SELECT s.name, s.level, CAST(s.confidence AS DOUBLE) AS confidence, (SELECT count(*) FROM scored x WHERE x.level = s.level) AS samples FROM s""")
 def pr_3(spark: SparkSession, folder: str) -> DataFrame:
     like = stats.level_counts(labels.score_rules(view(spark, folder, "samples"))).withColumnRenamed("n", "samples")

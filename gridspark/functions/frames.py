@@ -13,10 +13,6 @@ from pyspark.sql import types as T
 COORDS = ("time", "lat", "lon")
 CELL = ("lat", "lon")
 
-# Inputs above this many bytes never go through an operator that holds all
-# distinct values of a column in one task.
-DIRECT_BYTES = 32 * 1024 * 1024
-
 
 def numeric_columns(df: DataFrame, skip: Iterable[str] = COORDS) -> list[str]:
     """Numeric columns of ``df`` in order, without ``skip``."""
@@ -66,20 +62,6 @@ def bind(df: DataFrame, row: Column, name: str = "_row") -> tuple[DataFrame, Col
     return df.withColumn(name, row), F.col(name)
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the plan's leaves as the optimizer sees them; None if unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # no JVM handle (Spark Connect): treat the size as unknown
-        return None
-
-
-def fits(df: DataFrame, limit: int | None = None) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= (DIRECT_BYTES if limit is None else limit)
-
-
 def over_series(cell: Sequence[str] = CELL, time: str = "time") -> WindowSpec:
     """The window all time-wise operators share, so that one shuffle serves them all."""
     return Window.partitionBy(*cell).orderBy(time)

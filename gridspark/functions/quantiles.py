@@ -1,10 +1,8 @@
-"""Exact percentiles (linear interpolation) that stay distributed.
+"""Exact percentiles (linear interpolation) that stay distributed, by one method at every size.
 
-``percentile`` keeps every distinct value of a group in one task.  That is the
-fastest way for small inputs and impossible for large ones, so the input size
-decides.  The large path counts values in a fine, order-preserving bucketing,
-keeps only the buckets that hold a wanted rank, and orders just those: no
-shuffle ever carries more than bucket counts or the few selected buckets.
+Values fall into buckets that depend on the value alone: the power of two, cut into 2^12 parts, each cut into 2^14.
+Counts of the coarse parts tell which of them hold a wanted rank; of those the fine parts are counted, and only
+values in the right fine parts are ordered.  Three scans, whatever the number of columns; shuffles carry counts and few values.
 """
 
 from __future__ import annotations
@@ -14,22 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import as_scalar, bind, fits, one_row
+from gridspark.functions.frames import as_scalar
 
-LEVEL_BITS = 14  # two levels: 2^14 coarse buckets, each cut into 2^14 fine ones
+COARSE_BITS, FINE_BITS = 12, 14
+OFFSET = 1100 << COARSE_BITS  # above all exponents of doubles
 
 
-def _stretch(v: Column) -> Column:
-    """Monotone map that spreads values of very different magnitude."""
-    return F.signum(v) * F.log1p(F.abs(v) * F.lit(1e6))
-
-
-def _fine(v: Column, lo: Column, hi: Column) -> Column:
-    """Number of the fine bucket of ``v`` between the stretched extremes; never decreases with ``v``."""
-    cells = 1 << (2 * LEVEL_BITS)
-    share = (_stretch(v) - lo) / (hi - lo)
-    return F.when(hi > lo, F.least(F.floor(share * F.lit(float(cells))), F.lit(cells - 1))
-                  ).otherwise(F.lit(0)).cast("long")
+def _buckets(v: Column) -> tuple[Column, Column]:
+    """Coarse and fine bucket of a double; pairs never fall as values rise.  Infinities have buckets of their own."""
+    size = F.abs(v)
+    power = F.least(F.floor(F.log2(size)), F.lit(1023))
+    part = (size / F.pow(F.lit(2.0), power) - 1) * float(1 << COARSE_BITS)
+    coarse = F.floor(part)
+    fine = F.least(F.floor((part - coarse) * float(1 << FINE_BITS)), F.lit((1 << FINE_BITS) - 1))
+    sign = F.signum(v).cast("long")
+    plain = (size > 0) & (size < float("inf"))
+    return (F.when(plain, sign * (power * (1 << COARSE_BITS) + coarse + OFFSET)).otherwise(
+                F.when(size > 0, sign * (2 * OFFSET)).otherwise(0)).cast("long"),
+            F.when(plain, sign * fine).otherwise(0).cast("long"))
 
 
 def _running(by: Sequence[str], order: str, count: str = "_c") -> Column:
@@ -37,24 +37,14 @@ def _running(by: Sequence[str], order: str, count: str = "_c") -> Column:
     return F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """One row per ``by`` group; each of ``cols`` becomes an array with one entry per prob, NULL without values."""
+    cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     keys = [*by, "_var"]
-    small = F.broadcast if not by else (lambda d: d)  # without groups: at most len(cols) rows
-
-    pairs = F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in cols]))
-    data = df.select(*by, pairs).where(F.col("_v").isNotNull())
-
-    # The extremes of every column come out of one wide pass without a row per value.
-    span = df.groupBy(*by).agg(*[
-        F.struct(F.lit(c).alias("_var"), F.count(c).alias("_n"),
-                 _stretch(F.min(F.col(c).cast("double"))).alias("_lo"),
-                 _stretch(F.max(F.col(c).cast("double"))).alias("_hi")).alias(f"_s{i}")
-        for i, c in enumerate(cols)])
-    span = span.select(*by, F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])))
-    ranks = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor((F.col("_n") - 1) * F.lit(p)), F.ceil((F.col("_n") - 1) * F.lit(p)))
-        for p in probs])))
+    small = F.broadcast if not by else (lambda d: d)  # without groups: at most two rows per column and prob
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in cols]))
+    b1, b2 = _buckets(F.col("_v"))
+    data = df.select(*by, pairs).where(F.col("_v").isNotNull()).withColumns({"_b1": b1, "_b2": b2})
 
     def joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
         cond = None
@@ -64,40 +54,37 @@ def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequ
         extra = [F.col(f"r.{c}") for c in right.columns if c not in on]
         return left.alias("l").join(small(right).alias("r"), cond).select("l.*", *extra)
 
-    placed = (joined(data, span, keys)
-              .withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
-              .withColumn("_b1", F.shiftright("_b2", LEVEL_BITS))
-              .drop("_n", "_lo", "_hi"))
-    wanted = span.select(*keys, ranks.alias("_ranks"))
+    def ranks(p: float) -> tuple[Column, Column]:
+        spot = (F.col("_n") - 1) * F.lit(p)
+        return F.floor(spot), F.ceil(spot)
 
     def holds() -> Column:
-        return F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
+        found = F.lit(False)
+        for r in (r for p in probs for r in ranks(p)):
+            found = found | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")))
+        return found
 
-    coarse = placed.groupBy(*keys, "_b1").agg(F.count("*").alias("_c"))
-    coarse = coarse.withColumn("_before", _running(keys, "_b1"))
-    coarse = joined(coarse, wanted, keys).where(holds()).select(
-        *keys, "_b1", F.col("_before").alias("_base"), "_ranks")
+    coarse = data.groupBy(*keys, "_b1").agg(F.count("*").alias("_c"))
+    coarse = coarse.withColumns({"_before": _running(keys, "_b1"), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    coarse = coarse.where(holds()).select(*keys, "_b1", "_n", F.col("_before").alias("_base"))
 
-    finer = joined(placed, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_ranks").agg(
-        F.count("*").alias("_c"))
-    finer = finer.withColumn("_before", F.col("_base") + _running([*keys, "_b1"], "_b2"))
-    finer = finer.where(holds()).select(*keys, "_b2", F.col("_before").alias("_base"))
+    fine = joined(data, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_n").agg(F.count("*").alias("_c"))
+    fine = fine.withColumn("_before", F.col("_base") + _running([*keys, "_b1"], "_b2"))
+    fine = fine.where(holds()).select(*keys, "_b1", "_b2", "_n", F.col("_before").alias("_base"))
 
-    values = joined(placed, finer, [*keys, "_b2"]).groupBy(*keys, "_b2", "_base", "_v").agg(
-        F.count("*").alias("_c"))
-    values = values.withColumn("_before", F.col("_base") + _running([*keys, "_b2"], "_v"))
-    values = joined(values, span.select(*keys, "_n"), keys)
+    values = joined(data, fine, [*keys, "_b1", "_b2"]).groupBy(*keys, "_b1", "_b2", "_base", "_n", "_v").agg(F.count("*").alias("_c"))
+    values = values.withColumn("_before", F.col("_base") + _running([*keys, "_b1", "_b2"], "_v"))
 
-    def at(i: int, rank: Column) -> Column:
+    def at(c: str, rank: Column) -> Column:
         inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-        return F.max(F.when((F.col("_var") == cols[i]) & inside, F.col("_v")))
+        return F.max(F.when((F.col("_var") == c) & inside, F.col("_v")))
 
     aggs = []
     for i, c in enumerate(cols):
         for j, p in enumerate(probs):
-            pos = (F.col("_n") - 1) * F.lit(p)
-            aggs += [at(i, F.floor(pos)).alias(f"_lo{i}_{j}"), at(i, F.ceil(pos)).alias(f"_hi{i}_{j}"),
-                     F.max(F.when(F.col("_var") == c, pos - F.floor(pos))).alias(f"_f{i}_{j}")]
+            low, high = ranks(p)
+            aggs += [at(c, low).alias(f"_lo{i}_{j}"), at(c, high).alias(f"_hi{i}_{j}"),
+                     F.max(F.when(F.col("_var") == c, (F.col("_n") - 1) * F.lit(p) - low)).alias(f"_f{i}_{j}")]
     wide = values.groupBy(*by).agg(*aggs)
     if by:  # groups whose values are all missing still get their row
         cond = None
@@ -109,30 +96,16 @@ def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequ
             *[F.col(f"g.{k}") for k in by], *[F.col(f"w.{c}") for c in wide.columns if c not in by])
     out = []
     for i, c in enumerate(cols):
-        parts = [F.col(f"_lo{i}_{j}") + (F.col(f"_hi{i}_{j}") - F.col(f"_lo{i}_{j}")) * F.col(f"_f{i}_{j}")
-                 for j in range(len(probs))]
-        out.append(F.when(F.col(f"_lo{i}_0").isNotNull(), F.array(*parts)).alias(c))
+        lo, hi, f = ([F.col(f"_{x}{i}_{j}") for j in range(len(probs))] for x in ("lo", "hi", "f"))
+        # equal ends need no arithmetic, which infinities would not survive
+        parts = [F.when((a == b) | (t == 0), a).otherwise(a + (b - a) * t) for a, b, t in zip(lo, hi, f)]
+        out.append(F.when(lo[0].isNotNull(), F.array(*parts)).alias(c))
     return wide.select(*by, *out)
 
 
-def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """One row per ``by`` group; each of ``cols`` becomes an array with one entry per prob.
-
-    ``limit`` overrides the input size in bytes up to which ``percentile`` is used
-    (0 forces the distributed path).
-    """
-    cols, probs, by = list(cols), [float(p) for p in probs], list(by)
-    if fits(df.select(*by, *cols), limit):
-        want = F.array(*[F.lit(p) for p in probs])
-        return df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), want).alias(c) for c in cols])
-    return _ranked(df, cols, probs, by)
-
-
-def percentile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   limit: int | None = None) -> Column:
+def percentile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> Column:
     """Global percentiles as a scalar struct: ``row[col][i]`` is the i-th prob."""
-    return as_scalar(percentiles(df, cols, probs, limit=limit))
+    return as_scalar(percentiles(df, cols, probs))
 
 
 def value_ranks(df: DataFrame, var: str) -> DataFrame:
@@ -142,13 +115,12 @@ def value_ranks(df: DataFrame, var: str) -> DataFrame:
     the fine ones inside a coarse one, and over the values inside a fine one.
     """
     counts = df.where(F.col(var).isNotNull()).groupBy(F.col(var).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    held, span = bind(counts, one_row(df, lo=_stretch(F.min(var)), hi=_stretch(F.max(var))))
-    placed = (held.withColumn("_b2", _fine(F.col("v"), span["lo"], span["hi"]))
-              .withColumn("_b1", F.shiftright("_b2", LEVEL_BITS)).drop("_row"))
+    b1, b2 = _buckets(F.col("v"))
+    placed = counts.withColumns({"_b1": b1, "_b2": b2})
     fine = placed.groupBy("_b1", "_b2").agg(F.sum("c").alias("c"))
-    coarse = fine.groupBy("_b1").agg(F.sum("c").alias("c"))  # at most 2^14 rows
+    coarse = fine.groupBy("_b1").agg(F.sum("c").alias("c"))  # as many rows as coarse buckets, which the range of doubles bounds
     coarse = coarse.select("_b1", _running([], "_b1", "c").alias("_s1"))
-    fine = fine.select("_b1", "_b2", _running(["_b1"], "_b2", "c").alias("_s2")).join(F.broadcast(coarse), "_b1")
+    fine = fine.select("_b1", "_b2", _running(["_b1"], "_b2", "c").alias("_s2")).join(coarse, "_b1")
     inner = _running(["_b1", "_b2"], "v", "c")
     return placed.join(fine, ["_b1", "_b2"]).select(
         "v", "c", (F.col("_s1") + F.col("_s2") + inner).alias("start"))

@@ -15,12 +15,18 @@ from gridspark.operators.text import name_contains, names_overlap
 
 
 def merge_grids(grids: Sequence[DataFrame], on: Sequence[str] = COORDS) -> DataFrame:
-    """Full outer join on the coordinates; a variable found twice keeps the first grid's column."""
-    def add(left: DataFrame, right: DataFrame) -> DataFrame:
-        have = {c.lower() for c in left.columns}
-        fresh = [c for c in right.columns if c.lower() not in have]
-        return left.join(right.select(*on, *fresh), list(on), "full")
-    return reduce(add, grids)
+    """All cells of all grids, one row each; a variable found twice keeps the first grid's column.
+
+    One union and one grouping, however many grids there are.  Cells are unique within a grid.
+    """
+    have: dict[str, str] = {}
+    parts = []
+    for g in grids:
+        fresh = [c for c in g.columns if c.lower() not in have and c not in on]
+        have.update({c.lower(): c for c in fresh})
+        parts.append(g.select(*on, *fresh))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(*on).agg(*[F.first(c, ignorenulls=True).alias(c) for c in have.values()]) if have else rows.distinct()
 
 
 def axis(df: DataFrame, dim: str) -> DataFrame:
@@ -40,16 +46,18 @@ def lookup_by_coords(points: DataFrame, grids: Sequence[DataFrame]) -> DataFrame
 
 
 def lookup_by_position(points: DataFrame, grids: Sequence[DataFrame]) -> DataFrame:
-    """Every variable at ``time_idx, lat_idx, lon_idx`` of each grid's own axes, NULL outside."""
-    on = [f"{d}_idx" for d in COORDS]
+    """Every variable of every grid at axis positions (``time_idx, lat_idx, lon_idx``), NULL where absent.
+
+    The points are translated to coordinates; a grid is joined once, on its coordinates.
+    """
     out = points
     for g in grids:
         have = {c.lower() for c in out.columns}
         fresh = [c for c in g.columns if c.lower() not in have and c not in COORDS]
-        placed = g
-        for d in COORDS:
-            placed = placed.join(axis(g, d), d)
-        out = out.join(placed.select(*on, *fresh), on, "left")
+        own = {d: f"_{d}" for d in COORDS}
+        placed = reduce(lambda d, dim: d.join(axis(g, dim).withColumnsRenamed(own), f"{dim}_idx", "left"), COORDS, out)
+        cells = g.select(*COORDS, *fresh).withColumnsRenamed(own)
+        out = placed.join(cells, list(own.values()), "left").select(*out.columns, *fresh)
     return out
 
 
@@ -150,27 +158,26 @@ def check_compatible(a: DataFrame, b: DataFrame, dims: Sequence[str] = ("lat", "
 STRIP = 64
 
 
-def _fill_strip(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nearest value along latitude for a strip of columns, given the nearest one per row.
+def _fill_strip(pdf: pd.DataFrame, k: int) -> np.ndarray:
+    """Nearest values along latitude of variable ``k`` for a strip of columns, given the nearest ones per row.
 
     Looks one latitude further each step and stops when no cell can improve, so a
     strip costs as many vector operations as its longest distance in rows.
     """
-    pdf = pdf.sort_values(["lat", "lon"], kind="stable")
     lats, y = np.unique(pdf["lat"].to_numpy(), return_inverse=True)
     lons, x = np.unique(pdf["lon"].to_numpy(), return_inverse=True)
     shape = (len(lats), len(lons))
     d0, lon0, v0 = np.full(shape, np.inf), np.full(shape, np.inf), np.full(shape, np.nan)
-    d0[y, x] = pdf["_d2"].fillna(np.inf).to_numpy(dtype=float)
-    lon0[y, x] = pdf["_lon"].fillna(np.inf).to_numpy(dtype=float)
-    v0[y, x] = pdf["_v"].to_numpy(dtype=float)
+    d0[y, x] = pdf[f"_d2{k}"].fillna(np.inf).to_numpy(dtype=float)
+    lon0[y, x] = pdf[f"_lon{k}"].fillna(np.inf).to_numpy(dtype=float)
+    v0[y, x] = pdf[f"_v{k}"].to_numpy(dtype=float)
     best, best_lat, best_v = d0.copy(), np.repeat(lats[:, None], shape[1], axis=1), v0.copy()
     best_lon = lon0.copy()
-    for k in range(1, len(lats)):
-        gap = (lats[k:] - lats[:-k]) ** 2
-        if np.all(gap[:, None] > np.maximum(best[k:], best[:-k])):
+    for step in range(1, len(lats)):
+        gap = (lats[step:] - lats[:-step]) ** 2
+        if np.all(gap[:, None] > np.maximum(best[step:], best[:-step])):
             break
-        for dst, src in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+        for dst, src in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
             d = gap[:, None] + d0[src]
             at = np.repeat(lats[src][:, None], shape[1], axis=1)
             closer = (d < best[dst]) | ((d == best[dst]) & np.isfinite(d) & (
@@ -179,43 +186,64 @@ def _fill_strip(pdf: pd.DataFrame) -> pd.DataFrame:
             best_lat[dst] = np.where(closer, at, best_lat[dst])
             best_lon[dst] = np.where(closer, lon0[src], best_lon[dst])
             best_v[dst] = np.where(closer, v0[src], best_v[dst])
-    gap_rows = pdf["_gap"].to_numpy(dtype=bool)
-    return pdf[["time", "lat", "lon"]].assign(_fill=best_v[y, x])[gap_rows]
+    return best_v[y, x]
 
 
-def fill_spatial_nearest(df: DataFrame, var: str, min_valid: int = 10) -> DataFrame:
-    """Fill each missing cell of a time slice with its nearest valid cell (degrees, Euclidean).
+def fill_spatial_nearest(df: DataFrame, var: str | Sequence[str], min_valid: int = 10) -> DataFrame:
+    """Fill each missing cell of a time slice with its nearest valid cell (degrees, Euclidean), for one variable or several.
 
-    Ties take the lowest (lat, lon).  Slices with fewer than ``min_valid`` valid cells
-    stay as they are.  Slices must be dense (see ``densify``).  Two exact passes: window functions find the nearest valid cell
+    Ties take the lowest (lat, lon).  A variable with fewer than ``min_valid`` valid cells in a slice
+    stays as it is there.  Slices must be dense (see ``densify``).  Two exact passes: window functions find the nearest valid cell
     within the row of equal latitude, then strips of neighbouring columns look along
-    latitude.  The largest group is one row or one strip of one slice.
+    latitude.  All variables share both passes, so the plan does not grow with their number.  The largest group is one
+    row or one strip of one slice; strips hold equal numbers of longitudes, however these are spaced.
     """
-    need(df, *COORDS, var)
-    counts = df.groupBy("time").agg(F.count(var).alias("_valid"), F.count("*").alias("_cells"))
-    todo = (counts.where((F.col("_valid") >= min_valid) & (F.col("_valid") < F.col("_cells")))
-            .select("time"))
-    here = F.when(F.col(var).isNotNull(), F.struct(F.col("lon"), F.col(var).cast("double").alias("v")))
-    right = Window.partitionBy("time", "lat").orderBy("lon")
-    left = Window.partitionBy("time", "lat").orderBy(F.col("lon").desc())
+    cols = [var] if isinstance(var, str) else list(var)
+    need(df, *COORDS, *cols)
+    if not cols:
+        return df
+    ids = range(len(cols))
+    counts = df.groupBy("time").agg(F.count("*").alias("_cells"), *[F.count(c).alias(f"_n{k}") for k, c in enumerate(cols)])
+    todo = counts.select("time", *[((F.col(f"_n{k}") >= min_valid) & (F.col(f"_n{k}") < F.col("_cells"))).alias(f"_do{k}") for k in ids])
+    todo = todo.where(reduce(lambda a, b: a | b, [F.col(f"_do{k}") for k in ids]))
     upto = (Window.unboundedPreceding, 0)
-    near = (df.select(*COORDS, var).join(todo, "time", "left_semi")
-            .withColumn("_w", F.last(here, ignorenulls=True).over(right.rowsBetween(*upto)))
-            .withColumn("_e", F.last(here, ignorenulls=True).over(left.rowsBetween(*upto))))
-    west, east = F.col("lon") - F.col("_w.lon"), F.col("_e.lon") - F.col("lon")
-    pick = F.when(F.col("_e").isNull() | (west <= east), F.col("_w")).otherwise(F.col("_e"))
-    near = (near.withColumn("_p", pick)
-            .select(*COORDS, F.pow(F.col("lon") - F.col("_p.lon"), F.lit(2)).alias("_d2"),
-                    F.col("_p.lon").alias("_lon"), F.col("_p.v").alias("_v"),
-                    F.col(var).isNull().alias("_gap")))
-    near, lons = bind(near, one_row(df, lo=F.min("lon"), hi=F.max("lon"), n=F.count_distinct("lon")))
-    strips = F.ceil(lons["n"] / STRIP)
-    strip = F.when(lons["hi"] > lons["lo"], F.floor(
-        (F.col("lon") - lons["lo"]) / (lons["hi"] - lons["lo"]) * strips)).otherwise(F.lit(0))
-    near = near.withColumn("_strip", strip).drop("_row")
+    right = Window.partitionBy("time", "lat").orderBy("lon").rowsBetween(*upto)
+    left = Window.partitionBy("time", "lat").orderBy(F.col("lon").desc()).rowsBetween(*upto)
+
+    def here(k: int, c: str) -> Column:
+        return F.when(F.col(f"_do{k}") & F.col(c).isNotNull(), F.struct(F.col("lon"), F.col(c).cast("double").alias("v")))
+
+    def picked(k: int) -> Column:
+        w, e = F.col(f"_w{k}"), F.col(f"_e{k}")
+        return F.when(e.isNull() | (F.col("lon") - w["lon"] <= e["lon"] - F.col("lon")), w).otherwise(e)
+
+    near = df.select(*COORDS, *cols).join(todo, "time")
+    near = near.withColumns({f"_w{k}": F.last(here(k, c), ignorenulls=True).over(right) for k, c in enumerate(cols)})
+    near = near.withColumns({f"_e{k}": F.last(here(k, c), ignorenulls=True).over(left) for k, c in enumerate(cols)})
+    near = near.withColumns({f"_p{k}": picked(k) for k in ids})
+    gaps = [(F.col(f"_do{k}") & F.col(c).isNull()).alias(f"_gap{k}") for k, c in enumerate(cols)]
+    near = near.select(*COORDS, *gaps, *[x for k in ids for x in (
+        F.pow(F.col("lon") - F.col(f"_p{k}.lon"), F.lit(2)).alias(f"_d2{k}"),
+        F.col(f"_p{k}.lon").alias(f"_lon{k}"), F.col(f"_p{k}.v").alias(f"_v{k}"))])
+    # the first longitude of every strip; an axis is no larger than one row of a slice
+    axis_ = F.sort_array(F.collect_set("lon"))
+    heads = df.agg(F.filter(axis_, lambda x, i: i % STRIP == 0).alias("s")).scalar()
+    near, heads = bind(near, heads)
+    near = near.withColumn("_strip", F.size(F.filter(heads, lambda x: x <= F.col("lon")))).drop("_row")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["lat", "lon"], kind="stable")
+        out = pdf[["time", "lat", "lon"]].copy()
+        wanted = np.zeros(len(pdf), dtype=bool)
+        for k in ids:
+            gap = pdf[f"_gap{k}"].to_numpy(dtype=bool)
+            out[f"_fill{k}"] = np.where(gap, _fill_strip(pdf, k), np.nan) if gap.any() else np.nan
+            wanted |= gap
+        return out[wanted]
+
     times = df.schema["time"].dataType.simpleString()
     filled = spread(near, "time", "_strip").groupBy("time", "_strip").applyInPandas(
-        _fill_strip, f"time {times}, lat double, lon double, _fill double")
-    kind = df.schema[var].dataType
+        fill, f"time {times}, lat double, lon double, " + ", ".join(f"_fill{k} double" for k in ids))
     return (df.join(filled, list(COORDS), "left")
-            .withColumn(var, F.coalesce(F.col(var), F.col("_fill").cast(kind))).drop("_fill"))
+            .withColumns({c: F.coalesce(F.col(c), F.nanvl(f"_fill{k}", F.lit(None)).cast(df.schema[c].dataType)) for k, c in enumerate(cols)})
+            .drop(*[f"_fill{k}" for k in ids]))

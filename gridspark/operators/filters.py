@@ -141,9 +141,9 @@ def blank_zeros(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in cols})
 
 
-def extremes(df: DataFrame, var: str, q: float = 0.95, limit: int | None = None) -> DataFrame:
+def extremes(df: DataFrame, var: str, q: float = 0.95) -> DataFrame:
     """Rows above the q-th percentile of ``var``."""
-    cut = percentile_row(df, [var], [q], limit)
+    cut = percentile_row(df, [var], [q])
     return df.where(F.col(var) > cut[var][0])
 
 

@@ -63,9 +63,9 @@ def pollution_index(df: DataFrame, cols: Sequence[str], out: str = "pollution_in
 
 
 def label_by_percentile(df: DataFrame, var: str, low: float = 0.33, high: float = 0.66,
-                        out: str = "label", limit: int | None = None) -> DataFrame:
+                        out: str = "label") -> DataFrame:
     """0 up to the low percentile, 1 up to the high one, 2 above."""
-    held, cut = bind(df, percentile_row(df, [var], [low, high], limit))
+    held, cut = bind(df, percentile_row(df, [var], [low, high]))
     v = F.col(var)
     label = F.when(v > cut[var][1], 2).when(v > cut[var][0], 1).when(v.isNotNull(), 0)
     return held.withColumn(out, label.cast("int")).drop("_row")

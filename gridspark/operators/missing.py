@@ -109,8 +109,8 @@ def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return held.withColumns({c: F.coalesce(F.col(c), row[c]) for c in cols}).drop("_row")
 
 
-def fill_median(df: DataFrame, cols: Sequence[str], limit_bytes: int | None = None) -> DataFrame:
-    held, row = bind(df, percentile_row(df, cols, [0.5], limit_bytes))
+def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    held, row = bind(df, percentile_row(df, cols, [0.5]))
     return held.withColumns({c: F.coalesce(F.col(c), row[c][0]) for c in cols}).drop("_row")
 
 
@@ -129,9 +129,7 @@ def fill_missing(df: DataFrame, cols: Sequence[str], method: str = "interpolate"
     cols = present(df, cols)
     if method == "interpolate":
         out = interpolate_time(df, cols, limit)
-        for c in cols:
-            out = fill_spatial_nearest(out, c, min_valid)
-        return out.select(*df.columns)
+        return fill_spatial_nearest(out, cols, min_valid).select(*df.columns)
     if method == "ffill":
         return ffill(df, cols, limit)
     if method == "bfill":

@@ -15,7 +15,7 @@ EPS = 1e-10
 
 
 def scale(df: DataFrame, cols: Sequence[str], method: str = "standard",
-          bounds: tuple[float, float] = (0.0, 1.0), limit: int | None = None) -> DataFrame:
+          bounds: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Scale ``cols`` by their own statistics."""
     one_of(method, METHODS, "scaling method")
     v = {c: F.col(c) for c in cols}
@@ -24,7 +24,7 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "standard",
                                      **{f"s_{c}": F.stddev_pop(c) for c in cols}))
         out = {c: (v[c] - row[f"m_{c}"]) / (row[f"s_{c}"] + EPS) for c in cols}
     elif method == "robust":
-        held, row = bind(df, percentile_row(df, cols, [0.25, 0.5, 0.75], limit))
+        held, row = bind(df, percentile_row(df, cols, [0.25, 0.5, 0.75]))
         out = {c: (v[c] - row[c][1]) / (row[c][2] - row[c][0] + EPS) for c in cols}
     else:
         held, row = bind(df, one_row(df, **{f"lo_{c}": F.min(c) for c in cols},

@@ -15,13 +15,13 @@ from gridspark.operators.labels import CLASSES, risk_level, score_rules
 from gridspark.operators.missing import impute_features
 from gridspark.operators.temporal import latest
 
-# Named example samples.
+# Example samples to try a model on.
 SCENARIOS = (
-    ("clear", 0.3, None, None, None, None),
-    ("moderate", 2.5, 400.0, 0.2, None, None),
-    ("polluted", 8.0, 800.0, 0.5, 0.2, None),
-    ("coastal", 0.8, None, None, None, None),
-    ("bloom", 15.0, 1200.0, None, None, 0.5),
+    ("open_ocean", 0.11, 140.0, 0.03, 0.004, 0.002),
+    ("shelf_winter", 0.65, 260.0, 0.07, 0.09, None),
+    ("upwelling", 3.4, 1450.0, 0.24, 1.1, 0.4),
+    ("river_plume", 4.2, None, 0.62, None, 0.9),
+    ("estuary_summer", 11.7, 1980.0, 0.95, 2.6, 1.8),
 )
 SCENARIO_SCHEMA = "name string, chl double, pp double, kd490 double, diato double, green double"
 

@@ -21,13 +21,6 @@ from gridspark.operators.temporal import axis_regularity
 LEVELS = ("LOW", "MEDIUM", "HIGH")
 CHECKED = ("chl", "kd490", "zsd", "pp")
 
-# Assessment by the share of high-risk samples, the first share exceeded counts.
-ASSESSMENTS = (
-    (0.3, "CRITICAL - Immediate action required"),
-    (0.1, "HIGH - Monitor closely"),
-    (None, "NORMAL - Regular monitoring sufficient"),
-)
-
 AGGREGATES = ("mean", "median", "sum", "min", "max")
 
 
@@ -52,14 +45,14 @@ def profile_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return _lines(counts, [line(c) for c in cols])
 
 
-def profile_stats(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+def profile_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per variable: mean, population deviation, min, max, median, missing flag, declared range."""
     cols = list(cols or numeric_columns(df))
     wide = df.agg(F.count("*").alias("_n"), *[
         F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
                  F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c)
         for c in cols])
-    wide, med = bind(wide, percentile_row(df, cols, [0.5], limit))
+    wide, med = bind(wide, percentile_row(df, cols, [0.5]))
     meta = {f.name: f.metadata for f in df.schema.fields}
 
     def line(c: str) -> Column:
@@ -79,7 +72,7 @@ def _finding(severity: str, rule: str, var: Column, value: Column) -> list[Colum
             var.alias("var"), value.cast("double").alias("value")]
 
 
-def validate(df: DataFrame, limit: int | None = None) -> DataFrame:
+def validate(df: DataFrame) -> DataFrame:
     """Findings on structure and quality: (severity, rule, var, value)."""
     absent = [d for d in COORDS if d not in df.columns]
     cols = numeric_columns(df)
@@ -88,7 +81,7 @@ def validate(df: DataFrame, limit: int | None = None) -> DataFrame:
         *_finding("warning", "null_pct", F.col("var"), F.col("null_pct")))]
     checked = present(df, CHECKED)
     if checked:
-        out = detect_outliers(df, checked, "iqr", 3.0, limit)
+        out = detect_outliers(df, checked, "iqr", 3.0)
         parts.append(out.where(F.col("outlier_pct") > 10).select(
             *_finding("warning", "outlier_pct", F.col("var"), F.col("outlier_pct"))))
     dims = [d for d in COORDS if d in df.columns]
@@ -132,12 +125,11 @@ def quality_checks(df: DataFrame, required: Sequence[str], time_range: tuple | N
     return _lines(row, lines)
 
 
-def spatial_series(df: DataFrame, var: str, how: str = "mean", time: str = "time",
-                   limit: int | None = None) -> DataFrame:
+def spatial_series(df: DataFrame, var: str, how: str = "mean", time: str = "time") -> DataFrame:
     """One value per time step over all positions."""
     one_of(how, AGGREGATES, "aggregation")
     if how == "median":
-        return percentiles(df, [var], [0.5], by=[time], limit=limit).select(time, F.col(var)[0].alias(var))
+        return percentiles(df, [var], [0.5], by=[time]).select(time, F.col(var)[0].alias(var))
     act = {"mean": F.avg(var), "sum": F.coalesce(F.sum(var), F.lit(0.0)), "min": F.min(var), "max": F.max(var)}
     return df.groupBy(time).agg(act[how].alias(var))
 
@@ -165,8 +157,11 @@ def summary(df: DataFrame) -> DataFrame:
                  F.avg("confidence").alias("average_confidence"),
                  F.count_if(high).alias("high_risk_count"), F.count_if(low).alias("low_risk_count"))
     share = F.try_divide(F.col("high_risk_count"), F.col("total_samples"))
-    tests = [F.when(share > limit if limit is not None else share.isNotNull(), text) for limit, text in ASSESSMENTS]
-    return row.withColumn("risk_assessment", F.coalesce(*tests))
+    # fixed values: the texts of the assessment
+    text = (F.when(share > 0.3, "CRITICAL - Immediate action required")
+            .when(share > 0.1, "HIGH - Monitor closely")
+            .when(share.isNotNull(), "NORMAL - Regular monitoring sufficient"))
+    return row.withColumn("risk_assessment", text)
 
 
 def batch_stats(df: DataFrame) -> DataFrame:
@@ -177,12 +172,12 @@ def batch_stats(df: DataFrame) -> DataFrame:
     return row.withColumn("success_rate", rate)
 
 
-def describe_exact(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
+def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max per column."""
     wide = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                              F.min(c).cast("double").alias("min"),
                              F.max(c).cast("double").alias("max")).alias(c) for c in cols])
-    wide, q = bind(wide, percentile_row(df, cols, [0.25, 0.5, 0.75], limit))
+    wide, q = bind(wide, percentile_row(df, cols, [0.25, 0.5, 0.75]))
     return _lines(wide, [F.struct(
         F.lit(c).alias("var"), F.col(f"{c}.n").alias("count"), F.col(f"{c}.mean").alias("mean"),
         F.col(f"{c}.std").alias("std"), F.col(f"{c}.min").alias("min"), q[c][0].alias("p25"),
@@ -233,9 +228,9 @@ def histogram(df: DataFrame, var: str, bins: int = 50) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def box_stats(df: DataFrame, var: str, by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, var: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR), mean, count and outliers, per group."""
-    q = percentiles(df, [var], [0.25, 0.5, 0.75], by=by, limit=limit).withColumnRenamed(var, "_q")
+    q = percentiles(df, [var], [0.25, 0.5, 0.75], by=by).withColumnRenamed(var, "_q")
     if by:
         joined = df.alias("d")
         cond = reduce(Column.__and__, [F.col(f"d.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by])

@@ -44,6 +44,11 @@ def read_grid(spark: SparkSession, path: str | Sequence[str], variables: Sequenc
     elif fmt == "csv":
         raise ValueError("a CSV grid needs an explicit schema")
     df = reader.format(fmt).load(path)
+    if "year" in df.columns and "time" in df.columns:  # the folders of write_grid, no variable
+        if time_range:
+            first, last = (F.year(F.to_date(F.lit(str(t)[:10]))) for t in time_range)
+            df = df.where(F.col("year").between(first, last))
+        df = df.drop("year")
     return narrow(df, variables, time_range, bbox)
 
 

@@ -41,10 +41,10 @@ def read_splits(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], s
     return spark.read.parquet(f"{path}/data"), list(meta["features"]), meta["target"]
 
 
-def feature_stats(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
+def feature_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, population deviation, min, max and median per feature, one row each."""
     cols = list(cols)
-    med = as_scalar(percentiles(df, cols, [0.5], limit=limit))
+    med = as_scalar(percentiles(df, cols, [0.5]))
     wide = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
                              F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c)
                     for c in cols])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw, draw_cuts
-from gridspark.functions.frames import fits, input_bytes, shared_folder
+from gridspark.functions.frames import shared_folder
 from gridspark.functions.quantiles import percentiles
 from gridspark.operators import missing, sampling, temporal
 from gridspark.operators.filters import every_nth
@@ -35,9 +35,34 @@ def values(kind: str) -> np.ndarray:
 def test_ranked_percentiles_equal_numpy(spark, kind):
     v = values(kind)
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
-    for limit in (0, None):
-        row = percentiles(df, ["v"], PROBS, limit=limit).first()
-        assert np.allclose(row["v"], np.percentile(v, [100 * p for p in PROBS]), rtol=1e-12, atol=0)
+    row = percentiles(df, ["v"], PROBS).first()
+    assert np.allclose(row["v"], np.percentile(v, [100 * p for p in PROBS]), rtol=1e-12, atol=0)
+
+
+def test_percentiles_have_the_same_bits_at_every_size(spark):
+    v = [float(x) for x in values("normal")]
+    once = spark.createDataFrame([(x,) for x in v], "v double")
+    many = once.crossJoin(spark.range(100)).select("v").repartition(7)
+    ranks = [k / (len(v) - 1) for k in (0, 17, 1000, len(v) - 1)]
+    low = percentiles(once, ["v"], ranks).first()["v"]
+    assert low == [sorted(v)[k] for k in (0, 17, 1000, len(v) - 1)]
+    again = percentiles(many, ["v"], [(100 * k + 50) / (100 * len(v) - 1) for k in (0, 17, 1000, len(v) - 1)]).first()["v"]
+    assert again == low
+
+
+def test_percentiles_of_odd_values(spark):
+    v = [float("-inf"), -1e308, -2.0, -5e-324, 0.0, -0.0, 5e-324, 1.0, 2.0, 1.7976931348623157e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    got = percentiles(df, ["v"], [k / 11 for k in range(12)]).first()["v"]
+    assert got == sorted(v)
+
+
+def test_percentiles_scan_three_times(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(1000).selectExpr("double(id) AS a", "double(id % 7) AS b").write.parquet(path)
+    for cols in (["a"], ["a", "b"]):
+        plan = percentiles(spark.read.parquet(path), cols, [0.1, 0.9])._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        assert plan == 3
 
 
 def test_ranked_percentiles_by_group_and_column(spark):
@@ -47,7 +72,7 @@ def test_ranked_percentiles_by_group_and_column(spark):
     df = spark.createDataFrame([tuple(None if r is None else r for r in t) for t in pdf.itertuples(index=False)],
                                "g string, x double, y double")
     df = df.union(spark.createDataFrame([("empty", None, None)], "g string, x double, y double"))
-    got = {r["g"]: r for r in percentiles(df, ["x", "y"], [0.1, 0.5], by=["g"], limit=0).collect()}
+    got = {r["g"]: r for r in percentiles(df, ["x", "y"], [0.1, 0.5], by=["g"]).collect()}
     assert set(got) == {"a", "b", None, "empty"}
     assert got["empty"]["x"] is None
     for g in ("a", "b", None):
@@ -57,15 +82,10 @@ def test_ranked_percentiles_by_group_and_column(spark):
 
 
 def test_ranked_percentiles_of_nothing(spark):
-    row = percentiles(spark.createDataFrame([], "v double"), ["v"], [0.5], limit=0).collect()
+    row = percentiles(spark.createDataFrame([], "v double"), ["v"], [0.5]).collect()
     assert len(row) == 1 and row[0]["v"] is None
 
 
-def test_size_check(spark):
-    df = spark.range(1000)
-    assert input_bytes(df) is not None and fits(df) and not fits(df, 0)
-
-
 def test_shared_folder_is_under_the_cluster_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.functions.frames import COORDS
 from gridspark.operators import align, blocks, derive, filters, labels, missing, ml, outliers, scaling, scoring, stats, temporal, text
 from gridspark.plans import cleaning, workflow
 from gridspark.sources import readers, sinks
@@ -325,3 +326,25 @@ def test_tree_spread_and_bootstrap(spark):
     row = ml.bootstrap(df, "y", ["id"], 300).first()
     y = np.array([r[2] for r in rows])
     assert row["low"] < y.mean() < row["high"] and abs(row["std_error"] - y.std() / math.sqrt(300)) < 0.25 * row["std_error"]
+
+
+def test_nearest_fill_of_many_variables_scans_as_often_as_of_one(spark, tmp_path):
+    path = str(tmp_path / "g")
+    spark.range(400).selectExpr("date'2020-01-01' AS time", "double(id div 20) AS lat", "double(id % 20) AS lon",
+                                "IF(id % 3 = 0, NULL, double(id)) AS a", "IF(id % 5 = 0, NULL, double(id)) AS b").write.parquet(path)
+    grid = spark.read.parquet(path)
+    leaves = [align.fill_spatial_nearest(grid, v)._jdf.queryExecution().optimizedPlan().collectLeaves().size() for v in ("a", ["a", "b"])]
+    assert leaves[0] == leaves[1]
+    both = align.fill_spatial_nearest(grid, ["a", "b"])
+    for v in "ab":
+        one = align.fill_spatial_nearest(grid, v)
+        assert both.select(*COORDS, v).exceptAll(one.select(*COORDS, v)).count() == 0 == both.where(f"{v} IS NULL").count()
+
+
+def test_time_ranges_prune_years(spark, tmp_path):
+    path = str(tmp_path / "y")
+    sinks.write_grid(spark.range(900).selectExpr("date_add(date'2019-06-01', int(id)) AS time", "0D AS lat", "1D AS lon", "double(id) AS chl"), path)
+    grid = readers.read_grid(spark, path, time_range=("2020-03-01", "2020-04-30"))
+    assert grid.columns == ["time", "lat", "lon", "chl"] and grid.count() == 61
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -30,9 +30,3 @@ def test_flagship_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["time", "level", "cells", "mean_chl"]
     assert df.count() > 0
-
-
-@pytest.mark.parametrize("name", ["out_1", "out_3", "mv_6", "sc_3", "lb_2", "flt_12"])
-def test_same_rows_on_the_path_of_large_inputs(spark, con, name, monkeypatch):
-    monkeypatch.setattr("gridspark.functions.frames.DIRECT_BYTES", 0)
-    assert difference(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
