@@ -249,7 +249,29 @@ def win_8(spark: SparkSession, folder: str) -> DataFrame:
     return recent(labels.score_rules(view(spark, folder, "samples")), 100).select("id", "level", "ts")
 
 
-on_view("win_9", "series", lambda d: rounded(temporal.qq_points(d, "v", 50), ("theoretical", "value", "slope", "intercept", "r")))
+# Coefficients of a published rational approximation of the normal quantile (error below 1.2e-9).
+QQ_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+QQ_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+QQ_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+QQ_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+
+def _poly(coefficients: Sequence[float], x: str) -> str:
+    text = f"{coefficients[0]:e}"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + CAST({c!r} AS DOUBLE))"
+    return text
+
+
+QQ_TAIL = f"{_poly(QQ_C, 't')} / {_poly(QQ_D, 't')}"
+on_view("win_9", "series", lambda d: rounded(temporal.qq_points(d, "v"), ("theoretical", "value", "slope", "intercept", "r"), 5), f"""
+WITH ranked AS (SELECT row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n, v FROM series WHERE v IS NOT NULL),
+placed AS (SELECT i, v, CASE WHEN i = n THEN pow(CAST(0.5 AS DOUBLE), 1.0 / n) WHEN i = 1 THEN 1 - pow(CAST(0.5 AS DOUBLE), 1.0 / n)
+  ELSE (i - CAST(0.3175 AS DOUBLE)) / (n + CAST(0.365 AS DOUBLE)) END AS p FROM ranked),
+parts AS (SELECT i, v, p, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM placed),
+spots AS (SELECT i, v, CASE WHEN p < 0.02425 THEN {QQ_TAIL} WHEN p > 0.97575 THEN -({QQ_TAIL}) ELSE {_poly(QQ_A, 'r')} * q / {_poly(QQ_B, 'r')} END AS z FROM parts),
+line AS (SELECT regr_slope(v, z) AS slope, regr_intercept(v, z) AS intercept, corr(v, z) AS r FROM spots)
+SELECT i, round(z, 5) AS theoretical, round(v, 5) AS value, round(slope, 5) AS slope, round(intercept, 5) AS intercept, round(r, 5) AS r FROM spots, line""")
 
 
 # ---------------------------------------------------------------- statistics

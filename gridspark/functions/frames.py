@@ -62,6 +62,27 @@ def bind(df: DataFrame, row: Column, name: str = "_row") -> tuple[DataFrame, Col
     return df.withColumn(name, row), F.col(name)
 
 
+#: Most groups that ``lookup`` sends to every task: labels and levels, never keys of the data.
+MAX_GROUPS = 1000
+
+
+def _group_key(keys: Sequence[str]) -> Column:
+    return F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys])
+
+
+def lookup(small: DataFrame, keys: Sequence[str], name: str) -> Column:
+    """Column ``name`` of a table with one row per group, for rows that carry the group's ``keys``.
+
+    The table becomes one scalar map, so the rows are neither shuffled nor joined, however
+    unequal the groups are.  More than ``MAX_GROUPS`` groups are an error.
+    """
+    entry = F.struct(_group_key(keys).alias("k"), F.col(name).alias("v"))
+    few = small.limit(MAX_GROUPS + 1).agg(
+        F.when(F.count("*") <= MAX_GROUPS, F.map_from_entries(F.collect_list(entry)))
+        .otherwise(F.raise_error(F.lit(f"more than {MAX_GROUPS} groups of {', '.join(keys)}"))).alias("m"))
+    return F.try_element_at(few.scalar(), _group_key(keys))
+
+
 def over_series(cell: Sequence[str] = CELL, time: str = "time") -> WindowSpec:
     """The window all time-wise operators share, so that one shuffle serves them all."""
     return Window.partitionBy(*cell).orderBy(time)

@@ -30,7 +30,7 @@ def tree_count(n_train: int) -> int:
 
 def assemble(features: Sequence[str]) -> list:
     """Stages that turn columns into a centred, scaled vector."""
-    return [VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="error"),
+    return [VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep"),
             StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
 
 
@@ -59,7 +59,7 @@ def candidates(label: str = "label", trees: int = 100, rounds: int = 100, seed:
     boosted = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed)
     return {
         "random_forest": RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=10, seed=seed),
-        "gradient_boosting": OneVsRest(classifier=boosted, labelCol=label),
+        "gradient_boosting": OneVsRest(classifier=boosted, labelCol=label, parallelism=3),
         "svm": OneVsRest(classifier=LinearSVC(labelCol=label, maxIter=50), labelCol=label),
         "logistic_regression": LogisticRegression(labelCol=label, maxIter=50),
     }
@@ -69,22 +69,26 @@ def train_all(train: DataFrame, val: DataFrame, features: Sequence[str], label:
               models: dict | None = None) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit all candidates and rank them by weighted F1 on the validation rows.
 
-    A candidate that fails is skipped.  The first row of the report is the best model.
+    The first row of the report is the best model; a candidate that fails stays in the report with its error.
     """
     fitted: dict[str, PipelineModel] = {}
-    reports = []
+    reports, failed = [], []
     for name, model in (models or candidates(label)).items():
         try:
             fitted[name] = Pipeline(stages=[*assemble(features), model]).fit(train)
-        except Exception as e:  # noqa: BLE001 - any failing candidate is left out
+        except Exception as e:  # noqa: BLE001 - the report names the failure
             log.warning("candidate %s failed: %s", name, e)
+            failed.append((name, str(e)))
             continue
         scored = fitted[name].transform(val)
-        reports.append(classification_metrics(scored, label, "prediction").withColumn("model", F.lit(name)))
+        reports.append(classification_metrics(scored, label, "prediction").select("*", F.lit(name).alias("model"), F.lit(None).cast("string").alias("error")))
     if not reports:
         raise ValueError("no candidate could be trained")
     report = reduce(DataFrame.unionByName, reports)
-    return fitted, report.orderBy(F.col("f1").desc(), "model")
+    if failed:
+        lost = val.sparkSession.createDataFrame(failed, "model string, error string")
+        report = report.unionByName(lost, allowMissingColumns=True)
+    return fitted, report.orderBy(F.col("f1").desc_nulls_last(), "model")
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], keys: Sequence[str] = COORDS,
@@ -215,22 +219,32 @@ def bootstrap(df: DataFrame, value: Column | str, keys: Sequence[str], replicate
               level: float = 0.95) -> DataFrame:
     """Bootstrap interval of a mean with Poisson(1) weights in one pass.
 
-    Each row draws its weight for a replicate from a hash of seed, key and replicate, so
-    a repeated task draws the same ones.  Partial sums combine before the shuffle.
+    Each row draws its weights from the MD5 of seed, key and a number: eight hex digits per
+    replicate, four replicates per digest, so a repeated task and another engine draw the same.
+    Sums fold before the shuffle, which carries one row per digest number and task.
     """
     v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(v.alias("v"), F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys]).alias("h"))
-    rows = rows.where(F.col("v").isNotNull())
-    rep = rows.select("v", "h", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    u = F.pmod(F.xxhash64("h", "rep"), F.lit(1 << 52)) / float(1 << 52)
+    rows = df.select(v.alias("v"), *keys).where(F.col("v").isNotNull())
+    blocks = -(-replicates // 4)
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("block").cast("string")))
+    drawn = drawn.select("v", "block", digest.alias("h"))
     # cut points of the Poisson(1) distribution function
     total, term, cuts = 0.0, 0.36787944117144233, []
     for i in range(12):
         total += term
-        cuts.append(total)
+        cuts.append(int(total * 2**32))
         term /= i + 1
-    weight = reduce(Column.__add__, [F.when(u > c, 1.0).otherwise(0.0) for c in cuts])
-    means = rep.groupBy("rep").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("m"))
+
+    def weight(part: int) -> Column:
+        u = F.conv(F.substring("h", 8 * part + 1, 8), 16, 10).cast("long")
+        return reduce(Column.__add__, [(u >= c).cast("int") for c in cuts])
+
+    drawn = drawn.select("v", "block", *[weight(p).alias(f"w{p}") for p in range(4)])
+    sums = drawn.groupBy("block").agg(
+        *[F.sum(F.col(f"w{p}") * F.col("v")).alias(f"s{p}") for p in range(4)], *[F.sum(f"w{p}").alias(f"n{p}") for p in range(4)])
+    four = [F.struct((F.col("block") * 4 + p).alias("rep"), F.try_divide(f"s{p}", f"n{p}").alias("m")) for p in range(4)]
+    means = sums.select(F.inline(F.array(*four))).where(F.col("rep") < replicates)
     tail = (1 - level) / 2
     q = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     point = one_row(rows, m=F.avg("v"), n=F.count("*"))

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw, draw_cuts
-from gridspark.functions.frames import COORDS, as_scalar, bind, one_row
-from gridspark.operators.series import same
+from gridspark.functions.frames import COORDS, as_scalar, bind, lookup, one_row
 
 
 def sample_cells(df: DataFrame, var: str, n: int = 50_000, seed: int = 42,
@@ -49,9 +48,8 @@ def split(df: DataFrame, keys: Sequence[str], test: float = 0.2, val: float = 0.
 def split_stratified(df: DataFrame, label: str, keys: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """The same split within every class: int(n_class*test) test rows, the rest train."""
     cuts = draw_cuts(df, seed, keys, {"_cut": _part(F.col("n"), test)}, by=[label])
-    rows = df.alias("d").join(cuts.alias("s"), same("d", "s", [label]), "left").select("d.*", "s._cut")
-    name = F.when(draw(seed, keys) <= F.coalesce("_cut", F.lit("")), "test").otherwise("train")
-    return rows.withColumn("split", name).drop("_cut")
+    cut = F.coalesce(lookup(cuts, [label], "_cut"), F.lit(""))
+    return df.withColumn("split", F.when(draw(seed, keys) <= cut, "test").otherwise("train"))
 
 
 def split_temporal(df: DataFrame, test: float = 0.2, val: float = 0.1, time: str = "time") -> DataFrame:
@@ -75,19 +73,16 @@ def folds(df: DataFrame, keys: Sequence[str], k: int = 5, label: str | None = No
     """Add a fold number 0..k-1 of equal size, within each class if ``label`` is given."""
     by = [label] if label else []
     n = F.col("n")
-    cuts = draw_cuts(df, seed, keys, {f"_c{i}": F.floor(n * (i + 1) / k) for i in range(k)}, by=by)
-    if by:
-        rows = df.alias("d").join(cuts.alias("s"), same("d", "s", by), "left").select(
-            "d.*", *[f"s._c{i}" for i in range(k)])
-        cut = lambda i: F.coalesce(F.col(f"_c{i}"), F.lit(""))
-    else:
-        rows, row = bind(df, as_scalar(cuts))
-        cut = lambda i: row[f"_c{i}"]
+    names = [f"_c{i}" for i in range(k)]
+    cuts = draw_cuts(df, seed, keys, {c: F.floor(n * (i + 1) / k) for i, c in enumerate(names)}, by=by)
+    ends = lookup(cuts.select(*by, F.struct(*names).alias("_ends")), by, "_ends") if by else as_scalar(cuts)
+    rows, row = bind(df, ends)
+    cut = lambda i: F.coalesce(row[f"_c{i}"], F.lit(""))
     h = draw(seed, keys)
     number = F.lit(k - 1)
     for i in range(k - 2, -1, -1):
         number = F.when(h <= cut(i), i).otherwise(number)
-    return rows.withColumn(out, number.cast("int")).drop("_row", *[f"_c{i}" for i in range(k)])
+    return rows.withColumn(out, number.cast("int")).drop("_row")
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -95,4 +90,4 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
     held, total = bind(counts, one_row(counts, n=F.sum("_n"), k=F.count("*")))
     weights = held.select(label, (total["n"] / (total["k"] * F.col("_n"))).alias(out))
-    return df.join(weights, label, "left")
+    return df.withColumn(out, lookup(weights, [label], out))

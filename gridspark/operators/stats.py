@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, bind, numeric_columns, one_of, one_row, present
+from gridspark.functions.frames import COORDS, bind, lookup, numeric_columns, one_of, one_row, present
 from gridspark.functions.quantiles import percentile_row, percentiles
 from gridspark.operators.outliers import detect_outliers
 from gridspark.operators.temporal import axis_regularity
@@ -231,12 +231,7 @@ def histogram(df: DataFrame, var: str, bins: int = 50) -> DataFrame:
 def box_stats(df: DataFrame, var: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR), mean, count and outliers, per group."""
     q = percentiles(df, [var], [0.25, 0.5, 0.75], by=by).withColumnRenamed(var, "_q")
-    if by:
-        joined = df.alias("d")
-        cond = reduce(Column.__and__, [F.col(f"d.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by])
-        rows = joined.join(q.alias("q"), cond).select("d.*", "q._q")
-    else:
-        rows = df.withColumn("_q", q.select("_q").scalar())
+    rows = df.withColumn("_q", lookup(q, by, "_q") if by else q.select("_q").scalar())
     q1, q3, v = F.col("_q")[0], F.col("_q")[2], F.col(var)
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     # the box bounds the whiskers if no value lies between fence and quartile

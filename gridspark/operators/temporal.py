@@ -223,11 +223,11 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: inv(x) if 0.0 < x < 1.0 else None)
 
 
-def qq_points(df: DataFrame, var: str, n: int = 100, chunk: int = 100_000) -> DataFrame:
+def qq_points(df: DataFrame, var: str, n: int | None = None, chunk: int = 100_000) -> DataFrame:
     """Normal Q-Q points with slope, intercept and r of the line through all of them.
 
-    The line uses every row; of the points, ``n`` at evenly spaced ranks come out.  A value
-    that occurs very often is cut into chunks of ranks, so its rows are spread as well.
+    The line uses every row.  All points come out, or ``n`` at evenly spaced ranks, as a plot may want.
+    A value that occurs very often is cut into chunks of ranks, so its rows are spread as well.
     """
     ranks = value_ranks(df, var)
     total = one_row(df, n=F.count(var))
@@ -241,8 +241,12 @@ def qq_points(df: DataFrame, var: str, n: int = 100, chunk: int = 100_000) -> Da
         top = F.pow(F.lit(0.5), 1.0 / size)
         return F.when(i == size, top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (size + 0.365))
 
-    rows = rows.select("v", normal_quantile(place(F.col("i"), size["n"])).alias("z"))
+    rows = rows.select("i", "v", normal_quantile(place(F.col("i"), size["n"])).alias("z"))
     fit = one_row(rows, slope=F.regr_slope("v", "z"), intercept=F.regr_intercept("v", "z"), r=F.corr("v", "z"))
+    if n is None:
+        points, line = bind(rows.select("i", F.col("z").alias("theoretical"), F.col("v").alias("value")), fit)
+        return points.select("i", "theoretical", "value", line["slope"].alias("slope"),
+                             line["intercept"].alias("intercept"), line["r"].alias("r"))
 
     held, size = bind(ranks, total)
     step = (size["n"] - 1) / max(n - 1, 1)

@@ -45,7 +45,8 @@ def history_counters(stream: DataFrame, ts: str = "ts", window: str = "30 days",
                      lateness: str = "36500 days") -> DataFrame:
     """Running total, scored and HIGH records per time window.
 
-    The watermark bounds the state; ``lateness`` says how late a record may still count.
+    The state has one row per window, so it grows with the calendar and not with the records.  A record
+    that comes later than ``lateness`` after the newest is not counted; the default of a century counts all.
     """
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
     scored = score_rules(timed.withWatermark("_ts", lateness))
@@ -74,18 +75,24 @@ def read_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 def keep_recent(stream: DataFrame, folder: str, n: int = 100, ts: str = "ts", tie: str = "id",
                 available_now: bool = True):
-    """Keep the newest ``n`` records: each batch is merged with the state of the one before."""
-    spark = stream.sparkSession
+    """Keep the newest ``n`` records: each batch is merged with the state of the one before.
 
+    Two states exist, for even and for odd batches: a batch reads the other one and overwrites
+    its own, so a repeated batch gives the same state and old states do not pile up.
+    """
     def merge(batch: DataFrame, number: int) -> None:
         rows = recent(batch, n, ts, tie)
         if number > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/state/n{number - 1}"))
-        recent(rows, n, ts, tie).write.mode("overwrite").parquet(f"{folder}/state/n{number}")
+            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/state/turn={(number - 1) % 2}")
+            rows = rows.unionByName(before)
+        kept = recent(rows, n, ts, tie).withColumn("_batch", F.lit(number).cast("long"))
+        kept.write.mode("overwrite").parquet(f"{folder}/state/turn={number % 2}")
 
     writer = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint"))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_recent(spark: SparkSession, folder: str, batch: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/state/n{batch}")
+def read_recent(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest state."""
+    states = spark.read.parquet(f"{folder}/state").drop("turn")
+    return states.where(F.col("_batch") == states.agg(F.max("_batch")).scalar()).drop("_batch")

@@ -48,5 +48,5 @@ def test_streams_equal_batch_after_a_restart(spark):
     counters = streams.read_counters(spark, f"{out}/counters")
     assert counters.count() == want.count() and counters.exceptAll(want).count() == 0
 
-    newest = streams.read_recent(spark, f"{out}/recent", 2).select("id")
+    newest = streams.read_recent(spark, f"{out}/recent").select("id")
     assert newest.exceptAll(recent(every, 20).select("id")).count() == 0 and newest.count() == 20
