@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import staged
+
 TOKEN = re.compile(r"[^\W\d_]+")
 SPANS = "array<struct<start:int,end:int,score:double,e_value:double>>"
 
@@ -81,7 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens
     """Fit on at most ``max_rows`` labelled documents, chosen by a hash of their id.
 
     ``labels`` has ``doc_id`` and ``toxic``; rows without either are left out, and a document is toxic if any row
-    says so.  A token counts once per document, so no single text makes it toxic.  Log-odds of its share of
+    says so.  Of rows that share an id the smallest text is read, so ``max_rows`` bounds the sample however often an id is
+    repeated.  A token counts once per document, so no single text makes it toxic.  Log-odds of its share of
     the toxic and of the other documents carry a Dirichlet prior: half a count for every token, and ``strength`` counts in the proportions of both
     together.  Tokens within ``least_z`` standard errors of zero weigh nothing.  Of the rest the
     ``max_tokens`` clearest are kept.  Every token loses ``drift``, so that chance passages lose on average.
@@ -89,10 +92,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = staged(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity_sample")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     counts = rows.select("toxic", F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(
         F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("c"))
-    # both sums come from one small aggregate of the same counts
     both = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     n_t, n_c = float(both["t"] or 0), float(both["c"] or 0)
     prior = 0.5 + F.lit(strength) * (F.col("t") + F.col("c")) / F.lit(max(n_t + n_c, 1.0))
