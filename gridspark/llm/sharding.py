@@ -77,6 +77,17 @@ def _numbered(rows: DataFrame, keys: list[str], block: str, order: list[Column],
             .withColumn(total, F.col("_in") + F.col("_ahead")).drop("_in", "_ahead"))
 
 
+def _cut_hot(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """The last of ``keys`` becomes a struct of itself and a part, 0 but in blocks of many rows.
+
+    Hashes are even over distinct rows, so only a fully repeated row fills a block beyond four times ``block_rows``.
+    Its repeats are alike, and so are dealt out by their place in the staged file.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * block_rows)
+    part = F.when(F.col("_n").isNotNull(), F.pmod("_row", F.ceil(F.col("_n") / block_rows))).otherwise(F.lit(0)).cast("long")
+    return rows.join(sizes, keys, "left").withColumn(keys[-1], F.struct(F.col(keys[-1]).alias("block"), part.alias("part"))).drop("_n", "_row")
+
+
 def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Sequence[int] | None = None,
             block_rows: int = 20_000) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """New shards of documents by bytes, and the flow they follow.
@@ -85,13 +96,14 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Se
     none) plus 8.  Capacities default to even ones.  The line of documents of an old shard is cut where the
     flow says; a document belongs to the piece that holds its middle.  Larger documents stand first, so
     cuts fall among small ones where the shard has them, and a shard misses its capacity by no more than about
-    a document per piece.  Equal ids are told apart by their text, and fully repeated rows stand next to each other.
+    a document per piece.  Equal ids are told apart by their text, and a row that is repeated more often than a block
+    holds stands in several blocks.
 
     Rows: ``doc_id, size, text_crc32, old_shard, shard, slot``; ``slot`` counts from 0 within a shard without gaps.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     rows = docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-                       old.cast("int").alias("old_shard"), F.xxhash64("doc_id", "text").alias("_hash"))
+                       old.cast("int").alias("old_shard"), F.xxhash64("doc_id", "text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     rows = staged(rows, "shard_sizes")
     sizes = {r["old_shard"]: (r["b"], r["n"]) for r in rows.groupBy("old_shard").agg(
         F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
@@ -102,6 +114,7 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Se
     # blocks: size classes from large to small, each in as many parts as keep a block near block_rows rows
     parts = max(1, count // block_rows)
     rows = rows.withColumn("_block", (F.lit(64) - F.ceil(F.log2("size"))) * parts + F.pmod("_hash", F.lit(parts)))
+    rows = _cut_hot(rows, ["old_shard", "_block"], block_rows)
     order = [F.col("_hash"), F.col("doc_id"), F.col("size")]
     lined = _numbered(rows, ["old_shard"], "_block", order, F.col("size"), "_start")
     shard = F.lit(None).cast("int")
@@ -114,8 +127,7 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Se
             piece = F.when(inside, j) if piece is None else piece.when(inside, j)
         if piece is not None:
             shard = F.when(F.col("old_shard") == i, piece.otherwise(last)).otherwise(shard)
-    placed = lined.withColumn("shard", shard).withColumn("_spot", F.concat_ws(
-        "/", F.lpad("old_shard", 6, "0"), F.lpad("_block", 16, "0")))
+    placed = lined.withColumn("shard", shard).withColumn("_spot", F.struct("old_shard", "_block"))
     placed = _numbered(placed, ["shard"], "_spot", [F.col("_start"), *order], F.lit(1), "slot")
     return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot")), flow
 

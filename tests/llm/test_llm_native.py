@@ -148,3 +148,15 @@ def test_reshard(spark, docs, tmp_path):
     sharding.rewrite(both.drop("s").where("doc_id < 600"), F.col("doc_id") % 6, [1], folder)
     left = {r["shard"]: r["count"] for r in spark.read.parquet(folder).groupBy("shard").count().collect()}
     assert left[1] == 100 and left[0] == 834
+
+
+def test_reshard_cuts_blocks_of_repeated_rows(spark):
+    rows = [(7, "same text")] * 300 + [(i, f"text {i}") for i in range(100)]
+    placed, _ = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(0), 1, 3, block_rows=10)
+    got = placed.collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    total = sum(r["size"] for r in got)
+    for s in range(3):
+        own = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 3) <= 2 * max(r["size"] for r in got)

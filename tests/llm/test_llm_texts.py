@@ -62,6 +62,8 @@ def test_toxicity(spark):
     text = dict((i, t) for i, t, _ in foul)[1000]
     assert any("vile nasty brute" in text[p["start"]:p["end"]] for p in row["passages"])
     assert toxicity.best_segments(docs.limit(0), model).count() == 0
+    again = toxicity.train(docs.unionByName(docs.where("doc_id = 1001").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")), labels)
+    assert again == model  # a repeated id is read once
     nothing = toxicity.train(docs, labels.limit(0))
     assert all(0 <= r["score"] <= 1 for r in toxicity.best_segments(docs, nothing).collect())
 
