@@ -13,7 +13,8 @@ from gridspark.checks.grid_queries import SPLIT_SQL
 from gridspark.checks.registry import on_view, query, rounded
 from gridspark.functions.frames import COORDS, bind, one_row, shared_folder
 from gridspark.operators import align, blocks, derive, labels, ml, sampling, scoring, stats
-from gridspark.plans import cleaning, workflow
+from gridspark.plans import cleaning, training, workflow
+from gridspark.plans.scoring import score_batch
 from gridspark.sources import sinks
 from gridspark.streaming import scoring as streams
 
@@ -446,3 +447,39 @@ def pipe_3(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.summary_info(_cleaned(spark, folder)).select(
         "config", "scalers_applied", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("scaler_methods")))).alias("scaler_methods"), "feature_count",
         F.array_join("features_created", ",").alias("features_created"))
+
+
+_COUNTED = {"LOW": "count(*) FILTER (level = 'LOW')", "MEDIUM": "count(*) FILTER (level = 'MEDIUM')", "HIGH": "count(*) FILTER (level = 'HIGH')",
+            "rejected": "(SELECT count(*) FROM scored) - count(*)", "total": "count(*)", "successful": "count(level)",
+            "high_risk": "count(*) FILTER (level = 'HIGH')"}
+
+
+@query("pipe_4", " UNION ALL ".join(
+    f"SELECT '{item}' AS item, {n} AS n FROM (SELECT * FROM scored WHERE chl <= 50)" for item, n in _COUNTED.items()))
+def pipe_4(spark: SparkSession, folder: str) -> DataFrame:
+    """Batch scoring of all samples by rules: levels, rejected rows, totals."""
+    done = score_batch(view(spark, folder, "samples"))
+    totals = done.stats.unpivot([], ["total", "successful", "high_risk"], "item", "n")
+    rejected = done.rejected.agg(F.lit("rejected").alias("item"), F.count("*").alias("n"))
+    return done.levels.withColumnRenamed("level", "item").unionByName(totals).unionByName(rejected)
+
+
+SAMPLED = f"(SELECT * FROM grid WHERE chl IS NOT NULL ORDER BY md5({KEY}) LIMIT 50000)"
+FILLED = f"(SELECT {POS}, chl, " + ", ".join(
+    f"COALESCE({v}, (SELECT quantile_cont({v}, 0.5) FROM {SAMPLED})) AS {v}" for v in ("kd490", "pp")) + f" FROM {SAMPLED})"
+
+
+@query("pipe_5", f"""
+WITH f AS {FILLED}, i AS (SELECT *, {_index_sql("f")} AS pollution_index FROM f),
+l AS (SELECT *, CAST(CASE WHEN pollution_index > (SELECT quantile_cont(pollution_index, 0.66) FROM i) THEN 2
+  WHEN pollution_index > (SELECT quantile_cont(pollution_index, 0.33) FROM i) THEN 1 ELSE 0 END AS INT) AS label FROM i),
+p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5({KEY})) AS rn, count(*) OVER (PARTITION BY label) AS n FROM l)
+SELECT CASE WHEN rn <= floor(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split, label, count(*) AS n, TRUE AS good FROM p GROUP BY 1, 2""")
+def pipe_5(spark: SparkSession, folder: str) -> DataFrame:
+    """Training on sampled cells: rows by split and label, and whether the model reaches the bound on the test rows.
+
+    The cross-validation is left to ``ml_5``.
+    """
+    done = training.train([view(spark, folder, "grid"), view(spark, folder, "grid_b")], [*FEATURES, "cdm", "bbp"], INDICATORS, folds=0)
+    good = done.overfit.select(F.col("test_accuracy") >= GOOD).scalar()
+    return done.rows.groupBy("split", "label").agg(F.count("*").alias("n")).withColumn("good", good)

@@ -70,12 +70,25 @@ def narrow(df: DataFrame, variables: Sequence[str] | None = None, time_range: tu
 
 
 def read_grids(spark: SparkSession, folder: str, glob: str = "*.parquet", fmt: str = "parquet") -> DataFrame:
-    """All readable grid files of a folder as one grid with the union of their variables."""
+    """All readable grid files of a folder as one grid with the union of their variables.
+
+    ``files_without_rows`` tells which files gave nothing.
+    """
     reader = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
               .option("ignoreCorruptFiles", True).option("mergeSchema", True))
     return canonical(reader.format(fmt).load(folder))
 
 
+def files_without_rows(spark: SparkSession, folder: str, glob: str = "*.parquet", fmt: str = "parquet") -> DataFrame:
+    """``path, size_bytes`` of the files that ``read_grids`` took no row from: unreadable or empty ones."""
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    listed = reader.format("binaryFile").load(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("size_bytes"))
+    read = (reader.option("ignoreCorruptFiles", True).option("mergeSchema", True).format(fmt).load(folder)
+            .select(F.col("_metadata.file_path").alias("path")).distinct())
+    return listed.join(read, "path", "left_anti")
+
+
 def read_samples(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Delimited samples; keeps the known columns and requires CHL.
 

@@ -348,3 +348,12 @@ def test_time_ranges_prune_years(spark, tmp_path):
     assert grid.columns == ["time", "lat", "lon", "chl"] and grid.count() == 61
     plan = grid._jdf.queryExecution().executedPlan().toString()
     assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_files_without_rows(spark, tmp_path):
+    from gridspark.sources.readers import files_without_rows, read_grids
+    spark.createDataFrame([("2020-01-01", 1.0, 2.0, 3.0)], "time string, lat double, lon double, chl double").coalesce(1).write.parquet(str(tmp_path / "a b"))
+    (tmp_path / "broken.parquet").write_bytes(b"no parquet at all")
+    assert read_grids(spark, str(tmp_path)).count() == 1
+    rows = files_without_rows(spark, str(tmp_path)).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["size_bytes"]) for r in rows] == [("broken.parquet", 17)]
