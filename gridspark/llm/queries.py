@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.functions.frames import shared_folder
 from gridspark.llm import chat, licenses, mixing, pieces, quality, sharding, simhash, suffixes, toxicity, vectors
 
 PIECE_MODEL = os.environ.get("GRIDSPARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -24,10 +25,13 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """The old layout has the documents of a source in one shard, given by the source's name; the new one is even by bytes."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    """The old layout has the documents of a source in one shard, given by the source's name; the new one is even by bytes.
+
+    The affected shards are written, and sizes, checksums and shards are those of the written files.
+    """
+    docs = table(spark, folder, "documents")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(SHARDS))
-    placed, _ = sharding.reshard(docs, old, SHARDS, SHARDS)
+    placed = sharding.move(docs, old, SHARDS, SHARDS, shared_folder(spark, "shards"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

@@ -88,8 +88,16 @@ def _cut_hot(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     return rows.join(sizes, keys, "left").withColumn(keys[-1], F.struct(F.col(keys[-1]).alias("block"), part.alias("part"))).drop("_n", "_row")
 
 
+def _size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+
+
+def _sum() -> Column:
+    return F.crc32(F.col("text").cast("binary"))
+
+
 def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Sequence[int] | None = None,
-            block_rows: int = 20_000) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+            block_rows: int = 20_000, keep: Sequence[str] = ()) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """New shards of documents by bytes, and the flow they follow.
 
     ``old`` numbers the present shard, 0 to ``n_old - 1``.  A document weighs its UTF-8 bytes (a missing text
@@ -99,11 +107,11 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Se
     a document per piece.  Equal ids are told apart by their text, and a row that is repeated more often than a block
     holds stands in several blocks.
 
-    Rows: ``doc_id, size, text_crc32, old_shard, shard, slot``; ``slot`` counts from 0 within a shard without gaps.
+    Rows: ``doc_id, size, text_crc32, old_shard, shard, slot`` and the columns ``keep`` of ``docs``; ``slot`` counts from 0
+    within a shard without gaps.
     """
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-                       old.cast("int").alias("old_shard"), F.xxhash64("doc_id", "text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select("doc_id", _size().alias("size"), _sum().alias("text_crc32"),
+                       old.cast("int").alias("old_shard"), F.xxhash64("doc_id", "text").alias("_hash"), F.monotonically_increasing_id().alias("_row"), *keep)
     rows = staged(rows, "shard_sizes")
     sizes = {r["old_shard"]: (r["b"], r["n"]) for r in rows.groupBy("old_shard").agg(
         F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
@@ -129,26 +137,65 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Se
             shard = F.when(F.col("old_shard") == i, piece.otherwise(last)).otherwise(shard)
     placed = lined.withColumn("shard", shard).withColumn("_spot", F.struct("old_shard", "_block"))
     placed = _numbered(placed, ["shard"], "_spot", [F.col("_start"), *order], F.lit(1), "slot")
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot")), flow
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"), *keep), flow
+
 
+def _files(docs: DataFrame, folder: str, shard: int):
+    """The file system and the path of a shard's folder, and the names of its files."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/shard={shard}")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs, path, {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
 
-def rewrite(docs: DataFrame, shard: Column, affected: Sequence[int], folder: str) -> None:
+
+def rewrite(docs: DataFrame, shard: Column, affected: Sequence[int], folder: str, dealt: bool = False) -> None:
     """Write the documents of the affected shards, one folder ``shard=N`` each; other folders stay as they are.
 
-    Rows are dealt by shard and a salt, so a shard is written by several tasks.
+    Rows are dealt by shard and a salt, so a shard is written by several tasks, unless they are ``dealt`` already.  An
+    affected shard that gets no rows is not touched by the write; it has only files from before and is removed afterwards.
     """
-    out = docs.withColumn("shard", shard).where(F.col("shard").isin(*[int(s) for s in affected]))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(8))
-    out = out.repartition(partitions(docs), "shard", salt)
+    affected = [int(s) for s in affected]
+    before = {s: _files(docs, folder, s)[2] for s in affected}
+    out = docs.withColumn("shard", shard).where(F.col("shard").isin(*affected))
+    if not dealt:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(8))
+        out = out.repartition(partitions(docs), "shard", salt)
     conf = docs.sparkSession.conf
-    before = conf.get("spark.sql.sources.partitionOverwriteMode")
+    mode = conf.get("spark.sql.sources.partitionOverwriteMode")
     conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         out.write.mode("overwrite").partitionBy("shard").parquet(folder)
     finally:
-        conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    for s in affected:
+        fs, path, names = _files(docs, folder, s)
+        if names & before[s]:
+            fs.delete(path, True)
 
 
 def affected(flow: dict[tuple[int, int], int]) -> list[int]:
     """Shards whose content changes: both ends of every transfer between different shards."""
     return sorted({s for i, j in flow if i != j for s in (i, j)})
+
+
+def move(docs: DataFrame, old: Column, n_old: int, n_new: int, folder: str,
+         capacities: Sequence[int] | None = None) -> DataFrame:
+    """Reshard documents that are read from Parquet files and write the affected shards, with all columns, to ``folder``.
+
+    A row is known by its file and its place there, so repeated rows are told apart and none is a hot key.  Texts are
+    shuffled once, and each task writes a file per shard.  Rows as in ``reshard``: those of affected shards are read back
+    from the written files, the others stay where they are.
+    """
+    spark, at = docs.sparkSession, ("_file", "_at")
+    docs = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    placed, flow = reshard(docs, old, n_old, n_new, capacities, keep=at)
+    placed, changed = staged(placed, "shard_places"), affected(flow)
+    kept = placed.where(~F.col("shard").isin(*changed)).drop(*at)
+    if not changed:
+        return kept
+    moved = placed.where(F.col("shard").isin(*changed)).select(*at, "old_shard", "shard", "slot")
+    rows = docs.repartition(partitions(docs), *at).join(moved, list(at)).drop(*at)
+    rewrite(rows, F.col("shard"), changed, folder, dealt=True)
+    written = spark.read.schema(rows.schema).parquet(folder).where(F.col("shard").isin(*changed))
+    return kept.unionByName(written.select(
+        "doc_id", _size().alias("size"), _sum().alias("text_crc32"), "old_shard", "shard", "slot"))

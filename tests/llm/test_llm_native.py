@@ -150,6 +150,61 @@ def test_reshard(spark, docs, tmp_path):
     assert left[1] == 100 and left[0] == 834
 
 
+def test_rewrite_clears_emptied_shards(spark, tmp_path):
+    docs, folder = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), str(tmp_path / "shards")
+    sharding.rewrite(docs, F.col("doc_id") % 4, range(4), folder)
+    sharding.rewrite(docs.where("doc_id % 4 <> 2"), F.col("doc_id") % 2, [0, 1, 3], folder)
+    left = {r["shard"]: r["count"] for r in spark.read.parquet(folder).groupBy("shard").count().collect()}
+    assert left == {0: 15, 1: 30, 2: 15} and not (tmp_path / "shards" / "shard=3").exists()
+
+
+@pytest.mark.parametrize("capacities", [None, [10_000, 0]])
+def test_move_shrinks(spark, tmp_path, capacities):
+    rows = [(i % 90, f"text {i % 90} é" * (i % 7) if i % 9 else None, "en", "abcd"[i % 4], i) for i in range(200)] + [(5, "same", "en", "a", 0)] * 50
+    path, folder = str(tmp_path / "documents"), str(tmp_path / "shards")
+    spark.createDataFrame(rows, DOCS).write.parquet(path)
+    docs, old = spark.read.parquet(path), F.ascii("source") - 97
+    sharding.rewrite(docs, old, range(4), folder)
+    got = sharding.move(docs, old, 4, 2, folder, capacities).collect()
+    files = spark.read.parquet(folder).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in files) == Counter(rows)
+    assert {r["shard"] for r in files} == ({0} if capacities else {0, 1})
+    plain = Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, None if r["text"] is None else zlib.crc32(r["text"].encode()),
+                     "abcd".index(r["source"]), r["shard"], r["slot"]) for r in files)
+    assert plain == Counter(tuple(r[c] for c in ("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")) for r in got)
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_move_leaves_what_fits(spark, tmp_path):
+    path, folder = str(tmp_path / "documents"), str(tmp_path / "shards")
+    spark.createDataFrame([(i, "abc", "en", "abc"[i % 3], 3) for i in range(30)], DOCS).write.parquet(path)
+    docs, old = spark.read.parquet(path), F.ascii("source") - 97
+    got = sharding.move(docs, old, 3, 3, folder, [55, 165, 110]).collect()
+    assert Counter(r["shard"] for r in got) == {0: 5, 1: 15, 2: 10}
+    assert {r["shard"] for r in spark.read.parquet(folder).collect()} == {0, 1}
+    assert len(sharding.move(docs, old, 3, 3, str(tmp_path / "none"), [110] * 3).collect()) == 30 and not (tmp_path / "none").exists()
+
+
+def test_op2_writes_the_shards(spark):
+    from pathlib import Path
+
+    from gridspark.llm.queries import QUERIES
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before, folder = set(shared.glob("shards-*")), "/root/testdata/sf0.001"
+    rows = QUERIES["op2_sharding"](spark, folder).collect()
+    new = set(shared.glob("shards-*")) - before
+    assert len(new) == 1
+    files = spark.read.parquet(str(new.pop())).collect()
+    texts = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
+    assert texts(files) <= texts(spark.read.parquet(f"{folder}/documents.parquet").collect())
+    moved = Counter((r["doc_id"], r["shard"], r["slot"]) for r in files)
+    shards = {r["shard"] for r in files}
+    assert moved == Counter((r["doc_id"], r["shard"], r["slot"]) for r in rows if r["shard"] in shards)
+    assert all(r["shard"] in shards for r in rows if r["shard"] != r["old_shard"])
+
+
 def test_reshard_cuts_blocks_of_repeated_rows(spark):
     rows = [(7, "same text")] * 300 + [(i, f"text {i}") for i in range(100)]
     placed, _ = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(0), 1, 3, block_rows=10)
