@@ -104,6 +104,44 @@ def test_licenses(spark):
     assert len(got[0]) == 1 and len(got[5]) == 6
 
 
+CONFUSABLE = {
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+    "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0-short",
+    "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0-long",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this "
+    "distribution, and is available at": "EPL-1.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
+}
+
+
+@pytest.mark.parametrize("text, name", CONFUSABLE.items())
+def test_license_relatives(text, name):
+    got = licenses.Scanner(licenses.all_templates(), 0.8).matches(f"{prose(20, 1)} {text} {prose(20, 2)}")
+    assert [(n, d) for n, d, *_ in got] == [(name, 1.0)]
+
+
+def test_every_license_finds_itself():
+    table = licenses.all_templates()
+    scanner = licenses.Scanner(table, 0.8)
+    for name, text in table.items():
+        n = len(licenses.normalised(text))
+        assert scanner.matches(f"{prose(20, 1)}\n{text}\n{prose(20, 2)}") == [(name, 1.0, 20, n)]
+    assert set(licenses.FULL) <= {n.removesuffix("-text") for n in table if n.endswith("-text")}
+
+
+def test_full_texts_with_changes():
+    scanner = licenses.Scanner(licenses.all_templates(), 0.8)
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "GPL-2.0", "LGPL-2.1", "AGPL-3.0"):
+        words = licenses.all_templates()[f"{name}-text"].split()
+        for i in range(7, len(words), 40):
+            words[i] = "other"
+        assert [n for n, *_ in scanner.matches(" ".join(words))] == [f"{name}-text"]
+
+
 def brute_components(n, near):
     low = list(range(n))
     for _ in range(n):
