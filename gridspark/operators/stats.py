@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, bind, lookup, numeric_columns, one_of, one_row, present
+from gridspark.functions.frames import COORDS, bind, numeric_columns, one_of, one_row, present
 from gridspark.functions.quantiles import percentile_row, percentiles
 from gridspark.operators.outliers import detect_outliers
 from gridspark.operators.temporal import axis_regularity
@@ -228,19 +228,31 @@ def histogram(df: DataFrame, var: str, bins: int = 50) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Parts into which ``box_stats`` deals the values of a group, so that a hot group meets in no single task.
+BOX_PARTS = 16
+
+
 def box_stats(df: DataFrame, var: str, by: Sequence[str] = ()) -> DataFrame:
-    """Quartiles, whiskers (furthest values within 1.5 IQR), mean, count and outliers, per group."""
+    """Quartiles, whiskers (furthest values within 1.5 IQR), mean, count and outliers, per group; for any number of groups."""
     q = percentiles(df, [var], [0.25, 0.5, 0.75], by=by).withColumnRenamed(var, "_q")
-    rows = df.withColumn("_q", lookup(q, by, "_q") if by else q.select("_q").scalar())
-    q1, q3, v = F.col("_q")[0], F.col("_q")[2], F.col(var)
+    rows = df.select(*[F.col(k) for k in by], F.col(var).alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    if by:
+        q = q.select(*[F.col(k).alias(f"_by_{i}") for i, k in enumerate(by)], "_q", F.explode(F.sequence(F.lit(0), F.lit(BOX_PARTS - 1))).alias("_of"))
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("_v"), F.lit(BOX_PARTS)).cast("int"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_by_{i}")) for i, k in enumerate(by)], F.col("_part") == F.col("_of"))
+        rows = rows.join(q, same, "left")
+    else:
+        rows = rows.withColumn("_q", q.select("_q").scalar())
+    q1, q3, v = F.col("_q")[0], F.col("_q")[2], F.col("_v")
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    count = lambda held: F.coalesce(F.sum(F.when(held, F.col("_n"))), F.lit(0))
     # the box bounds the whiskers if no value lies between fence and quartile
     return rows.groupBy(*by).agg(
-        F.count(var).alias("n"), F.avg(var).alias("mean"), F.min(q1).alias("q1"),
-        F.min(F.col("_q")[1]).alias("median"), F.min(q3).alias("q3"),
+        count(v.isNotNull()).alias("n"), F.try_divide(F.sum(v.cast("double") * F.col("_n")), count(v.isNotNull())).alias("mean"),
+        F.min(q1).alias("q1"), F.min(F.col("_q")[1]).alias("median"), F.min(q3).alias("q3"),
         F.least(F.min(F.when(v >= low, v)), F.min(q1)).alias("whisker_low"),
         F.greatest(F.max(F.when(v <= high, v)), F.max(q3)).alias("whisker_high"),
-        F.count_if((v < low) | (v > high)).alias("outliers"))
+        count((v < low) | (v > high)).alias("outliers"))
 
 
 def map_centre(df: DataFrame) -> DataFrame:

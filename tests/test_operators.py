@@ -357,3 +357,13 @@ def test_files_without_rows(spark, tmp_path):
     assert read_grids(spark, str(tmp_path)).count() == 1
     rows = files_without_rows(spark, str(tmp_path)).collect()
     assert [(r["path"].rsplit("/", 1)[1], r["size_bytes"]) for r in rows] == [("broken.parquet", 17)]
+
+
+def test_box_stats_of_many_groups(spark):
+    rows = [(g if g else None, float(v)) for g in range(1200) for v in (1, 2, 3, 4, 100)] + [(5, None), (9999, None)] + [(7, float(v)) for v in range(500)]
+    got = {r["g"]: r for r in stats.box_stats(spark.createDataFrame(rows, "g int, v double"), "v", ["g"]).collect()}
+    assert len(got) == 1201 and got[9999]["n"] == 0 and got[9999]["mean"] is None and got[9999]["q1"] is None
+    for g in (None, 5, 1199):
+        assert tuple(got[g])[1:] == (5, 22.0, 2.0, 3.0, 4.0, 1.0, 4.0, 1)
+    own = np.array([v for g, v in rows if g == 7])
+    assert got[7]["n"] == 505 and got[7]["mean"] == pytest.approx(own.mean()) and got[7]["median"] == np.median(own)
