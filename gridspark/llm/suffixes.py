@@ -286,6 +286,13 @@ def _complete(batches: Iterator, column: str = "h", least: int = 200_000, weigh:
         yield pa.Table.from_batches(held)
 
 
+def _pieces(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The bytes of the asked pieces, rows ``doc, tie, h, start, piece``; rows repeated as a whole count as one document and give each piece once."""
+    cut = F.transform("asked", lambda a: F.struct(
+        a["h"].alias("h"), a["start"].alias("start"), F.substring(F.col("data"), a["start"].cast("int") + 1, a["span"]).alias("piece")))
+    return docs.select("doc", "tie", "data").dropDuplicates(["doc", "tie"]).join(asked, ["doc", "tie"]).select("doc", "tie", F.inline(cut))
+
+
 def find_repeats(docs: DataFrame, width: int = 100, gram: int = 32, block: int = 1 << 20) -> DataFrame:
     """Spans ``doc, tie, start, span`` that windows of ``width`` bytes which also start earlier cover; spans of a document may overlap.
 
@@ -368,10 +375,7 @@ def find_repeats(docs: DataFrame, width: int = 100, gram: int = 32, block: int =
     settled = staged(dealt.mapInArrow(settle, ROWS).drop("ctx"), "repeat_rows")
 
     asked = settled.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "start", "span")).alias("asked"))
-    # repeated rows give a piece more than once, at the same place
-    cut = F.transform("asked", lambda a: F.struct(
-        a["h"].alias("h"), a["start"].alias("start"), F.substring(F.col("data"), a["start"].cast("int") + 1, a["span"]).alias("piece")))
-    pieces = docs.select("doc", "tie", "data").join(asked, ["doc", "tie"]).select("doc", "tie", F.inline(cut))
+    pieces = _pieces(docs, asked)
     pieces = pieces.repartition(deal, "h").sortWithinPartitions("h")
 
     def compare(batches: Iterator) -> Iterator:

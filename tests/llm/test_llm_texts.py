@@ -312,3 +312,11 @@ def test_pieces(spark, tmp_path):
     assert all(r["same"] for r in rows) and {r["doc_id"]: r["n_pieces"] for r in rows} == {i: len(x) for i, x in got.items()}
     assert sum(vocab.values[np.array(got[len(texts) + 5])] >= 0) == 9  # three signs of three bytes
     assert pieces.encode(docs.limit(0), PIECE_MODEL).count() == 0
+
+
+def test_repeated_rows_give_a_piece_once(spark):
+    docs = suffixes.keyed(spark.createDataFrame([(1, "abcdefgh")] * 40 + [(2, "abcdefgh"), (1, "other")], "doc_id long, text string"))
+    asked = docs.where("octet_length(data) = 8").groupBy("doc", "tie").agg(
+        F.array(F.struct(F.lit(5).cast("long").alias("h"), F.lit(2).cast("long").alias("start"), F.lit(3).alias("span"))).alias("asked"))
+    got = suffixes._pieces(docs, asked).collect()
+    assert sorted((r["doc"], r["h"], r["start"], bytes(r["piece"])) for r in got) == [(1, 5, 2, b"cde"), (2, 5, 2, b"cde")]
