@@ -72,4 +72,19 @@ SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.go
   sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.h ELSE concat(k.h, substr(d.h, CAST(2 * k.last + 1 AS INT))) END)) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op4_chat": CHAT, "op7_vectors": VECTORS, "op10_suffixes": SUFFIXES}
+# every anchor against every row
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.s, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INT) AS rank, n AS negative_id, s AS positive_score, ns AS negative_score
+FROM n WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op4_chat": CHAT, "op7_vectors": VECTORS, "op10_suffixes": SUFFIXES,
+                           "op11_negatives": NEGATIVES}

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.frames import shared_folder
-from gridspark.llm import chat, licenses, mixing, pieces, quality, sharding, simhash, suffixes, toxicity, vectors
+from gridspark.llm import (chat, licenses, mixing, negatives, pieces, quality, runs, sharding, simhash, suffixes, tokens, toxicity,
+                           vectors)
 
 PIECE_MODEL = os.environ.get("GRIDSPARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+WORD_MODEL = os.environ.get("GRIDSPARK_WORD_MODEL", "/opt/tokenizers/word_bpe_49k.json")
 SHARDS = 24
 
 
@@ -86,5 +88,29 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.removal_report(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", shifted))
+
+
+def op12_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), WORD_MODEL)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = runs.with_loops(table(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.collapse_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    found = found.select("doc_id", "n_words", "collapsed", F.size("runs").cast("long").alias("n_runs"), lines.alias("lines"), longest.alias("top"))
+    length, period = F.col("top")["length"], -F.col("top")["col3"]
+    return found.select(
+        "doc_id", "n_runs", (-F.col("top")["col2"]).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_quality, op4_chat, op5_toxicity, op6_licenses, op7_vectors,
-                                   op8_pieces, op9_simhash, op10_suffixes)}
+                                   op8_pieces, op9_simhash, op10_suffixes, op11_negatives, op12_tokens, op13_runs)}
