@@ -211,17 +211,30 @@ def repeated_windows(texts: list[bytes], place: np.ndarray, width: int) -> Itera
         yield i, int(run[0] - starts[i]), int(run[-1] - starts[i])
 
 
-ROWS = "kind int, h long, ctx long, doc long, tie long, start long, span int"
+ROWS = "h long, ctx long, doc long, tie long, place long"
 
 
 def _batch(kind, h, ctx, doc, tie, start, span):
+    """Rows of segments (``kind`` 1) or of spans to remove (0); kind, start and span share one number, since these rows are most of what is shuffled."""
     import pyarrow as pa
 
     n = len(doc)
-    fill = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n).astype(t))
-    return pa.RecordBatch.from_arrays(
-        [fill(kind, np.int32), fill(h, np.int64), fill(ctx, np.int64), fill(doc, np.int64), fill(tie, np.int64),
-         fill(start, np.int64), fill(span, np.int32)], names=["kind", "h", "ctx", "doc", "tie", "start", "span"])
+    fill = lambda x: pa.array(np.broadcast_to(np.asarray(x), n).astype(np.int64))
+    place = np.asarray(start).astype(U) << U(33) | np.asarray(span).astype(U) << U(1) | U(kind)
+    return pa.RecordBatch.from_arrays([fill(h), fill(ctx), fill(doc), fill(tie), fill(place.view(np.int64))],
+                                      names=["h", "ctx", "doc", "tie", "place"])
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``kind, start, span`` of rows made by ``_batch``; no text reaches 2^31 bytes."""
+    place = place.view(U)
+    return (place & U(1)).astype(np.int64), (place >> U(33)).astype(np.int64), (place >> U(1) & U((1 << 32) - 1)).astype(np.int64)
+
+
+#: The same for columns.
+IS_SEGMENT = "(place & 1) = 1"
+START = "shiftrightunsigned(place, 33)"
+SPAN = "shiftrightunsigned(place, 1) & 4294967295"
 
 
 def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, span: np.ndarray):
@@ -287,16 +300,21 @@ def _complete(batches: Iterator, column: str = "h", least: int = 200_000, weigh:
 
 
 def _pieces(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The bytes of the asked pieces, rows ``doc, tie, h, start, piece``; rows repeated as a whole count as one document and give each piece once."""
+    """The bytes of the asked pieces, rows ``doc, tie, h, start, piece, others``; rows repeated as a whole count as one document and give each piece once.
+
+    ``others`` stands for the columns the pieces don't need: with them, this join shuffles what the last join of ``with_spans`` shuffles,
+    so Spark does it once for both.  Repeats are dropped where the join has put them, without a further shuffle.
+    """
     cut = F.transform("asked", lambda a: F.struct(
-        a["h"].alias("h"), a["start"].alias("start"), F.substring(F.col("data"), a["start"].cast("int") + 1, a["span"]).alias("piece")))
-    return docs.select("doc", "tie", "data").dropDuplicates(["doc", "tie"]).join(asked, ["doc", "tie"]).select("doc", "tie", F.inline(cut))
+        a["h"].alias("h"), a["start"].alias("start"), F.substring(F.col("data"), a["start"].cast("int") + 1, a["span"].cast("int")).alias("piece")))
+    met = docs.join(asked, ["doc", "tie"]).select("doc", "tie", F.xxhash64("row").alias("others"), F.inline(cut))
+    return met.dropDuplicates(["doc", "tie", "h", "start"])
 
 
 def find_repeats(docs: DataFrame, width: int = 100, gram: int = 32, block: int = 1 << 20) -> DataFrame:
     """Spans ``doc, tie, start, span`` that windows of ``width`` bytes which also start earlier cover; spans of a document may overlap.
 
-    ``docs`` has ``doc``, ``tie`` and ``data`` (see ``keyed``).  Copies within a task are settled there.  Anchors in a
+    ``docs`` is made by ``keyed``.  Copies within a task are settled there.  Anchors in a
     hot bucket (more rows than a quarter of an even partition, so at most four per partition) are dealt out window by
     window, whatever number of segments they have; so no task meets a group that grows with the corpus.
     """
@@ -357,7 +375,8 @@ def find_repeats(docs: DataFrame, width: int = 100, gram: int = 32, block: int =
 
     def settle(batches: Iterator) -> Iterator:
         for table in _complete(batches):
-            kind, h, ctx, doc, tie, start, span = (table[c].to_numpy() for c in ("kind", "h", "ctx", "doc", "tie", "start", "span"))
+            h, ctx, doc, tie, place = (table[c].to_numpy() for c in ("h", "ctx", "doc", "tie", "place"))
+            kind, start, span = _unpacked(place)
             done = kind == 0
             yield _batch(0, 0, 0, doc[done], tie[done], start[done], span[done])
             h, ctx, doc, tie, start, span = (x[~done] for x in (h, ctx, doc, tie, start, span))
@@ -374,7 +393,8 @@ def find_repeats(docs: DataFrame, width: int = 100, gram: int = 32, block: int =
     dealt = rows.mapInArrow(place, ROWS).repartition(deal, "h").sortWithinPartitions("h")
     settled = staged(dealt.mapInArrow(settle, ROWS).drop("ctx"), "repeat_rows")
 
-    asked = settled.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "start", "span")).alias("asked"))
+    asked = settled.where(IS_SEGMENT).groupBy("doc", "tie").agg(F.collect_list(
+        F.struct("h", F.expr(START).alias("start"), F.expr(SPAN).alias("span"))).alias("asked"))
     pieces = _pieces(docs, asked)
     pieces = pieces.repartition(deal, "h").sortWithinPartitions("h")
 
@@ -388,8 +408,8 @@ def find_repeats(docs: DataFrame, width: int = 100, gram: int = 32, block: int =
                 yield _batch(0, 0, 0, doc[i], tie[i], start[i] + a, b - a + width)
 
     late = pieces.mapInArrow(compare, ROWS)
-    out = ["doc", "tie", "start", "span"]
-    return settled.where("kind = 0").select(*out).unionByName(late.select(*out))
+    out = ["doc", "tie", F.expr(START).alias("start"), F.expr(SPAN).alias("span")]
+    return settled.where(f"NOT {IS_SEGMENT}").select(*out).unionByName(late.select(*out))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -425,7 +445,7 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     Rows that agree in id and text are one document, shown as often; rows that agree in the id alone are ordered by a hash of their texts.
     """
     rows = keyed(docs)
-    spans = find_repeats(rows.select("doc", "tie", "data"), width).groupBy("doc", "tie").agg(
+    spans = find_repeats(rows, width).groupBy("doc", "tie").agg(
         F.collect_list(F.struct("start", "span")).alias("spans"))  # no more than the document has windows
     return rows.join(spans, ["doc", "tie"], "left").select("row", "data", "spans")
 
@@ -442,11 +462,11 @@ def removal_report(docs: DataFrame, width: int = 100) -> DataFrame:
                 out.append((len(data), sum(e - s for s, e in cut), len(cut), hashlib.sha256(_without(data, cut)).hexdigest()))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())],
+                [batch.column("row").field("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
-    return own.select("row.doc_id", "data", "spans").mapInArrow(
+    return own.mapInArrow(  # the row goes whole, as its fields would be cut out below the shuffle
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
