@@ -30,30 +30,43 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def _with_lowest(links: DataFrame, hot: int) -> DataFrame:
+    """``a, b, m`` of links ``(a, b)``, where m is the smallest b of each a.
+
+    Minima are aggregated before the shuffle and joined back.  Nodes with more than ``hot`` links get theirs by a broadcast instead, so
+    the links of none meet in one task; there are at most as many of them as ``hot`` goes into the number of links.
+    """
+    low = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    many = F.broadcast(low.where(F.col("n") > hot).select("a", F.col("m").alias("known")))
+    met = links.join(many, "a", "left")
+    rest = met.where("known IS NULL").select("a", "b").join(low.where(F.col("n") <= hot).select("a", "m"), "a")
+    return met.where("known IS NOT NULL").select("a", "b", F.col("known").alias("m")).unionByName(rest.select("a", "b", "m"))
+
+
+def components(links: DataFrame, name: str = "components", hot: int | None = None) -> DataFrame:
     """Connected components of undirected links ``(a, b)``: rows ``(node, root)`` for every node but the roots.
 
     Alternating large and small stars: each round points neighbours at the smallest node
-    known around them, and every round is written to the shared folder.  Minima are
-    aggregated before they are joined back, so a node with very many links is neither
-    gathered in one task nor multiplied.
+    known around them, and every round is written to the shared folder.  A node is hot from ``hot`` links on, by default
+    a quarter of an even partition (at least 1,000), so at most eight per partition are.
     """
+    deal = partitions(links)
     stars = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars = staged(stars, name)
-    seen = None
+    seen, count = None, stars.count()
     while True:
+        most = hot or max(1000, count // (4 * deal))
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (both.join(low, "a").where("b > a")
+        large = (_with_lowest(both, most).where("b > a")
                  .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        small = _with_lowest(large, most)
+        small = (small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                 .unionByName(small.where("b = m").select("a", F.col("m").alias("b"))).distinct())
         stars = staged(small, name)
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+        seen, count = now, now[0]
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

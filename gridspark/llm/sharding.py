@@ -140,35 +140,46 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: Se
     return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"), *keep), flow
 
 
-def _files(docs: DataFrame, folder: str, shard: int):
+def _free(name: str, taken: Sequence[str]) -> str:
+    """``name``, lengthened by underscores while a column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def _files(docs: DataFrame, folder: str, shard: int, column: str = "shard"):
     """The file system and the path of a shard's folder, and the names of its files."""
     spark = docs.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/shard={shard}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{column}={shard}")
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     return fs, path, {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
 
 
-def rewrite(docs: DataFrame, shard: Column, affected: Sequence[int], folder: str, dealt: bool = False) -> None:
+def rewrite(docs: DataFrame, shard: Column, affected: Sequence[int], folder: str) -> str:
     """Write the documents of the affected shards, one folder ``shard=N`` each; other folders stay as they are.
 
-    Rows are dealt by shard and a salt, so a shard is written by several tasks, unless they are ``dealt`` already.  An
+    Gives the name of the column that numbers the shards: ``shard``, or with underscores behind it where ``docs`` has a column of that name.
+    Rows are dealt by shard and a salt, so a shard is written by several tasks.  An
     affected shard that gets no rows is not touched by the write; it has only files from before and is removed afterwards.
     """
-    affected = [int(s) for s in affected]
-    before = {s: _files(docs, folder, s)[2] for s in affected}
-    out = docs.withColumn("shard", shard).where(F.col("shard").isin(*affected))
-    if not dealt:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(8))
-        out = out.repartition(partitions(docs), "shard", salt)
-    conf = docs.sparkSession.conf
+    affected, name = [int(s) for s in affected], _free("shard", docs.columns)
+    out = docs.withColumn(name, shard).where(F.col(name).isin(*affected))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(8))
+    _write(out.repartition(partitions(docs), name, salt), name, affected, folder)
+    return name
+
+
+def _write(rows: DataFrame, name: str, affected: Sequence[int], folder: str) -> None:
+    before = {s: _files(rows, folder, s, name)[2] for s in affected}
+    conf = rows.sparkSession.conf
     mode = conf.get("spark.sql.sources.partitionOverwriteMode")
     conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        out.write.mode("overwrite").partitionBy("shard").parquet(folder)
+        rows.write.mode("overwrite").partitionBy(name).parquet(folder)
     finally:
         conf.set("spark.sql.sources.partitionOverwriteMode", mode)
     for s in affected:
-        fs, path, names = _files(docs, folder, s)
+        fs, path, names = _files(rows, folder, s, name)
         if names & before[s]:
             fs.delete(path, True)
 
@@ -182,20 +193,27 @@ def move(docs: DataFrame, old: Column, n_old: int, n_new: int, folder: str,
          capacities: Sequence[int] | None = None) -> DataFrame:
     """Reshard documents that are read from Parquet files and write the affected shards, with all columns, to ``folder``.
 
-    A row is known by its file and its place there, so repeated rows are told apart and none is a hot key.  Texts are
+    A row is known by its file and its place there, so repeated rows are told apart and none is a hot key.  Where the documents have columns
+    called ``shard``, ``old_shard`` or ``slot``, the files' columns of that meaning get underscores behind their names.  Texts are
     shuffled once, and each task writes a file per shard.  Rows as in ``reshard``: those of affected shards are read back
     from the written files, the others stay where they are.
     """
-    spark, at = docs.sparkSession, ("_file", "_at")
-    docs = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    placed, flow = reshard(docs, old, n_old, n_new, capacities, keep=at)
+    spark, at, own = docs.sparkSession, ("_file", "_at"), ("old_shard", "slot")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    # the documents' own columns travel as one, so that their names don't matter
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", old.alias("_old"), *place)
+    placed, flow = reshard(packed, F.col("_old"), n_old, n_new, capacities, keep=at)
     placed, changed = staged(placed, "shard_places"), affected(flow)
     kept = placed.where(~F.col("shard").isin(*changed)).drop(*at)
     if not changed:
         return kept
-    moved = placed.where(F.col("shard").isin(*changed)).select(*at, "old_shard", "shard", "slot")
-    rows = docs.repartition(partitions(docs), *at).join(moved, list(at)).drop(*at)
-    rewrite(rows, F.col("shard"), changed, folder, dealt=True)
-    written = spark.read.schema(rows.schema).parquet(folder).where(F.col("shard").isin(*changed))
+    moved = placed.where(F.col("shard").isin(*changed)).select(*at, F.struct(*own, "shard").alias("_to"))
+    met = packed.select("_doc", *at).repartition(partitions(docs), *at).join(moved, list(at))
+    # in the files, names of this operator give way to those of the documents
+    names = {c: _free(c, [*docs.columns, "shard"]) for c in own}
+    name = _free("shard", docs.columns)
+    rows = met.select("_doc.*", *[F.col(f"_to.{c}").alias(n) for c, n in names.items()], F.col("_to.shard").alias(name))
+    _write(rows, name, changed, folder)
+    written = spark.read.schema(rows.schema).parquet(folder).where(F.col(name).isin(*changed))
     return kept.unionByName(written.select(
-        "doc_id", _size().alias("size"), _sum().alias("text_crc32"), "old_shard", "shard", "slot"))
+        "doc_id", _size().alias("size"), _sum().alias("text_crc32"), *[F.col(n).alias(c) for c, n in names.items()], F.col(name).alias("shard")))

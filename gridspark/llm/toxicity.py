@@ -19,7 +19,7 @@ SPANS = "array<struct<start:int,end:int,score:double,e_value:double>>"
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]   # at most max_tokens
+    weights: dict[str, float]   # of the tokens of the sample that are clearly on one side
     other: float                # weight of any other token
     rate: float                 # lambda and K of the extreme-value law
     k: float
@@ -67,6 +67,25 @@ def _statistic(best: float, n: int, model: Model) -> float:
     return model.rate * best - math.log(model.k * max(n, 1))
 
 
+def _combined(found: list[float], n: int, model: Model) -> float:
+    """Minus the natural logarithm of the chance that the r best of ``n`` tokens' segments sum up this high, for the r that is least likely.
+
+    The sum T of r normalised scores exceeds x with probability exp(-x) x^(r-1) / (r! (r-1)!) for large x (Karlin and Altschul).
+    Each further segment costs a factor of two, as r is chosen afterwards.  One segment gives its own statistic.
+    """
+    if not found:
+        return _statistic(0.0, n, model)
+    best, total = _statistic(max(found), n, model), 0.0
+    for r, x in enumerate(sorted(found, reverse=True), 1):
+        more = _statistic(x, n, model)
+        total += more
+        if more <= 0:
+            break
+        if r > 1 and total > r:
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best
+
+
 def _scale(values: np.ndarray, shares: np.ndarray) -> float:
     """The positive root of E[exp(rate * score)] = 1; scores must be negative on average."""
     low, high = 1e-6, 1.0
@@ -78,19 +97,20 @@ def _scale(values: np.ndarray, shares: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens: int = 50_000, strength: float = 100.0,
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, strength: float = 100.0,
           least_z: float = 3.0, drift: float = 0.05) -> Model:
     """Fit on at most ``max_rows`` labelled documents, chosen by a hash of their id.
 
-    ``labels`` has ``doc_id`` and ``toxic``; rows without either are left out, and a document is toxic if any row
+    ``labels`` has ``doc_id`` and ``toxic``; rows without either, and labels of ids no document has, are left out, and a document is toxic if any row
     says so.  Of rows that share an id the smallest text is read, so ``max_rows`` bounds the sample however often an id is
     repeated.  A token counts once per document, so no single text makes it toxic.  Log-odds of its share of
     the toxic and of the other documents carry a Dirichlet prior: half a count for every token, and ``strength`` counts in the proportions of both
-    together.  Tokens within ``least_z`` standard errors of zero weigh nothing.  Of the rest the
-    ``max_tokens`` clearest are kept.  Every token loses ``drift``, so that chance passages lose on average.
+    together.  Tokens within ``least_z`` standard errors of zero weigh nothing; all others of the sample are kept.
+    Every token loses ``drift``, so that chance passages lose on average.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = docs.select("doc_id").distinct().join(marks, "doc_id")
+    chosen = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxicity_labels")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = staged(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity_sample")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
@@ -99,12 +119,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens
     both = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     n_t, n_c = float(both["t"] or 0), float(both["c"] or 0)
     prior = 0.5 + F.lit(strength) * (F.col("t") + F.col("c")) / F.lit(max(n_t + n_c, 1.0))
-    docs_t, docs_c = (float(n or 0) for n in chosen.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") <= 0).cast("int"))).first())
+    docs_t, docs_c = (float(n or 0) for n in rows.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") <= 0).cast("int"))).first())
     odds = lambda x, n: F.log((F.col(x) + prior) / F.lit(n + 1.0))
     error = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     clear = (counts.withColumn("w", odds("t", docs_t) - odds("c", docs_c)).withColumn("z", F.abs("w") / error)
              .where((F.col("z") >= least_z) & F.col("w").isNotNull())
-             .orderBy(F.desc("z"), "token").limit(max_tokens).select("token", "w", "c").collect())
+             .select("token", "w", "c").orderBy("token").collect())  # some of the sample's tokens
     weights = {r["token"]: r["w"] - drift for r in clear}
     values = np.array([*(r["w"] - drift for r in clear), -drift])
     shares = np.array([*(float(r["c"]) for r in clear), max(n_c - sum(r["c"] for r in clear), 1.0)])
@@ -115,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens
     # for the Gumbel law the mean of exp(-(rate * best - ln n)) over documents is 1 / K
     k = 1.0 / max(float(np.mean(np.exp(-(rate * clean.best - np.log(clean.n_tokens))))), 1e-9) if len(clean) else 1.0
     model = Model(weights, -drift, rate, k, 1.0, 0.0)
-    x = np.array([_statistic(b, n, model) for b, n in zip(seen.best, seen.n_tokens)])
+    seen = best_segments(rows, model, keep=("toxic",)).select("toxic", "statistic").toPandas()
+    x = seen.statistic.to_numpy()
     slope, shift = _logistic(x, (seen.toxic > 0).to_numpy(dtype=float))
     return Model(weights, -drift, rate, k, slope, shift)
 
@@ -143,7 +164,7 @@ def best_segments(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
     """Per document the columns ``keep``, ``n_tokens``, ``best``, ``statistic``, ``score`` and ``passages``.
 
     The whole text is scanned.  ``passages`` holds every maximal segment whose expected number by chance is at most
-    ``significant``, with character positions.  ``score`` rises with the statistic of the best segment; a text
+    ``significant``, with character positions.  ``score`` rises with the statistic of the best segments together; a text
     without tokens, or a missing one, has no segment and ``best`` 0.
     """
     import pyarrow as pa
@@ -157,7 +178,7 @@ def best_segments(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
                 scores = _scores(text, model)
                 found = segments(scores) if len(scores) and scores.max() > 0 else []
                 best = max((x for _, _, x in found), default=0.0)
-                stat = _statistic(best, len(scores), model)
+                stat = _combined([x for _, _, x in found], len(scores), model)
                 limit = math.log(1 / significant)
                 sure = [(s, e, x) for s, e, x in found if _statistic(x, len(scores), model) >= limit]
                 spots = [m.span() for m in TOKEN.finditer(text.lower())] if sure else []

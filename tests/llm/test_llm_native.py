@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import components
 from gridspark.llm import chat, mixing, quality, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,3 +216,33 @@ def test_reshard_cuts_blocks_of_repeated_rows(spark):
         own = [r for r in got if r["shard"] == s]
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
         assert abs(sum(r["size"] for r in own) - total / 3) <= 2 * max(r["size"] for r in got)
+
+
+def test_move_takes_clashing_column_names(spark, tmp_path):
+    rows = [(i, f"text {i}" * (i % 7), -i, "a", 1.5, "f", 3, "d") for i in range(90)]
+    kind = "doc_id long, text string, shard int, Slot string, old_shard double, _file string, _at int, _doc string"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    folder = str(tmp_path / "shards")
+    got = sharding.move(docs, F.pmod("doc_id", F.lit(3)), 3, 2, folder).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(90)) and {r["shard"] for r in got} == {0, 1}
+    back = spark.read.parquet(folder)
+    assert {"shard", "Slot", "old_shard", "_file", "_at", "_doc", "shard_", "slot_", "old_shard_"} == {*back.columns, "doc_id", "text"} - {"doc_id", "text"}
+    assert {(r["doc_id"], r["shard"], r["Slot"], r["old_shard"]) for r in back.collect()} <= {(r[0], r[2], r[3], r[4]) for r in rows}
+    to = {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
+    assert all(to[r["doc_id"]] == (r["shard_"], r["slot_"]) for r in back.collect())
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((s, n) for s in (0, 1) for n in range(sum(r["shard"] == s for r in got)))
+
+
+def _spread(spark, hot, rest):
+    return [(0, i) for i in range(1, hot)] + [(hot + i, hot + i + 1) for i in range(rest) if i % 3]
+
+
+def test_components_with_a_hot_node(spark):
+    links = _spread(spark, 3000, 300)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), hot=50).collect()}
+    want = {i: 0 for i in range(1, 3000)}
+    for a, b in links:
+        if a >= 3000:
+            want[b] = want.get(a, a)
+    assert got == want

@@ -320,3 +320,81 @@ def test_repeated_rows_give_a_piece_once(spark):
         F.array(F.struct(F.lit(5).cast("long").alias("h"), F.lit(2).cast("long").alias("start"), F.lit(3).alias("span"))).alias("asked"))
     got = suffixes._pieces(docs, asked).collect()
     assert sorted((r["doc"], r["h"], r["start"], bytes(r["piece"])) for r in got) == [(1, 5, 2, b"cde"), (2, 5, 2, b"cde")]
+
+
+def test_labels_of_absent_documents_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
+    more = labels.unionByName(spark.range(10**6, 10**6 + 3000).select(F.col("id").alias("doc_id"), F.lit(1).cast(labels.schema["toxic"].dataType).alias("toxic")))
+    assert toxicity.train(docs, labels) == toxicity.train(docs, more)
+
+
+def test_toxicity_by_a_plain_version(spark):
+    """Weights, extreme-value law and scores, written out for a small corpus."""
+    import math
+    import random
+    import re
+
+    rng = random.Random(11)
+    common, bad = [f"w{chr(97 + i)}" for i in range(20)], ["vile", "foul", "nasty"]
+    texts = {i: " ".join(rng.choice(common) for _ in range(rng.randrange(5, 60))) for i in range(240)}
+    marks = {i: int(i % 6 == 0) for i in range(200)}
+    for i in range(1, 200, 36):  # a single bad word does not make these toxic
+        texts[i] += " " + bad[i % 3]
+    for i in range(0, 240, 6):
+        words = texts[i].split()
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(words))
+            words[at:at] = rng.sample(bad, 2)
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([*texts.items(), (500, None), (501, "")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"))
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    t, c, n = {}, {}, [0, 0]
+    for i, y in marks.items():
+        n[y] += 1
+        for w in set(split(texts[i])):
+            (t if y else c)[w] = (t if y else c).get(w, 0) + 1
+    total, weights = sum(t.values()) + sum(c.values()), {}
+    for w in {*t, *c}:
+        a, b = t.get(w, 0), c.get(w, 0)
+        prior = 0.5 + 100 * (a + b) / total
+        odds = math.log((a + prior) / (n[1] + 1)) - math.log((b + prior) / (n[0] + 1))
+        if abs(odds) >= 3 * math.sqrt(1 / (a + prior) + 1 / (b + prior)):
+            weights[w] = odds - 0.05
+    assert set(bad) <= set(model.weights) == set(weights) and all(abs(model.weights[w] - x) < 1e-9 for w, x in weights.items())
+    shares = {w: c.get(w, 0) for w in weights}
+    rest = max(sum(c.values()) - sum(shares.values()), 1)
+    every = sum(shares.values()) + rest
+    assert abs(sum(shares[w] / every * math.exp(model.rate * x) for w, x in weights.items()) + rest / every * math.exp(-0.05 * model.rate) - 1) < 1e-6
+
+    def plain(text):  # all maximal segments by their definition: no proper part or extension does better
+        x = [weights.get(w, -0.05) for w in split(text)]
+        left, out = [(0, len(x))], []
+        while left:
+            s, e = left.pop()
+            best = max(((sum(x[i:j]), -(j - i), i, j) for i in range(s, e) for j in range(i + 1, e + 1)), default=(0,))
+            if best[0] > 1e-12:
+                out.append(best[0])
+                left += [(s, best[2]), (best[3], e)]
+        return out, len(x)
+
+    got = {r["doc_id"]: r for r in toxicity.best_segments(docs, model).collect()}
+    for i in [*range(0, 240, 7), 500, 501]:
+        found, size = plain(texts.get(i, ""))
+        norm = sorted((model.rate * x - math.log(model.k * max(size, 1)) for x in found), reverse=True) or [-math.log(model.k * max(size, 1))]
+        stat = norm[0]
+        for r in range(2, len(norm) + 1):
+            x = sum(norm[:r])
+            if norm[r - 1] > 0 and x > r:
+                stat = max(stat, -math.log(math.exp(-x) * x ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) * 2 ** (r - 1)))
+        assert abs(got[i]["statistic"] - stat) < 1e-6
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-(model.slope * stat + model.shift)))) < 1e-6
+    assert all((got[i]["score"] >= 0.7) == (i % 6 == 0) for i in range(200, 240))
+
+
+def test_several_passages_count_together():
+    model = toxicity.Model({}, 0.0, 1.0, 1.0, 1.0, 0.0)
+    one, two = toxicity._combined([9.0], 100, model), toxicity._combined([9.0, 8.9], 100, model)
+    assert one == 9 - np.log(100) and two > one
+    assert toxicity._combined([9.0, 4.0], 100, model) == one and toxicity._combined([], 100, model) == -np.log(100)
