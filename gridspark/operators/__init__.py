@@ -1,0 +1,8 @@
+"""Operators on grids and tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run in tasks travel with them, so executors need no installed copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
