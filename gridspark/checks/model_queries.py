@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.checks.analysis_queries import NUMBERED, _savgol
 from gridspark.checks.fixtures import GRID_VARS, view
 from gridspark.checks.grid_queries import SPLIT_SQL
 from gridspark.checks.registry import on_view, query, rounded
+from gridspark.functions.draws import draw
 from gridspark.functions.frames import COORDS, bind, one_row, shared_folder
-from gridspark.operators import align, blocks, derive, labels, ml, sampling, scoring, stats
+from gridspark.operators import align, blocks, derive, forests, labels, ml, sampling, scoring, search, stats
 from gridspark.plans import cleaning, training, workflow
 from gridspark.plans.scoring import score_batch
 from gridspark.sources import sinks
@@ -142,24 +143,47 @@ def ml_2(spark: SparkSession, folder: str) -> DataFrame:
     return _supports(ml.train_classifier(train, FEATURES).transform(test))
 
 
+@query("ml_2_oob", f"SELECT count(*) AS rows, TRUE AS good FROM {PARTED} WHERE split = 'train'")
+def ml_2_oob(spark: SparkSession, folder: str) -> DataFrame:
+    """Every training row judged by the trees whose bags do not hold it."""
+    train, _ = _training(spark, folder)
+    forest = forests.fit_forest(train, FEATURES, "label", trees=ml.tree_count(train.count()), depth=15, subset=2)
+    return forests.out_of_bag(forest, train, "label").select("rows", (F.col("accuracy") >= GOOD).alias("good"))
+
+
+def _fit_pp(train: DataFrame, target: str = "pp") -> forests.Forest:
+    return forests.fit_forest(train, [f for f in FEATURES if f != "pp"], target, "number", trees=100)
+
+
 @query("ml_3", f"SELECT count(*) AS samples, round(avg(pp), 6) AS y_mean, round(stddev_pop(pp), 6) AS y_std, TRUE AS fitted FROM {TEST}")
 def ml_3(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
-    x = [f for f in FEATURES if f != "pp"]
-    model = ml.train_regressor(train, x, "pp")
+    model = _fit_pp(train)
     # prices do not follow the other columns of these tables, so only the fit of the training rows can be asked for
-    fit = ml.regression_report(model.transform(train), "pp").select(F.col("r2") > 0.5).scalar()
-    out = ml.regression_report(model.transform(test), "pp")
+    fit = ml.regression_report(forests.predict(model, train), "pp").select(F.col("r2") > 0.5).scalar()
+    out = ml.regression_report(forests.predict(model, test), "pp")
     return rounded(out.select("samples", "y_mean", "y_std", fit.alias("fitted")), ("y_mean", "y_std"))
 
 
+NOISY = f"chl * 1000 * (0.9 + 0.2 * CAST('0x' || substr(md5({KEY}), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+@query("ml_3_signal", f"SELECT count(*) AS samples, round(avg(y), 4) AS y_mean, round(stddev_pop(y), 4) AS y_std, TRUE AS predicted FROM (SELECT {NOISY} AS y FROM {TEST})")
+def ml_3_signal(spark: SparkSession, folder: str) -> DataFrame:
+    """A target that does follow a feature (DF-13 with noise drawn from the cell), so that the rows left out can be asked for."""
+    noise = F.conv(F.substring(draw(42, COORDS), 1, 8), 16, 10).cast("double") / 4294967296.0
+    train, test = [d.withColumn("y", derive.productivity() * (0.9 + 0.2 * noise)) for d in _training(spark, folder)]
+    out = ml.regression_report(forests.predict(_fit_pp(train, "y"), test), "y")
+    return rounded(out.select("samples", "y_mean", "y_std", (F.col("r2") >= 0.9).alias("predicted")), ("y_mean", "y_std"), 4)
+
+
 @query("ml_4", f"""
 SELECT model, count(*) AS samples, TRUE AS good, CAST(NULL AS VARCHAR) AS error
 FROM {TEST}, (SELECT unnest(['random_forest', 'gradient_boosting', 'svm', 'logistic_regression']) AS model) GROUP BY model""")
 def ml_4(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
     report = ml.train_all(train, test, FEATURES)[1]
-    return report.select("model", "samples", (F.col("f1") >= F.when(F.col("model") == "svm", 0.5).otherwise(GOOD)).alias("good"), "error")
+    return report.select("model", "samples", (F.col("f1") >= GOOD).alias("good"), "error")
 
 
 @query("ml_5", "SELECT 'f1' AS metric, CAST(5 AS INT) AS folds, TRUE AS good, TRUE AS stable")
@@ -170,12 +194,17 @@ def ml_5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("ml_6", """
-SELECT CAST(t AS DOUBLE) AS "numTrees", CAST(d AS DOUBLE) AS "maxDepth", TRUE AS valid
-FROM (SELECT unnest([5, 10]) AS t), (SELECT unnest([3, 6]) AS d)""")
+SELECT m AS model, CAST(t AS INT) AS trees, CAST(d AS INT) AS max_depth, CAST(x AS DOUBLE) AS third, TRUE AS valid, TRUE AS good
+FROM (SELECT unnest(['forest', 'forest', 'forest', 'boosted', 'boosted', 'boosted']) AS m, unnest([5, 10, 15, 3, 6, 9]) AS d),
+  (SELECT unnest([50, 100, 200]) AS t), (SELECT unnest(['forest', 'forest', 'forest', 'boosted', 'boosted', 'boosted']) AS n, unnest([2, 5, 10, 0.01, 0.1, 0.3]) AS x)
+WHERE m = n""")
 def ml_6(spark: SparkSession, folder: str) -> DataFrame:
+    """All combinations of both grids; the best of each has to be a good model."""
     train, _ = _training(spark, folder)
-    out = ml.tune(train, FEATURES, {"numTrees": [5, 10], "maxDepth": [3, 6]})[0]
-    return out.withColumn("valid", F.col("f1").between(0, 1)).drop("f1")
+    forest = search.search_forest(train, FEATURES).withColumnRenamed("min_split", "third").withColumn("model", F.lit("forest"))
+    boosted = search.search_boosted(train, FEATURES).withColumnsRenamed({"rounds": "trees", "rate": "third"}).withColumn("model", F.lit("boosted"))
+    best = F.max("f1").over(Window.partitionBy("model"))
+    return forest.unionByName(boosted).select("model", "trees", "max_depth", "third", F.col("f1").between(0, 1).alias("valid"), (best >= GOOD).alias("good"))
 
 
 COMPARED = f"(SELECT label, CASE WHEN chl < 1 THEN 0 WHEN chl < 3 THEN 1 ELSE 2 END AS prediction FROM {LABELLED})"
@@ -236,8 +265,7 @@ def ml_10(spark: SparkSession, folder: str) -> DataFrame:
 @query("ml_11", f"SELECT {POS}, pp, TRUE AS within, TRUE AS spread FROM {TEST}")
 def ml_11(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _training(spark, folder)
-    x = [f for f in FEATURES if f != "pp"]
-    out, known = bind(ml.predict_uncertainty(ml.train_regressor(train, x, "pp"), test), one_row(train, low=F.min("pp"), high=F.max("pp")))
+    out, known = bind(forests.predict(_fit_pp(train), test), one_row(train, low=F.min("pp"), high=F.max("pp")))
     return out.select(*COORDS, "pp", F.col("prediction").between(known["low"], known["high"]).alias("within"),
                       (F.col("uncertainty") >= 0).alias("spread"))
 

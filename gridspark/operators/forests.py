@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,23 @@ NODE = "tree int, id long, feature int, cut int, left long, right long, value ar
 TOP_NODES = 1 << 13     # most nodes above the subtrees of a tree
 LOCAL = 32              # bits of a node's id within its subtree
 PACK = 1 << 18          # nodes scored together
+CELLS_AT_ONCE = 1 << 18     # histogram cells of one job
 Tops = dict[int, Nodes]
 
 
+class Split(NamedTuple):
+    """A node's best split: ``feature`` -1 for none; statistics of all its rows and of those that go left, and numbers of rows."""
+
+    slot: int
+    feature: int
+    cut: int
+    gain: float
+    total: np.ndarray
+    low: np.ndarray
+    low_rows: float
+    high_rows: float
+
+
 @dataclass
 class Forest:
     """``nodes`` is the forest; ``tops`` holds the levels above the subtrees (none for small inputs, at most ``TOP_NODES`` nodes a tree)."""
@@ -81,22 +96,24 @@ def unpacked(column, features: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, features)
 
 
-def level_splits(rows: DataFrame, visit, growth: Growth, features: int, stats: int) -> pd.DataFrame:
-    """Splits of one level over all rows: ``slot, feature, cut, gain, total, low, low_rows, high_rows``, one row per slot.
+def level_splits(rows: DataFrame, visit, growth: Growth, features: int, stats: int, slots: int) -> list[Split]:
+    """Splits of one level over all rows, one per slot that has rows.
 
     ``visit(batch)`` gives ``(slots, slot numbers, x, statistics)`` pieces of a batch.  Tasks send one row per filled cell of their
-    histograms, Spark adds them up, and the best split of a slot is found where its cells meet.
+    histograms and Spark adds them up.  The driver reads the sums, ``slots`` x features x bins at most; callers bound that by ``CELLS_AT_ONCE``.
     """
     bins, cols = growth.bins, [f"s{i}" for i in range(stats + 1)]
+    if slots * features * bins > max(CELLS_AT_ONCE, features * bins):
+        raise ValueError("too many nodes for one job")
 
     def sums(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for slots, slot, x, s in visit(batch):
-                h = histograms(x, np.concatenate([s, np.ones((len(s), 1))], axis=1), slot, len(slots), bins)
-                for i, number in enumerate(slots):
+            for numbers, slot, x, s in visit(batch):
+                h = histograms(x, np.concatenate([s, np.ones((len(s), 1))], axis=1), slot, len(numbers), bins)
+                for i, number in enumerate(numbers):
                     held[number] = held[number] + h[i] if number in held else h[i]
         for number, h in held.items():
             flat = h.reshape(-1, stats + 1)
@@ -104,21 +121,16 @@ def level_splits(rows: DataFrame, visit, growth: Growth, features: int, stats: i
             yield pa.RecordBatch.from_pydict({"slot": pa.array(np.full(len(hit), number), pa.int64()), "cell": pa.array(hit, pa.int32()),
                                               **{c: pa.array(flat[hit, i]) for i, c in enumerate(cols)}})
 
-    def choose(batch: pd.DataFrame) -> pd.DataFrame:
-        h = np.zeros((features * bins, stats + 1))
-        h[batch.cell.to_numpy()] = batch[cols].to_numpy()
-        h = h.reshape(1, features, bins, stats + 1)
-        name = np.array([batch.slot.iloc[0]])
-        feature, cut, gain = best_splits(h[..., :-1], growth, name)
-        low = h[0, feature[0], :cut[0] + 1].sum(axis=0) if feature[0] >= 0 else h[0, 0].sum(axis=0)
-        total = h[0, 0].sum(axis=0)
-        return pd.DataFrame({"slot": name, "feature": feature, "cut": cut, "gain": gain, "total": [total[:-1].tolist()], "low": [low[:-1].tolist()],
-                             "low_rows": [low[-1]], "high_rows": [total[-1] - low[-1]]})
-
     found = rows.mapInArrow(sums, "slot long, cell int, " + ", ".join(f"{c} double" for c in cols))
-    added = found.groupBy("slot", "cell").agg(*[F.sum(c).alias(c) for c in cols])
-    kind = "slot long, feature int, cut int, gain double, total array<double>, low array<double>, low_rows double, high_rows double"
-    return added.groupBy("slot").applyInPandas(choose, kind).toPandas()  # as many rows as slots
+    added = found.groupBy("slot", "cell").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
+    numbers, slot = np.unique(added.slot.to_numpy(), return_inverse=True)
+    h = np.zeros((len(numbers) * features * bins, stats + 1))
+    h[slot * features * bins + added.cell.to_numpy()] = added[cols].to_numpy()
+    h = h.reshape(len(numbers), features, bins, stats + 1)
+    feature, cut, gain = best_splits(h[..., :-1], growth, numbers)
+    total = h[:, 0].sum(axis=1)
+    return [Split(int(n), int(f), int(c), float(g), t[:-1], low[:-1], low[-1], t[-1] - low[-1]) for i, (n, f, c, g, t) in enumerate(
+        zip(numbers, feature, cut, gain, total)) for low in [h[i, max(f, 0), :c + 1].sum(axis=0)]]
 
 
 def _route(tops: Tops, tree: int, x: np.ndarray) -> np.ndarray:
@@ -126,7 +138,7 @@ def _route(tops: Tops, tree: int, x: np.ndarray) -> np.ndarray:
     return tops[tree].leaves(x) if tree in tops else np.zeros(len(x), dtype=np.int64)
 
 
-def _grow_tops(rows: DataFrame, n: int, growth: Growth, forest: Forest, node_rows: int, slots_at_once: int) -> tuple[Tops, dict[tuple[int, int], int]]:
+def _grow_tops(rows: DataFrame, n: int, growth: Growth, forest: Forest, node_rows: int) -> tuple[Tops, dict[tuple[int, int], int]]:
     """Levels over all rows until every node has at most ``node_rows`` rows; also the depth of each open node."""
     features, width = len(forest.features), (forest.classes if growth.kind == "class" else 2)
     seed, kind, classes = growth.seed, growth.kind, forest.classes
@@ -135,8 +147,9 @@ def _grow_tops(rows: DataFrame, n: int, growth: Growth, forest: Forest, node_row
     depths: dict[tuple[int, int], int] = {(t, 0): 0 for t in range(forest.trees)}
     if todo:
         made = {t: [[-1, 0, -1, -1, None, 0.0, 0.0]] for t in range(forest.trees)}
+    most = max(1, CELLS_AT_ONCE // (features * growth.bins))
     while todo:
-        now, todo = todo[:slots_at_once], todo[slots_at_once:]
+        now, todo = todo[:most], todo[most:]
         tops = {t: _as_nodes(made[t]) for t in {t for t, _, _ in now}}
         open_ = {t: np.array(sorted(node for u, node, _ in now if u == t)) for t in tops}
 
@@ -151,12 +164,12 @@ def _grow_tops(rows: DataFrame, n: int, growth: Growth, forest: Forest, node_row
                     yield [(t << 32) + int(m) for m in nodes], np.searchsorted(nodes, at[hit]), x[hit], s
 
         depth_of = {(t, m): d for t, m, d in now}
-        for r in level_splits(rows, visit, growth, features, width).itertuples():
+        for r in level_splits(rows, visit, growth, features, width, len(now)):
             t, m = r.slot >> 32, r.slot & ((1 << 32) - 1)
             if r.feature < 0 or (growth.depth is not None and depth_of[t, m] >= growth.depth):
                 continue
             size = len(made[t])
-            total = np.array([r.total])
+            total = r.total[None]
             made[t][m] = [r.feature, r.cut, size, size + 1, growth.value(total)[0].tolist(), float(growth.weight(total)[0]), r.gain]
             made[t] += [[-1, 0, -1, -1, None, 0.0, 0.0], [-1, 0, -1, -1, None, 0.0, 0.0]]
             del depths[t, m]
@@ -174,7 +187,7 @@ def _as_nodes(made: list[list]) -> Nodes:
 
 def fit_forest(df: DataFrame, features: Sequence[str], target: str, kind: str = "class", keys: Sequence[str] = COORDS, trees: int = 100,
                classes: int = 3, depth: int | None = None, min_split: float = 2, min_leaf: float = 1, subset: int | None = None, bins: int = 64,
-               seed: int = 42, node_rows: int = 50_000, weight: str | None = None, slots_at_once: int = 512) -> Forest:
+               seed: int = 42, node_rows: int = 50_000, weight: str | None = None) -> Forest:
     """Grow a forest for labels 0 to ``classes - 1`` (``class``) or a numeric target (``number``); ``keys`` identify a row.
 
     Rows without a target are left out; a missing feature counts as its smallest value.  Bags are Poisson draws from a hash of row
@@ -190,7 +203,7 @@ def fit_forest(df: DataFrame, features: Sequence[str], target: str, kind: str =
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     forest = Forest(rows, {}, list(features), edges, growth, trees, classes, list(keys))
-    tops, depths = _grow_tops(rows, rows.count(), growth, forest, node_rows, slots_at_once)
+    tops, depths = _grow_tops(rows, rows.count(), growth, forest, node_rows)
     count = len(features)
 
     def deal(batches: Iterator) -> Iterator:

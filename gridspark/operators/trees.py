@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -63,6 +63,12 @@ class Growth:
         return s / w if self.kind == "class" else s[:, 1:2] / w
 
 
+def tried(names: np.ndarray, features: int, growth: Growth) -> np.ndarray:
+    """The features each node tries, in ascending order, drawn by its name and the seed."""
+    draw = mixed(names[:, None] * 1009 + np.arange(features)[None, :] + growth.seed * 7919)
+    return np.sort(np.argsort(draw, axis=1, kind="stable")[:, :growth.subset], axis=1)
+
+
 def best_splits(hist: np.ndarray, growth: Growth, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature (-1: none), cut and gain per node of ``hist`` [node, feature, bin, statistic]; bins up to the cut go left.
 
@@ -78,9 +84,9 @@ def best_splits(hist: np.ndarray, growth: Growth, names: np.ndarray) -> tuple[np
     gain = np.where(able, growth.score(left) + growth.score(right) - growth.score(total), 0.0)
     flat = gain.reshape(len(hist), -1)
     if growth.subset and growth.subset < hist.shape[1]:
-        draw = mixed(names[:, None] * 1009 + np.arange(hist.shape[1])[None, :] + growth.seed * 7919)
-        tried = np.argsort(np.argsort(draw, axis=1), axis=1) < growth.subset
-        part = np.where(tried[:, :, None], gain, 0.0).reshape(len(hist), -1)
+        among = np.zeros(hist.shape[:2], dtype=bool)
+        np.put_along_axis(among, tried(names, hist.shape[1], growth), True, axis=1)
+        part = np.where(among[:, :, None], gain, 0.0).reshape(len(hist), -1)
         flat = np.where(part.max(axis=1, initial=0.0)[:, None] > 1e-12, part, flat)
     if not flat.shape[1]:
         return np.full(len(hist), -1), np.zeros(len(hist), dtype=np.int64), np.zeros(len(hist))
@@ -98,6 +104,23 @@ def histograms(x: np.ndarray, stats: np.ndarray, slot: np.ndarray, slots: int, b
     return np.stack(out, axis=1).reshape(slots, f, bins, -1)
 
 
+def _split_rows(x: np.ndarray, stats: np.ndarray, slot: np.ndarray, growth: Growth, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_splits`` of rows in memory.  Histograms are made of the tried features only, and of all for nodes these don't split."""
+    n = len(names)
+    if not growth.subset or growth.subset >= x.shape[1]:
+        return best_splits(histograms(x, stats, slot, n, growth.bins), growth, names)
+    few = tried(names, x.shape[1], growth)
+    every = replace(growth, subset=None)
+    feature, cut, gain = best_splits(histograms(np.take_along_axis(x, few[slot], axis=1), stats, slot, n, growth.bins), every, names)
+    feature = np.where(feature >= 0, few[np.arange(n), feature], -1)
+    again = np.flatnonzero(feature < 0)
+    rows = np.flatnonzero(np.isin(slot, again))
+    if len(rows):
+        found = best_splits(histograms(x[rows], stats[rows], np.searchsorted(again, slot[rows]), len(again), growth.bins), every, names[again])
+        feature[again], cut[again], gain[again] = found
+    return feature, cut, gain
+
+
 @dataclass
 class Nodes:
     """A tree: per node feature (-1: a leaf), cut, children, value, weight and gain."""
@@ -136,6 +159,8 @@ def grow(x: np.ndarray, stats: np.ndarray, growth: Growth, name: int = 0, depth:
         n = len(level)
         feature, cut, gain = np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n)
         open_ = growth.weight(level) >= growth.min_split - 1e-9
+        if growth.kind == "class":
+            open_ &= level.max(axis=1) < growth.weight(level) - 1e-9  # rows of one class stay together
         if growth.depth is not None and depth >= growth.depth:
             open_[:] = False
         live = live[open_[at[live] - first]]
@@ -145,8 +170,7 @@ def grow(x: np.ndarray, stats: np.ndarray, growth: Growth, name: int = 0, depth:
             a, b = np.searchsorted(slot, [s, s + step])
             if a < b:
                 rows = live[a:b]
-                feature[s:s + step], cut[s:s + step], gain[s:s + step] = best_splits(
-                    histograms(x[rows], stats[rows], slot[a:b] - s, min(step, n - s), growth.bins), growth, names[s:s + step])
+                feature[s:s + step], cut[s:s + step], gain[s:s + step] = _split_rows(x[rows], stats[rows], slot[a:b] - s, growth, names[s:s + step])
         split = np.flatnonzero(feature >= 0)
         left, right = np.full(n, -1), np.full(n, -1)
         left[split] = first + n + 2 * np.arange(len(split))
