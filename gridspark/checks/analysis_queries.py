@@ -11,6 +11,7 @@ from gridspark.functions.frames import COORDS
 from gridspark.operators import derive, labels, outliers, scaling, stats, temporal
 from gridspark.operators.align import densify
 from gridspark.operators.series import in_blocks
+from gridspark.plans.cleaning import written
 
 POS = "time, lat, lon"
 PAIR = ("chl", "sst")
@@ -291,7 +292,7 @@ def _stat(v: str) -> str:
             "CAST(NULL AS DOUBLE) AS valid_min, CAST(NULL AS DOUBLE) AS valid_max FROM grid")
 
 
-on_view("agg_2", "grid", lambda d: rounded(stats.profile_stats(d), STAT_COLS), " UNION ALL ".join(_stat(v) for v in GRID_VARS))
+on_view("agg_2", "grid", lambda d: rounded(stats.profile_stats(written(d, "grid")), STAT_COLS), " UNION ALL ".join(_stat(v) for v in GRID_VARS))
 
 
 def _out_pct(v: str) -> str:

@@ -34,7 +34,7 @@ def _index_sql(source: str) -> str:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Complete cells with their pollution index and class 0, 1, 2."""
-    full = view(spark, folder, "grid").dropna(subset=["chl", "kd490"])
+    full = cleaning.written(view(spark, folder, "grid").dropna(subset=["chl", "kd490"]), "complete")  # read several times
     return labels.label_by_percentile(labels.pollution_index(full, INDICATORS), "pollution_index")
 
 
@@ -96,7 +96,8 @@ on_view("sp_1", "grid", lambda d: sampling.split(d.select(*COORDS, "chl"), COORD
 SELECT {POS}, label, CASE WHEN rn <= floor(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5({KEY})) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {LABELLED})""")
 def sp_2(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.split_stratified(labelled(spark, folder).select(*COORDS, "label"), "label", COORDS)
+    rows = cleaning.written(labelled(spark, folder).select(*COORDS, "label"), "labels")
+    return sampling.split_stratified(rows, "label", COORDS)
 
 
 on_view("sp_3", "grid", lambda d: sampling.split_temporal(d.select(*COORDS)), f"""
@@ -290,6 +291,36 @@ def ml_12(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ml.bootstrap(view(spark, folder, "grid"), "chl", COORDS, 100), ("mean", "boot_mean", "std_error", "low", "high"))
 
 
+_DRAWN = f"""k AS (SELECT *, concat_ws('|', '42', CAST(time AS VARCHAR), CAST(lat AS VARCHAR), CAST(lon AS VARCHAR)) AS k FROM {{rows}}),
+u AS (SELECT k.*, rep, CAST('0x' || substr(md5(concat_ws('|', k, CAST(rep // 4 AS VARCHAR))), CAST(8 * (rep % 4) + 1 AS INT), 8) AS BIGINT) AS u FROM k, range(100) r(rep)),
+w AS (SELECT *, {_poisson_sql('u')} AS w FROM u UNION ALL BY NAME SELECT *, -1 AS rep, 1 AS w FROM k)"""
+_SPREAD = """SELECT {name} AS metric, round(max(m) FILTER (rep < 0), 6) AS point, CAST(max(n) FILTER (rep < 0) AS BIGINT) AS samples, round(avg(m) FILTER (rep >= 0), 6) AS boot_mean,
+  round(stddev_samp(m) FILTER (rep >= 0), 6) AS std_error, round(quantile_cont(m, 0.025) FILTER (rep >= 0), 6) AS low,
+  round(quantile_cont(m, 0.975) FILTER (rep >= 0), 6) AS high FROM m"""
+_INTERVAL = ("point", "boot_mean", "std_error", "low", "high")
+
+
+@query("ml_12_f1", f"""
+WITH {_DRAWN.format(rows="(SELECT *, CASE WHEN chl < 1 THEN 0 WHEN chl < 3 THEN 1 ELSE 2 END AS prediction FROM " + LABELLED + ")")},
+s AS (SELECT rep, c, sum(w) FILTER (label = c) AS support, sum(w) FILTER (prediction = c) AS said, sum(w) FILTER (label = c AND prediction = c) AS hit
+  FROM w, (SELECT unnest([0, 1, 2]) AS c) GROUP BY rep, c),
+m AS (SELECT rep, sum(support) AS n, sum(coalesce(2 * coalesce(hit, 0) / (coalesce(support, 0) + coalesce(said, 0)), 0) * coalesce(support, 0)) / sum(support) AS m FROM s GROUP BY rep)
+{_SPREAD.format(name="'f1'")}""")
+def ml_12_f1(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cleaning.written(_compared(spark, folder).select(*COORDS, "label", "prediction"), "compared")
+    return rounded(ml.bootstrap_metric(rows, "f1", COORDS), _INTERVAL)
+
+
+@query("ml_12_r2", f"""
+WITH {_DRAWN.format(rows="(SELECT time, lat, lon, sst AS y, chl * 5 + 10 AS p FROM grid WHERE chl IS NOT NULL)")},
+m AS (SELECT rep, sum(w) AS n, 1 - sum(w * (y - p) * (y - p)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) AS m FROM w GROUP BY rep)
+{_SPREAD.format(name="'r2'")}""")
+def ml_12_r2(spark: SparkSession, folder: str) -> DataFrame:
+    """How well a line through chl tells sst."""
+    rows = view(spark, folder, "grid").withColumn("prediction", F.col("chl") * 5 + 10)
+    return rounded(ml.bootstrap_metric(rows, "r2", COORDS, label="sst"), _INTERVAL)
+
+
 on_view("ml_13", "grid", lambda d: rounded(ml.uncertainty_map(d, "chl"), ("mean", "std")),
         "SELECT lat, lon, round(avg(chl), 6) AS mean, round(stddev_pop(chl), 6) AS std, count(chl) AS n FROM grid GROUP BY lat, lon")
 

@@ -2,7 +2,11 @@
 
 Values fall into buckets that depend on the value alone: the power of two, cut into 2^12 parts, each cut into 2^14.
 Counts of the coarse parts tell which of them hold a wanted rank; of those the fine parts are counted, and only
-values in the right fine parts are ordered.  Three scans, whatever the number of columns; shuffles carry counts and few values.
+values in the right fine parts are ordered.
+
+Without groups this takes two scans for any number of columns.  The first makes a quantile sketch whose ranks are off by at most
+n / ``ACCURACY``, so a bracket of values around each wanted rank is certain; the second counts what is outside the brackets and keeps the
+values inside, equal ones together, and that one exchange serves all buckets.  With groups the rows themselves are bucketed, in three scans.
 """
 
 from __future__ import annotations
@@ -12,9 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import as_scalar
+from gridspark.functions.frames import as_scalar, bind
 
 COARSE_BITS, FINE_BITS = 12, 14
+ACCURACY = 10_000
 OFFSET = 1100 << COARSE_BITS  # above all exponents of doubles
 
 
@@ -37,6 +42,32 @@ def _running(by: Sequence[str], order: str, count: str = "_c") -> Column:
     return F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Counts ``_var, _v, _c`` of values, where those outside all brackets stand at the end of one next to them.
+
+    A bracket reaches four times the sketch's error to both sides of a rank, so its ends lie on either side of the wanted values, and
+    what is moved to an end shifts no rank beyond it.  Up to ``ACCURACY`` values no bracket is needed.
+    """
+    slack = 4 / ACCURACY
+    at = [q for p in probs for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    sketch = F.percentile_approx
+    ends = as_scalar(df.agg(*[F.struct(F.count(c).alias("n"), sketch(F.col(c).cast("double"), F.array(*map(F.lit, at)), ACCURACY).alias("q")).alias(f"s{i}")
+                              for i, c in enumerate(cols)]))
+    held, row = bind(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]), ends, "_ends")
+
+    def moved(i: int) -> Column:
+        v, q = F.col(f"v{i}"), row[f"s{i}"]["q"]
+        lows, highs = [[q[2 * j + k] for j in range(len(probs))] for k in (0, 1)]
+        inside = row[f"s{i}"]["n"] <= ACCURACY
+        for p, low, high in zip(probs, lows, highs):
+            inside = inside | (((v >= low) if p > slack else F.lit(True)) & ((v <= high) if p < 1 - slack else F.lit(True)))
+        below = F.array_max(F.filter(F.array(*highs), lambda h: h <= v))
+        return F.when(v.isNull() | inside, v).otherwise(F.coalesce(below, F.array_min(F.array(*lows))))
+
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("_var"), moved(i).alias("_v")) for i, c in enumerate(cols)]))
+    return held.select(pairs).where(F.col("_v").isNotNull()).groupBy("_var", "_v").agg(F.count("*").alias("_c"))
+
+
 def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per ``by`` group; each of ``cols`` becomes an array with one entry per prob, NULL without values."""
     cols, probs, by = list(cols), [float(p) for p in probs], list(by)
@@ -44,7 +75,8 @@ def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by:
     small = F.broadcast if not by else (lambda d: d)  # without groups: at most two rows per column and prob
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in cols]))
     b1, b2 = _buckets(F.col("_v"))
-    data = df.select(*by, pairs).where(F.col("_v").isNotNull()).withColumns({"_b1": b1, "_b2": b2})
+    data = (df.select(*by, pairs).where(F.col("_v").isNotNull()).withColumn("_c", F.lit(1).cast("long")) if by
+            else _bracketed(df, cols, probs)).withColumns({"_b1": b1, "_b2": b2})
 
     def joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
         cond = None
@@ -64,15 +96,15 @@ def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by:
             found = found | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")))
         return found
 
-    coarse = data.groupBy(*keys, "_b1").agg(F.count("*").alias("_c"))
+    coarse = data.groupBy(*keys, "_b1").agg(F.sum("_c").alias("_c"))
     coarse = coarse.withColumns({"_before": _running(keys, "_b1"), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
     coarse = coarse.where(holds()).select(*keys, "_b1", "_n", F.col("_before").alias("_base"))
 
-    fine = joined(data, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_n").agg(F.count("*").alias("_c"))
+    fine = joined(data, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_n").agg(F.sum("_c").alias("_c"))
     fine = fine.withColumn("_before", F.col("_base") + _running([*keys, "_b1"], "_b2"))
     fine = fine.where(holds()).select(*keys, "_b1", "_b2", "_n", F.col("_before").alias("_base"))
 
-    values = joined(data, fine, [*keys, "_b1", "_b2"]).groupBy(*keys, "_b1", "_b2", "_base", "_n", "_v").agg(F.count("*").alias("_c"))
+    values = joined(data, fine, [*keys, "_b1", "_b2"]).groupBy(*keys, "_b1", "_b2", "_base", "_n", "_v").agg(F.sum("_c").alias("_c"))
     values = values.withColumn("_before", F.col("_base") + _running([*keys, "_b1", "_b2"], "_v"))
 
     def at(c: str, rank: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import COORDS, bind, one_row
+from gridspark.functions.frames import COORDS, bind, one_of, one_row
 from gridspark.operators.boosting import fit_boosted
 from gridspark.operators.kernels import fit_kernel_svm
 from gridspark.operators.sampling import class_weights, folds
@@ -215,20 +215,17 @@ def predict_uncertainty(model: PipelineModel, df: DataFrame, out: str = "uncerta
     return scored.withColumn(out, F.sqrt(var)).drop("raw", "features", *names)
 
 
-def bootstrap(df: DataFrame, value: Column | str, keys: Sequence[str], replicates: int = 100, seed: int = 42,
-              level: float = 0.95) -> DataFrame:
-    """Bootstrap interval of a mean with Poisson(1) weights in one pass.
+def _replicates(rows: DataFrame, sums: dict[str, Column], keys: Sequence[str], replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """``rep``, ``by`` and the sums over rows, each row taken Poisson(1) times per replicate; ``_n`` is how often rows were taken.
 
     Each row draws its weights from the MD5 of seed, key and a number: eight hex digits per
     replicate, four replicates per digest, so a repeated task and another engine draw the same.
-    Sums fold before the shuffle, which carries one row per digest number and task.
+    Sums fold before the shuffle, which carries one row per digest number, group and task.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(v.alias("v"), *keys).where(F.col("v").isNotNull())
     blocks = -(-replicates // 4)
-    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    drawn = rows.select(*by, *[e.alias(f"_s_{k}") for k, e in sums.items()], *keys, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("block").cast("string")))
-    drawn = drawn.select("v", "block", digest.alias("h"))
+    drawn = drawn.withColumn("h", digest)
     # cut points of the Poisson(1) distribution function
     total, term, cuts = 0.0, 0.36787944117144233, []
     for i in range(12):
@@ -240,11 +237,19 @@ def bootstrap(df: DataFrame, value: Column | str, keys: Sequence[str], replicate
         u = F.conv(F.substring("h", 8 * part + 1, 8), 16, 10).cast("long")
         return reduce(Column.__add__, [(u >= c).cast("int") for c in cuts])
 
-    drawn = drawn.select("v", "block", *[weight(p).alias(f"w{p}") for p in range(4)])
-    sums = drawn.groupBy("block").agg(
-        *[F.sum(F.col(f"w{p}") * F.col("v")).alias(f"s{p}") for p in range(4)], *[F.sum(f"w{p}").alias(f"n{p}") for p in range(4)])
-    four = [F.struct((F.col("block") * 4 + p).alias("rep"), F.try_divide(f"s{p}", f"n{p}").alias("m")) for p in range(4)]
-    means = sums.select(F.inline(F.array(*four))).where(F.col("rep") < replicates)
+    drawn = drawn.select(*by, "block", *[f"_s_{k}" for k in sums], *[weight(p).alias(f"w{p}") for p in range(4)])
+    out = drawn.groupBy(*by, "block").agg(*[F.sum(F.col(f"w{p}") * F.col(f"_s_{k}")).alias(f"{k}{p}") for p in range(4) for k in sums],
+                                          *[F.sum(f"w{p}").alias(f"n{p}") for p in range(4)])
+    four = [F.struct((F.col("block") * 4 + p).alias("rep"), *[F.col(f"{k}{p}").alias(k) for k in sums], F.col(f"n{p}").alias("_n")) for p in range(4)]
+    return out.select(*by, F.inline(F.array(*four))).where(F.col("rep") < replicates)
+
+
+def bootstrap(df: DataFrame, value: Column | str, keys: Sequence[str], replicates: int = 100, seed: int = 42,
+              level: float = 0.95) -> DataFrame:
+    """Bootstrap interval of a mean with Poisson(1) weights in one pass."""
+    v = F.col(value) if isinstance(value, str) else value
+    rows = df.select(v.alias("v"), *keys).where(F.col("v").isNotNull())
+    means = _replicates(rows, {"s": F.col("v")}, keys, replicates, seed).select("rep", F.try_divide("s", "_n").alias("m"))
     tail = (1 - level) / 2
     q = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     point = one_row(rows, m=F.avg("v"), n=F.count("*"))
@@ -254,6 +259,36 @@ def bootstrap(df: DataFrame, value: Column | str, keys: Sequence[str], replicate
                       F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def bootstrap_metric(df: DataFrame, metric: str, keys: Sequence[str], label: str = "label", prediction: str = "prediction", replicates: int = 100,
+                     seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Bootstrap interval of ``accuracy``, weighted ``f1`` or ``r2`` of predictions: ``metric, point, samples, boot_mean, std_error, low, high``.
+
+    A replicate is a handful of sums (a weighted confusion matrix, or moments), so no row is stored twice; replicate -1 takes every
+    row once and gives the point.  Rows without label or prediction are left out.
+    """
+    one_of(metric, ("accuracy", "f1", "r2"), "metric")
+    rows = df.select(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"), *keys).where("y IS NOT NULL AND p IS NOT NULL")
+    y, p = F.col("y"), F.col("p")
+    if metric == "r2":
+        sums = {"e": (y - p) * (y - p), "a": y, "b": y * y}
+        every = rows.agg(F.lit(-1).alias("rep"), *[F.sum(e).alias(k) for k, e in sums.items()], F.count("*").alias("_n"))
+        taken = _replicates(rows, sums, keys, replicates, seed).unionByName(every)
+        scored = taken.select("rep", "_n", (1 - F.try_divide(F.col("e"), F.col("b") - F.try_divide(F.col("a") * F.col("a"), F.col("_n")))).alias("m"))
+    else:
+        every = rows.groupBy("y", "p").agg(F.lit(-1).alias("rep"), F.count("*").alias("_n"))
+        cells = _replicates(rows, {}, keys, replicates, seed, ["y", "p"]).unionByName(every)
+        hit = F.when(y == p, F.col("_n")).otherwise(0)
+        sides = cells.select("rep", F.inline(F.array(F.struct(y.alias("class"), F.col("_n").alias("support"), F.lit(0).alias("said"), hit.alias("hit")),
+                                                     F.struct(p.alias("class"), F.lit(0).alias("support"), F.col("_n").alias("said"), F.lit(0).alias("hit")))))
+        per = sides.groupBy("rep", "class").agg(*[F.sum(c).alias(c) for c in ("support", "said", "hit")])
+        f1 = F.coalesce(F.try_divide(2 * F.col("hit"), F.col("support") + F.col("said")), F.lit(0.0)) * F.col("support")
+        scored = per.groupBy("rep").agg(F.sum("support").alias("_n"), F.try_divide(F.sum("hit") if metric == "accuracy" else F.sum(f1), F.sum("support")).alias("m"))
+    drawn, tail = F.when(F.col("rep") >= 0, F.col("m")), (1 - level) / 2
+    out = scored.agg(F.max(F.when(F.col("rep") < 0, F.col("m"))).alias("point"), F.max(F.when(F.col("rep") < 0, F.col("_n"))).alias("samples"),
+                     F.avg(drawn).alias("boot_mean"), F.stddev_samp(drawn).alias("std_error"), F.percentile(drawn, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return out.select(F.lit(metric).alias("metric"), "point", "samples", "boot_mean", "std_error", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def uncertainty_map(df: DataFrame, var: str) -> DataFrame:
     """Mean and population deviation over time per position."""
     return df.groupBy("lat", "lon").agg(F.avg(var).alias("mean"), F.stddev_pop(var).alias("std"),

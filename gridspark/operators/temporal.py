@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,12 +214,34 @@ def latest(df: DataFrame, cell: Sequence[str] = CELL, time: str = "time") -> Dat
     return df.groupBy(*cell).agg(newest.alias("_row")).select("_row.*")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse of the standard normal distribution function."""
-    from statistics import NormalDist
-    inv = NormalDist().inv_cdf
-    return p.map(lambda x: inv(x) if 0.0 < x < 1.0 else None)
+#: Rational approximations of the normal quantile published as AS 241 (Wichura 1988), highest power first.
+#: Central part in 0.180625 - q^2, near tails in r - 1.6 and far tails in r - 5, with r = sqrt(-ln p).
+CENTRE = ((2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125,
+           1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+          (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867, 5394.1960214247511077,
+           687.18700749205790830, 42.313330701600911252, 1.0))
+NEAR = ((7.7454501427834140764e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258, 3.64784832476320460504,
+         5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+        (1.05075007164441684324e-9, 5.4759380849953449460e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1,
+         1.67638483018380384940, 2.05319162663775882187, 1.0))
+FAR = ((2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1,
+        1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720),
+       (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2,
+        1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0))
+
+
+def _ratio(parts: tuple[Sequence[float], Sequence[float]], x: Column) -> Column:
+    top, bottom = (reduce(lambda s, c: s * x + c, part[1:], F.lit(part[0])) for part in parts)
+    return top / bottom
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution function, in column arithmetic; NULL outside 0 < p < 1."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(r <= 5, _ratio(NEAR, r - 1.6)).otherwise(_ratio(FAR, r - 5.0))
+    z = F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * tail)
+    return F.when((p > 0) & (p < 1), z)
 
 
 def qq_points(df: DataFrame, var: str, n: int | None = None, chunk: int = 100_000) -> DataFrame:

@@ -57,12 +57,52 @@ def test_percentiles_of_odd_values(spark):
     assert got == sorted(v)
 
 
-def test_percentiles_scan_three_times(spark, tmp_path):
+def _stages(plan):
+    """Leaves of the plan that ran: a scan counts once, however often its exchange is read again."""
+    scans, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif not name.startswith("ReusedExchange"):
+            scans += name.startswith("Scan")
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+    return scans
+
+
+@pytest.mark.parametrize("cols", [["a"], ["a", "b"]])
+def test_percentiles_scan_twice(spark, tmp_path, cols):
+    """Once for the sketch, which is a scalar subquery, and once for the counts, whose exchange serves all buckets."""
     path = str(tmp_path / "p")
-    spark.range(1000).selectExpr("double(id) AS a", "double(id % 7) AS b").write.parquet(path)
-    for cols in (["a"], ["a", "b"]):
-        plan = percentiles(spark.read.parquet(path), cols, [0.1, 0.9])._jdf.queryExecution().optimizedPlan().collectLeaves().size()
-        assert plan == 3
+    spark.range(40_000).selectExpr("double(id) AS a", "double(id % 7) AS b").write.parquet(path)
+    df = percentiles(spark.read.parquet(path), cols, [0.1, 0.9])
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    assert _stages(plan) == 1
+    row = df.first()
+    assert row["a"] == [3999.9, 35999.1] and ("b" not in cols or row["b"] == [0.0, 6.0])
+
+
+@pytest.mark.parametrize("shape", ["normal", "one value", "mostly zero", "few values", "two scales", "infinite"])
+def test_brackets_keep_the_wanted_ranks(spark, shape):
+    rng = np.random.default_rng(6)
+    n = 60_000
+    v = {"normal": rng.normal(size=n), "one value": np.full(n, -3.25), "mostly zero": np.where(rng.random(n) < 0.7, 0.0, rng.normal(size=n)),
+         "few values": np.round(rng.exponential(size=n), 1), "two scales": np.concatenate([rng.normal(size=n // 2) * 1e-9, rng.normal(size=n // 2) * 1e9]),
+         "infinite": np.concatenate([rng.normal(size=n - 40), np.full(20, np.inf), np.full(20, -np.inf)])}[shape]
+    df = spark.createDataFrame(pd.DataFrame({"v": rng.permutation(v), "w": np.where(np.arange(n) % 3, np.nan, v)})).select("v", F.nanvl("w", F.lit(None)).alias("w")).repartition(7)
+    probs = [0.0, 0.0001, 0.01, 0.33, 0.5, 0.95, 0.9999, 1.0]
+    row = percentiles(df, ["v", "w"], probs).first()
+    def plain(x):
+        spots = [(len(x) - 1) * p for p in probs]
+        lo, hi = [[np.sort(x)[int(f(s))] for s in spots] for f in (np.floor, np.ceil)]
+        return [a if a == b else a + (b - a) * (s - np.floor(s)) for a, b, s in zip(lo, hi, spots)]
+    assert np.allclose(row["v"], plain(v), rtol=1e-12, atol=0)
+    assert np.allclose(row["w"], plain(v[np.arange(n) % 3 == 0]), rtol=1e-12, atol=0)
 
 
 def test_ranked_percentiles_by_group_and_column(spark):

@@ -207,3 +207,44 @@ def test_first_rounds_stand_for_shorter_boosting(spark, data):
         assert abs(f1 - np.mean(scores)) < 1e-9
     best = search.search_boosted(df, NAMES, keys=["id"], grid=grid, k=2).first()
     assert best["f1"] == max(got.values())
+
+
+def test_metric_intervals_by_their_definition(spark, data):
+    import hashlib
+
+    df, x, label, y = data
+    few = df.where("id < 200").withColumn("prediction", F.when(F.col("id") % 9 == 0, (F.col("label") + 1) % 3).otherwise(F.col("label")).cast("double"))
+    few = few.unionByName(few.limit(3).withColumn("id", F.col("id") + 1000).withColumn("prediction", F.lit(None).cast("double")))
+    said = np.array([(label[i] + 1) % 3 if i % 9 == 0 else label[i] for i in range(200)])
+    cuts, total, term = [], 0.0, 0.36787944117144233
+    for i in range(12):
+        total += term
+        cuts.append(int(total * 2**32))
+        term /= i + 1
+    times = np.zeros((8, 200), dtype=int)
+    for rep in range(8):
+        for i in range(200):
+            u = int(hashlib.md5(f"42|{i}|{rep // 4}".encode()).hexdigest()[8 * (rep % 4):8 * (rep % 4) + 8], 16)
+            times[rep, i] = sum(u >= c for c in cuts)
+    taken = [np.repeat(np.arange(200), w) for w in times]
+    r2 = lambda r: 1 - ((y[r] - 2 * x[r, 0]) ** 2).sum() / ((y[r] - y[r].mean()) ** 2).sum()
+    plain = {"f1": lambda r: _plain_f1(label[r], said[r]), "accuracy": lambda r: (label[r] == said[r]).mean(), "r2": r2}
+    for metric, figure in plain.items():
+        rows = few if metric != "r2" else few.withColumn("prediction", 2 * F.col("a")).where("id < 1000")
+        got = ml.bootstrap_metric(rows, metric, ["id"], label="y" if metric == "r2" else "label", replicates=8).first()
+        reps = [figure(r) for r in taken]
+        want = (figure(np.arange(200)), 200, np.mean(reps), np.std(reps, ddof=1), *np.percentile(reps, [2.5, 97.5]))
+        assert got["metric"] == metric and np.allclose([got[c] for c in ("point", "samples", "boot_mean", "std_error", "low", "high")], want)
+
+
+def test_normal_quantile_in_columns(spark):
+    from statistics import NormalDist
+
+    from gridspark.operators.temporal import normal_quantile
+
+    p = [1e-300, 1e-20, 1e-12, 1e-5, 0.02, 0.0749, 0.0751, 0.3, 0.5, 0.7, 0.9249, 0.9251, 0.999, 1 - 1e-12]
+    df = spark.createDataFrame([(x,) for x in [*p, 0.0, 1.0, -1.0, None]], "p double").withColumn("z", normal_quantile(F.col("p")))
+    got = {r["p"]: r["z"] for r in df.collect()}
+    assert all(abs(got[x] - NormalDist().inv_cdf(x)) < 1e-12 * max(1, abs(got[x])) for x in p)
+    assert got[0.0] is got[1.0] is got[-1.0] is got[None] is None
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
