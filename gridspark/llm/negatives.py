@@ -12,6 +12,7 @@ from gridspark.llm.common import partitions, staged
 
 LARGEST = float(1 << 62)    # sums of squares from here on could leave the range of a LONG score
 EXACT = float(1 << 53)      # below it doubles hold integer products exactly
+DENSE = 0.2                 # share of a tile's pairs from which on the whole tile is multiplied
 STRIP = 1 << 21             # pairs whose bounds are held at a time
 
 
@@ -53,6 +54,12 @@ def scores(a: Summaries, b: Summaries, i: np.ndarray, j: np.ndarray) -> np.ndarr
     return np.einsum("ij,ij->i", a.exact[i].astype(kind), b.exact[j].astype(kind)).astype(np.int64)
 
 
+def tile_scores(a: Summaries, b: Summaries, i: slice) -> np.ndarray:
+    """Exact integer inner products of rows ``i`` of ``a`` with all rows of ``b``."""
+    kind = np.float64 if a.norm * b.norm < EXACT else np.int64
+    return (a.exact[i].astype(kind) @ b.exact.astype(kind).T).astype(np.int64)
+
+
 Limits = tuple[np.ndarray, np.ndarray]     # per anchor the least and the greatest wanted score
 
 
@@ -67,26 +74,37 @@ def best(a: Summaries, b: Summaries, windows: Sequence[Limits], k: int, allowed:
     for s in range(0, len(a.exact), step):
         t = slice(s, min(s + step, len(a.exact)))
         own = [(lo[t], hi[t]) for lo, hi in windows]
-        low, high = bounds(a, b, 0, t)
-        open_ = np.zeros(low.shape, dtype=bool)
-        for lo, hi in own:
-            reach = np.where((low >= lo[:, None]) & (high <= hi[:, None]), low, -np.inf)
-            sure = np.partition(reach, -k, axis=1)[:, -k] if reach.shape[1] >= k else np.full(len(reach), -np.inf)
-            open_ |= (high >= np.maximum(lo, sure)[:, None]) & (low <= hi[:, None])
-        if allowed is not None:
-            open_ &= allowed(t)
-        i, j = np.nonzero(open_)
-        for level in range(1, len(a.levels)):
-            low, high = bounds(a, b, level, i + s, j)
-            first = np.searchsorted(i, np.arange(t.stop - s + 1))
-            stay = np.zeros(len(i), dtype=bool)
+        open_ = np.ones((t.stop - s, len(b.exact)), dtype=bool) if allowed is None else allowed(t)
+        level = 0
+        while level < len(a.levels) and (level == 0 or open_.mean() > DENSE):  # most pairs are left: bounds by products of whole tiles
+            low, high = bounds(a, b, level, t)
+            stay = np.zeros(open_.shape, dtype=bool)
             for lo, hi in own:
-                inside = np.where((low >= lo[i]) & (high <= hi[i]), low, -np.inf)
-                sure = np.array([np.partition(inside[x:y], -k)[-k] if y - x >= k else -np.inf
-                                 for x, y in zip(first[:-1].tolist(), first[1:].tolist())])
-                stay |= (high >= np.maximum(lo, sure)[i]) & (low <= hi[i])
-            i, j = i[stay], j[stay]
-        exact = scores(a, b, i + s, j)
+                inside = open_ & (low >= lo[:, None]) & (high <= hi[:, None])
+                least = lo.astype(np.float64)
+                for r in np.flatnonzero(inside.sum(axis=1) >= k):
+                    least[r] = max(least[r], np.partition(low[r, inside[r]], -k)[-k])
+                stay |= (high >= least[:, None]) & (low <= hi[:, None])
+            open_ &= stay
+            level += 1
+        if open_.mean() > DENSE:
+            i, j = np.nonzero(open_)
+            exact = tile_scores(a, b, t)[i, j]
+        else:
+            i, j = np.nonzero(open_)
+            for finer in range(level, len(a.levels)):
+                low, high = bounds(a, b, finer, i + s, j)
+                first = np.searchsorted(i, np.arange(t.stop - s + 1)).tolist()
+                stay = np.zeros(len(i), dtype=bool)
+                for lo, hi in own:
+                    inside = (low >= lo[i]) & (high <= hi[i])
+                    least = lo.astype(np.float64)
+                    for r in np.flatnonzero(np.bincount(i[inside], minlength=t.stop - s) >= k):
+                        x, y = first[r], first[r + 1]
+                        least[r] = max(least[r], np.partition(low[x:y][inside[x:y]], -k)[-k])
+                    stay |= (high >= least[i]) & (low <= hi[i])
+                i, j = i[stay], j[stay]
+            exact = scores(a, b, i + s, j)
         first = np.searchsorted(i, np.arange(t.stop - s + 1)).tolist()
         for r, (x, y) in enumerate(zip(first[:-1], first[1:])):
             order = np.argsort(-exact[x:y], kind="stable") + x
