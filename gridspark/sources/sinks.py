@@ -7,25 +7,59 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import as_scalar
+from gridspark.functions.frames import as_scalar, bind, one_of, one_row, time_number
 from gridspark.functions.quantiles import percentiles
 
 STATS_SCHEMA = "feature string, mean double, std double, min double, max double, median double"
 
 
-def write_grid(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+BOX_BITS = 10   # per dimension
+
+
+def _apart(x: Column) -> Column:
+    """The bits of a number of ``BOX_BITS`` bits, two zero bits between each."""
+    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def box_code(df: DataFrame, time: str = "time", lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, Column]:
+    """``df`` with the extents it needs as column ``_row``, and the Morton code of a cell.
+
+    Each dimension is cut into 2^BOX_BITS parts between its extremes and their bits alternate, so rows that are near in code
+    are near in time, latitude and longitude.  Missing coordinates count as the lowest.
+    """
+    spots = {"t": time_number(df, time), "y": F.col(lat).cast("double"), "x": F.col(lon).cast("double")}
+    ends = {f"{end}_{k}": fn(v) for k, v in spots.items() for end, fn in (("lo", F.min), ("hi", F.max))}
+    held, row = bind(df, one_row(df, **ends))
+
+    def part(k: str) -> Column:
+        width = row[f"hi_{k}"] - row[f"lo_{k}"]
+        share = F.coalesce(F.try_divide(spots[k] - row[f"lo_{k}"], width), F.lit(0.0))
+        return _apart(F.least(F.floor(share * (1 << BOX_BITS)), F.lit((1 << BOX_BITS) - 1)).cast("int"))
+
+    return held, F.shiftleft(part("t"), 2).bitwiseOR(F.shiftleft(part("y"), 1)).bitwiseOR(part("x"))
+
+
+def write_grid(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", order: str = "boxes") -> None:
     """Write a grid partitioned by year, so that time ranges prune whole folders.
 
-    Rebalancing gives every year as many files of even size as it needs, also when one
-    year holds a large part of all rows; each file is sorted by time and position.
+    With ``boxes``, files are ranges of a Morton code and rows follow it, so the extremes that files, row groups and pages keep
+    are narrow in every dimension, and the range filters of ``read_grid`` skip what lies outside a box.  Ranges are cut by sampled size, so a
+    year with a large part of all rows has as many files as it needs.  With ``time``, rows of a file stand by time and position.
     """
     if fmt not in ("parquet", "orc"):
         raise ValueError(f"unsupported grid format '{fmt}'")
-    out = df.withColumn("year", F.year("time")).hint("rebalance", "year")
-    out = out.sortWithinPartitions("year", "time", "lat", "lon")
+    one_of(order, ("boxes", "time"), "order")
+    out = df.withColumn("year", F.year("time"))
+    if order == "boxes":
+        held, code = box_code(out)
+        out = held.withColumn("_code", code).repartitionByRange("year", "_code").sortWithinPartitions("year", "_code").drop("_row", "_code")
+    else:
+        out = out.hint("rebalance", "year").sortWithinPartitions("year", "time", "lat", "lon")
     out.write.mode(mode).partitionBy("year").format(fmt).save(path)
 
 

@@ -367,3 +367,54 @@ def test_box_stats_of_many_groups(spark):
         assert tuple(got[g])[1:] == (5, 22.0, 2.0, 3.0, 4.0, 1.0, 4.0, 1)
     own = np.array([v for g, v in rows if g == 7])
     assert got[7]["n"] == 505 and got[7]["mean"] == pytest.approx(own.mean()) and got[7]["median"] == np.median(own)
+
+
+def test_boxes_prune_what_is_read(spark, tmp_path):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    grid = spark.range(24 * 40 * 40).selectExpr(
+        "add_months(date'2020-01-01', int(id div 1600)) AS time", "double(id div 40 % 40) AS lat", "double(id % 40) - 20 AS lon", "rand(3) AS chl")
+    box = {"lat": (3.0, 9.0), "lon": (-4.0, 2.0)}
+    seen = {}
+    for order in ("boxes", "time"):
+        path = str(tmp_path / order)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            sinks.write_grid(grid, path, order=order)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        got = readers.read_grid(spark, path, ["chl"], bbox=box)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, narrowed(grid, box).collect()))
+        spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+        plan = readers.read_grid(spark, path, ["chl"], bbox=box)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        assert all(f"GreaterThanOrEqual({c}" in plan and f"LessThanOrEqual({c}" in plan for c in ("lat", "lon"))
+        rows = total = 0
+        for file in Path(path).rglob("*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            for g in range(meta.num_row_groups):
+                group = meta.row_group(g)
+                ends = {group.column(c).path_in_schema: group.column(c).statistics for c in range(group.num_columns)}
+                total += group.num_rows
+                if all(ends[d].min <= hi and ends[d].max >= lo for d, (lo, hi) in box.items()):
+                    rows += group.num_rows
+        seen[order] = rows / total
+    assert seen["boxes"] <= 0.6 * seen["time"]
+
+
+def narrowed(grid, box):
+    for d, (lo, hi) in box.items():
+        grid = grid.where(F.col(d).between(lo, hi))
+    return grid.select("time", "lat", "lon", "chl")
+
+
+def test_box_codes_interleave_bits(spark):
+    rows = [(f"2020-01-{1 + t:02d}", float(y), float(x)) for t in range(4) for y in range(4) for x in range(4)]
+    df = spark.createDataFrame(rows, "time string, lat double, lon double").withColumn("time", F.to_date("time"))
+    held, code = sinks.box_code(df)
+    place = {0: 0, 1: 341, 2: 682, 3: 1023}     # quarters of the range, cut into 1,024 parts
+    bits = lambda v, at: sum((place[v] >> i & 1) << (3 * i + at) for i in range(10))
+    for r in held.select(F.dayofmonth("time").alias("t"), "lat", "lon", code.alias("c")).collect():
+        assert r["c"] == bits(r["t"] - 1, 2) | bits(int(r["lat"]), 1) | bits(int(r["lon"]), 0)

@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
-#: Forests of full size, 90 to 100 s each: run with TEST_MODELS=1.
-LONG = {"ml_3", "ml_4", "ml_5", "ml_11"}
+#: A bake-off, five folds and two whole searches, 60 to 200 s each: run with TEST_MODELS=1.
+LONG = {"ml_4", "ml_5", "ml_6"}
 
 
 @pytest.fixture(scope="module")
