@@ -482,6 +482,12 @@ def pipe_1(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(out, [c for c in cols if c != "pp"], 5), ["pp"], 8)
 
 
+@query("pipe_1_default")
+def pipe_1_default(spark: SparkSession, folder: str) -> DataFrame:
+    """The default plan (gaps filled along time, then by the nearest cell) over all variables; held against a plain version in the tests."""
+    return cleaning.clean(view(spark, folder, "grid")).data
+
+
 JOINED = f"""(SELECT g.*, b.cdm, b.bbp FROM grid g JOIN grid_b b ON g.time = b.time AND g.lat = b.lat AND g.lon = b.lon
   WHERE {" AND ".join(f"g.{v} IS NOT NULL" for v in GRID_VARS)})"""
 

@@ -418,3 +418,46 @@ def test_box_codes_interleave_bits(spark):
     bits = lambda v, at: sum((place[v] >> i & 1) << (3 * i + at) for i in range(10))
     for r in held.select(F.dayofmonth("time").alias("t"), "lat", "lon", code.alias("c")).collect():
         assert r["c"] == bits(r["t"] - 1, 2) | bits(int(r["lat"]), 1) | bits(int(r["lon"]), 0)
+
+
+def test_default_cleaning_by_a_plain_version(spark):
+    """Fill in time, then from the nearest cell; clip at 1 and 99 percent; scale all but the target; smooth along time."""
+    rng = np.random.default_rng(12)
+    months = [dt.date(2020 + m // 12, m % 12 + 1, 1) for m in range(20)]
+    days = np.array([d.toordinal() for d in months], dtype=float)
+    v = {c: np.abs(rng.normal(5, 2, (20, 2, 6))) for c in ("chl", "sst", "pp")}
+    v["sst"][:, :, 0] = np.nan                       # cells without any value: the nearest one is next to them
+    for c, t, y, x in (("chl", 4, 0, 2), ("chl", 5, 0, 2), ("pp", 9, 1, 3), ("sst", 17, 1, 5)):
+        v[c][t, y, x] = np.nan
+    v["chl"][3, 1, 1], v["pp"][7, 0, 4] = 90.0, -40.0
+    cell = lambda c, t, y, x: None if np.isnan(v[c][t, y, x]) else float(v[c][t, y, x])
+    rows = [(months[t], 10.0 + y, 20.0 + x, *(cell(c, t, y, x) for c in v)) for t in range(20) for y in range(2) for x in range(6)]
+    df = spark.createDataFrame(rows, "time date, lat double, lon double, chl double, sst double, pp double")
+    got = cleaning.clean(df)
+    want = {}
+    for c, a in v.items():
+        a = a.copy()
+        for y in range(2):
+            for x in range(6):
+                known = ~np.isnan(a[:, y, x])
+                if known.any():
+                    a[:, y, x] = np.interp(days, days[known], a[known, y, x])
+        if c == "sst":
+            a[:, :, 0] = a[:, :, 1]
+        a = np.clip(a, *np.percentile(a, [1, 99]))
+        if c != "pp":
+            a = (a - a.mean()) / (a.std() + 1e-10)
+        out = np.empty_like(a)
+        for y in range(2):
+            for x in range(6):
+                for t in range(20):
+                    s = min(max(t - 3, 0), 13)      # the window of an edge stays inside
+                    out[t, y, x] = np.polyval(np.polyfit(np.arange(s, s + 7), a[s:s + 7, y, x], 2), t)
+        want[c] = out
+    spot = {d: i for i, d in enumerate(months)}
+    seen = got.data.select("time", "lat", "lon", *v).collect()
+    assert len(seen) == 240
+    for r in seen:
+        at = spot[r["time"]], int(r["lat"]) - 10, int(r["lon"]) - 20
+        assert all(abs(r[c] - want[c][at]) < 1e-6 for c in v)
+    assert set(got.scaled) == {"chl", "sst"} and "season_sin" in got.created
