@@ -37,8 +37,8 @@ def _buckets(v: Column) -> tuple[Column, Column]:
             F.when(plain, sign * fine).otherwise(0).cast("long"))
 
 
-def _running(by: Sequence[str], order: str, count: str = "_c") -> Column:
-    w = Window.partitionBy(*by).orderBy(order)
+def _running(by: Sequence[str], order: str | Sequence[str], count: str = "_c") -> Column:
+    w = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
     return F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
@@ -96,12 +96,15 @@ def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by:
             found = found | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")))
         return found
 
-    coarse = data.groupBy(*keys, "_b1").agg(F.sum("_c").alias("_c"))
-    coarse = coarse.withColumns({"_before": _running(keys, "_b1"), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
-    coarse = coarse.where(holds()).select(*keys, "_b1", "_n", F.col("_before").alias("_base"))
-
-    fine = joined(data, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_n").agg(F.sum("_c").alias("_c"))
-    fine = fine.withColumn("_before", F.col("_base") + _running([*keys, "_b1"], "_b2"))
+    if by:
+        coarse = data.groupBy(*keys, "_b1").agg(F.sum("_c").alias("_c"))
+        coarse = coarse.withColumns({"_before": _running(keys, "_b1"), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+        coarse = coarse.where(holds()).select(*keys, "_b1", "_n", F.col("_before").alias("_base"))
+        fine = joined(data, coarse, [*keys, "_b1"]).groupBy(*keys, "_b1", "_b2", "_base", "_n").agg(F.sum("_c").alias("_c"))
+        fine = fine.withColumn("_before", F.col("_base") + _running([*keys, "_b1"], "_b2"))
+    else:  # brackets are narrow, so few fine parts have values
+        fine = data.groupBy(*keys, "_b1", "_b2").agg(F.sum("_c").alias("_c"))
+        fine = fine.withColumns({"_before": _running(keys, ["_b1", "_b2"]), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
     fine = fine.where(holds()).select(*keys, "_b1", "_b2", "_n", F.col("_before").alias("_base"))
 
     values = joined(data, fine, [*keys, "_b1", "_b2"]).groupBy(*keys, "_b1", "_b2", "_base", "_n", "_v").agg(F.sum("_c").alias("_c"))
