@@ -71,6 +71,17 @@ def src_6(spark: SparkSession, folder: str) -> DataFrame:
     return readers.file_inventory(spark, folder, "*.parquet").select("filename", "size_bytes", "size_mb", "type", "md5")
 
 
+@query("src_6_digests", """
+WITH texts AS (SELECT s_name || '|' || CAST(s_suppkey AS VARCHAR) || chr(10) AS t FROM supplier)
+SELECT CAST(strlen(t) AS BIGINT) AS size_bytes, 'txt' AS type, md5(t) AS md5 FROM texts""")
+def src_6_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per supplier, listed with the digests of what was written."""
+    path = shared_folder(spark, "src_6")
+    lines = spark.read.parquet(f"{folder}/supplier.parquet").select(F.concat_ws("|", "s_name", "s_suppkey"))
+    lines.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.file_inventory(spark, path, "*.txt").select("size_bytes", "type", "md5")
+
+
 # ---------------------------------------------------------------- sinks
 
 @query("snk_1", f"SELECT {GRID}, CAST(EXTRACT(YEAR FROM time) AS INT) AS year FROM grid")

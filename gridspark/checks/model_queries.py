@@ -14,9 +14,11 @@ from gridspark.checks.registry import on_view, query, rounded
 from gridspark.functions.draws import draw
 from gridspark.functions.frames import COORDS, bind, one_row, shared_folder
 from gridspark.operators import align, blocks, derive, forests, labels, ml, sampling, scoring, search, stats
+from gridspark.operators.filters import split_valid
 from gridspark.plans import cleaning, training, workflow
 from gridspark.plans.scoring import score_batch
 from gridspark.sources import sinks
+from gridspark.streaming import keyed, models
 from gridspark.streaming import scoring as streams
 
 POS = "time, lat, lon"
@@ -398,6 +400,32 @@ def st_3(spark: SparkSession, folder: str) -> DataFrame:
     return streams.read_recent(spark, path)
 
 
+@query("st_1_model", """
+SELECT id, CAST(1 AS INT) AS model_version, 'model' AS source, TRUE AS same FROM scored WHERE chl <= 50""")
+def st_1_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples scored on a stream by a published model, beside the batch scores of the same model."""
+    train, _ = _training(spark, folder)
+    model = ml.train_classifier(train, FEATURES)
+    medians = sinks.stats_medians(sinks.feature_stats(train, ["zsd", "sst", "sss", "current_speed"]))
+    at, path = shared_folder(spark, "st_1_models"), shared_folder(spark, "st_1_scores")
+    models.publish_model(spark, model, at, FEATURES, medians)
+    models.write_current_scores(_sample_stream(spark, folder), at, path).awaitTermination()
+    batch = scoring.score_or_rules(split_valid(view(spark, folder, "samples"))[0], model, FEATURES, medians)
+    both = models.read_scores(spark, path).alias("s").join(batch.alias("b"), "id")
+    return both.select("id", "model_version", "s.source", (F.col("s.level").eqNullSafe(F.col("b.level")) & (
+        F.abs(F.col("s.confidence") - F.col("b.confidence")) < 1e-9)).alias("same"))
+
+
+@query("st_3_keyed", """
+SELECT id, level, ts FROM scored QUALIFY row_number() OVER (PARTITION BY level ORDER BY ts DESC NULLS LAST, id DESC) <= 100""")
+def st_3_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest 100 samples of every level, from the state store."""
+    path = shared_folder(spark, "st_3_keyed")
+    rows = labels.score_rules(_sample_stream(spark, folder)).select("id", "level", "ts")
+    keyed.keep_newest(rows, path, ["level"], 100).awaitTermination()
+    return keyed.read_newest(spark, path, ["level"], 100)
+
+
 # ---------------------------------------------------------------- user functions
 
 def _tile_sum(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,17 +107,54 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
                         for c in present(raw, SAMPLE_COLUMNS)])
 
 
+#: Stores that tasks open by themselves, and what the opener calls them.
+STREAMED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+CHUNK = 1 << 20  # bytes of a file held at a time
+
+
+def _open(path: str):
+    """The bytes of a file of one of the ``STREAMED`` stores, from wherever the task runs."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression=None)
+    host, _, name = rest[2:].partition("/")
+    store, base = fs.FileSystem.from_uri(f"{STREAMED[scheme]}://{host}/")
+    return store.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None)
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sums = []
+        for path in batch["path"]:
+            digest = hashlib.md5(usedforsecurity=False)
+            with _open(path) as file:
+                while chunk := file.read(CHUNK):
+                    digest.update(chunk)
+            sums.append(digest.hexdigest())
+        yield batch.assign(md5=sums)
+
+
 def file_inventory(spark: SparkSession, folder: str, glob: str = "*", checksum: bool = True) -> DataFrame:
     """Name, size, modification time, type and MD5 of every file in a folder.
 
-    Without ``checksum`` the contents are not read.
+    Without ``checksum`` the contents are not read.  Tasks get paths and read their files in chunks, so a file may have
+    any size; the scan deals files to tasks by size.  Files of stores outside ``STREAMED`` are read by Spark as rows,
+    which holds for files up to 2 GB each.  Spark's file sources pass over files without bytes, so those are not listed.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(folder))
-    name = F.element_at(F.split("path", "/"), -1)
-    cols = [name.alias("filename"), (F.col("length") / (1024 * 1024)).alias("size_mb"),
-            F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"),
-            F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).alias("type")]
+    listed, md5 = files.drop("content"), []
     if checksum:
-        cols.append(F.md5("content").alias("md5"))
-    return files.select(*cols)
+        md5 = ["md5"]
+        head = listed.select("path").first()
+        if head is None or head["path"].split(":")[0] in STREAMED:
+            listed = listed.mapInPandas(_digests, "path string, modificationTime timestamp, length long, md5 string")
+        else:
+            listed = files.withColumn("md5", F.md5("content")).drop("content")
+    name = F.element_at(F.split("path", "/"), -1)
+    return listed.select(
+        name.alias("filename"), (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("modified"),
+        F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).alias("type"), *md5)

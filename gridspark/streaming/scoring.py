@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +56,28 @@ def history_counters(stream: DataFrame, ts: str = "ts", window: str = "30 days",
         .select(F.col("window.start").alias("window_start"), "total", "successful", "high_risk"))
 
 
+def _turn(batch: DataFrame, number: int, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Merge a batch with the state of the one before.
+
+    Two states exist, for even and for odd batches: a batch reads the other one and overwrites
+    its own, so a repeated batch gives the same state and old states do not pile up.
+    """
+    before = batch.sparkSession.createDataFrame([], batch.schema)
+    if number > 0:
+        before = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/state/turn={(number - 1) % 2}")
+    kept = merge(before, batch).withColumn("_batch", F.lit(number).cast("long"))
+    kept.write.mode("overwrite").parquet(f"{folder}/state/turn={number % 2}")
+
+
+def _newest_turn(spark: SparkSession, folder: str) -> DataFrame:
+    states = spark.read.parquet(f"{folder}/state").drop("turn")
+    return states.where(F.col("_batch") == states.agg(F.max("_batch")).scalar()).drop("_batch")
+
+
 def write_counters(counters: DataFrame, folder: str, available_now: bool = True):
-    """Changed windows of every batch go to a folder of their own; a repeated batch overwrites it."""
+    """Windows that a batch changed replace their older rows; the files hold two states, however many batches ran."""
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
+        _turn(batch, number, folder, lambda before, new: before.join(new, "window_start", "left_anti").unionByName(new))
 
     writer = (counters.writeStream.outputMode("update").foreachBatch(save)
               .option("checkpointLocation", f"{folder}/checkpoint"))
@@ -68,25 +86,14 @@ def write_counters(counters: DataFrame, folder: str, available_now: bool = True)
 
 def read_counters(spark: SparkSession, folder: str) -> DataFrame:
     """The newest state of every window."""
-    rows = spark.read.parquet(f"{folder}/data")
-    newest = F.max_by(F.struct("total", "successful", "high_risk"), F.col("batch"))
-    return rows.groupBy("window_start").agg(newest.alias("s")).select("window_start", "s.*")
+    return _newest_turn(spark, folder)
 
 
 def keep_recent(stream: DataFrame, folder: str, n: int = 100, ts: str = "ts", tie: str = "id",
                 available_now: bool = True):
-    """Keep the newest ``n`` records: each batch is merged with the state of the one before.
-
-    Two states exist, for even and for odd batches: a batch reads the other one and overwrites
-    its own, so a repeated batch gives the same state and old states do not pile up.
-    """
+    """Keep the newest ``n`` records: each batch is merged with the state of the one before."""
     def merge(batch: DataFrame, number: int) -> None:
-        rows = recent(batch, n, ts, tie)
-        if number > 0:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/state/turn={(number - 1) % 2}")
-            rows = rows.unionByName(before)
-        kept = recent(rows, n, ts, tie).withColumn("_batch", F.lit(number).cast("long"))
-        kept.write.mode("overwrite").parquet(f"{folder}/state/turn={number % 2}")
+        _turn(recent(batch, n, ts, tie), number, folder, lambda before, new: recent(before.unionByName(new), n, ts, tie))
 
     writer = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint"))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -94,5 +101,4 @@ def keep_recent(stream: DataFrame, folder: str, n: int = 100, ts: str = "ts", ti
 
 def read_recent(spark: SparkSession, folder: str) -> DataFrame:
     """The newest state."""
-    states = spark.read.parquet(f"{folder}/state").drop("turn")
-    return states.where(F.col("_batch") == states.agg(F.max("_batch")).scalar()).drop("_batch")
+    return _newest_turn(spark, folder)

@@ -461,3 +461,29 @@ def test_default_cleaning_by_a_plain_version(spark):
         at = spot[r["time"]], int(r["lat"]) - 10, int(r["lon"]) - 20
         assert all(abs(r[c] - want[c][at]) < 1e-6 for c in v)
     assert set(got.scaled) == {"chl", "sst"} and "season_sin" in got.created
+
+
+def test_file_digests_come_from_the_bytes_and_hold_above_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    from gridspark.sources import readers
+
+    (tmp_path / "deep dir").mkdir()
+    known = {"a.txt": b"one\ntwo", "deep dir/b %41.txt": bytes(range(256)) * 9000, "packed.gz": b"\x1f\x8bno gzip"}
+    for name, data in known.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "empty.bin").touch()  # not listed
+    size = (2 << 30) + 5
+    with open(tmp_path / "large.dat", "wb") as f:  # a hole but for its end
+        f.truncate(size - 3)
+        f.seek(size - 3)
+        f.write(b"end")
+    want = {n.split("/")[-1]: (len(d), hashlib.md5(d).hexdigest()) for n, d in known.items()}
+    digest = hashlib.md5()
+    for _ in range(2 << 10):
+        digest.update(bytes(1 << 20))
+    digest.update(b"\0\0end")
+    want["large.dat"] = (size, digest.hexdigest())
+    rows = readers.file_inventory(spark, str(tmp_path)).collect()
+    assert {r["filename"]: (r["size_bytes"], r["md5"]) for r in rows} == want
+    assert "md5" not in readers.file_inventory(spark, str(tmp_path), checksum=False).columns
