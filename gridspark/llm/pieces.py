@@ -17,6 +17,7 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(44)
 MEMO = 400_000  # distinct words a task remembers
+WINDOW = 200_000  # characters whose pieces are looked up together
 
 
 @dataclass
@@ -81,37 +82,53 @@ def _hashes(points: np.ndarray, n: int) -> np.ndarray:
     return h * BASE
 
 
-def viterbi(points: np.ndarray, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Best segmentations of equally long words, rows of code points.
-
-    Returns per row and end position the start of the last piece, and its row in the vocabulary (-1: a character without
-    piece).  The score of a segmentation is the sum of its pieces; of equal ones the longer last piece wins.
-    """
+def _starting(points: np.ndarray, vocab: Pieces, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and vocabulary rows of the pieces that start at positions ``lo`` to ``hi - 1``, by length, row and position."""
     n, size = points.shape
-    score = np.full((vocab.longest + 1, n, size), -np.inf)
-    rows = np.full((vocab.longest + 1, n, size), -1, dtype=np.int32)
-    for k in range(1, min(vocab.longest, size) + 1):
-        h = _hashes(points, k)
+    score = np.full((vocab.longest + 1, n, hi - lo), -np.inf)
+    rows = np.full((vocab.longest + 1, n, hi - lo), -1, dtype=np.int32)
+    for k in range(1, min(vocab.longest, size - lo) + 1):
+        part = points[:, lo:hi + k - 1]
+        h = _hashes(part, k)
         w, s = np.nonzero(vocab.present[h >> SHIFT])  # most substrings are no piece and end here
         h = h[w, s]
         at = np.minimum(np.searchsorted(vocab.keys, h), len(vocab.keys) - 1)
         known = (vocab.keys[at] == h) & (vocab.lengths[at] == k)
         w, s, piece = w[known], s[known], at[known]
         # equal hashes are compared character by character
-        same = (points[w[:, None], s[:, None] + np.arange(k)] == vocab.points[piece, :k]).all(axis=1)
+        same = (part[w[:, None], s[:, None] + np.arange(k)] == vocab.points[piece, :k]).all(axis=1)
         w, s, piece = w[same], s[same], piece[same]
         score[k, w, s], rows[k, w, s] = vocab.scores[piece], piece
-    lone = rows[1] < 0
-    score[1][lone] = vocab.unknown
+    score[1][rows[1] < 0] = vocab.unknown
+    return score, rows
+
+
+def viterbi(points: np.ndarray, vocab: Pieces, cells: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Best segmentations of equally long words, rows of code points.
+
+    Returns per row and end position the start of the last piece, and its row in the vocabulary (-1: a character without
+    piece).  The score of a segmentation is the sum of its pieces; of equal ones the longer last piece wins.
+    Pieces are looked up for about ``cells`` starts at a time, so a word of any length holds a few numbers per character.
+    """
+    n, size = points.shape
     best = np.full((n, size + 1), -np.inf)
     best[:, 0] = 0
     start, last = np.zeros((n, size + 1), dtype=np.int32), np.full((n, size + 1), -1, dtype=np.int32)
-    for e in range(1, size + 1):
-        ks = np.arange(min(vocab.longest, e), 0, -1)
-        total = best[:, e - ks] + score[ks, :, e - ks].T
-        pick = total.argmax(axis=1)  # the first maximum, so the longest piece
-        k, i = ks[pick], np.arange(n)
-        best[:, e], start[:, e], last[:, e] = total[i, pick], e - k, rows[k, i, e - k]
+    wide, row = max(vocab.longest, cells // max(n, 1)), np.arange(n)
+    score, rows, base = np.empty((vocab.longest + 1, n, 0)), np.empty((vocab.longest + 1, n, 0), dtype=np.int32), 0
+    for lo in range(0, size, wide):
+        hi = min(lo + wide, size)
+        new_score, new_rows = _starting(points, vocab, lo, hi)
+        tail = min(vocab.longest, lo - base)  # starts before the window whose pieces end in it
+        score = np.concatenate([score[:, :, lo - base - tail:], new_score], axis=2)
+        rows = np.concatenate([rows[:, :, lo - base - tail:], new_rows], axis=2)
+        base = lo - tail
+        for e in range(lo + 1, hi + 1):
+            ks = np.arange(min(vocab.longest, e), 0, -1)
+            total = best[:, e - ks] + score[ks, :, e - ks - base].T
+            pick = total.argmax(axis=1)  # the first maximum, so the longest piece
+            k = ks[pick]
+            best[:, e], start[:, e], last[:, e] = total[row, pick], e - k, rows[k, row, e - k - base]
     return start, last
 
 
@@ -122,7 +139,7 @@ def encode_words(words: list[str], vocab: Pieces) -> list[bytes]:
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for size, where in groups.items():
-        step = max(1, 200_000 // max(size, 1))
+        step = max(1, WINDOW // max(size, 1))
         for s in range(0, len(where), step):
             part = where[s:s + step]
             points = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), size)

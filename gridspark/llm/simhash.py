@@ -91,12 +91,16 @@ class Forest:
                 q, node = np.repeat(q, n), self.child[np.repeat(lo, n) + step]
 
 
-def _link(groups: np.ndarray, home: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of complete groups, ordered by group: each value that has a link with the smallest value it reaches in its group."""
+def _link(groups: np.ndarray, home: np.ndarray, ask: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of complete groups, ordered by group: each value that has a link with the smallest value it reaches in its group.
+
+    Values of ``home`` form the group's tree, which those of ``ask`` search.
+    """
     own = np.flatnonzero(home)
-    has = np.isin(groups, groups[own])
+    if not len(own):
+        return fps[:0], fps[:0]
     forest = Forest(fps[own].view(np.uint64), groups[own])
-    ask = np.flatnonzero(has)
+    ask = np.flatnonzero(ask & np.isin(groups, groups[own]))
     tree = np.searchsorted(np.unique(groups[own]), groups[ask])
     low = np.arange(len(fps))
     for q, v in forest.near(fps[ask].view(np.uint64), tree, radius):
@@ -112,7 +116,8 @@ def near_links(values: DataFrame, radius: int = 2, tree_rows: int = 4096) -> Dat
 
     Of four blocks of bits at least two agree in such a pair, so values meet under each of the six pairs of blocks.
     Those of one key form a shard with a tree of its own, held only by the task that has the shard's queries.  A key with more
-    than ``tree_rows`` values gets several trees, and each of its values searches all of them.
+    than ``tree_rows`` values is cut into shards of about that many, and every two of its shards meet once, one as a tree and one as its
+    queries; so the largest group has about twice ``tree_rows`` values, whatever a key holds.
     """
     import pyarrow as pa
 
@@ -124,21 +129,26 @@ def near_links(values: DataFrame, radius: int = 2, tree_rows: int = 4096) -> Dat
     rows = values.select("fp", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shards = F.ceil(F.col("n") / tree_rows).cast("long")
-    rows = (rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), shards))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
-            .select("key", "shard", "fp", (F.col("own") == F.col("shard")).alias("home")))
-    rows = rows.repartition(partitions(values), "key", "shard").sortWithinPartitions("key", "shard", F.desc("home"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), shards)).withColumn("other", other).select(
+        "key", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asks"), "fp",
+        (F.col("own") <= F.col("other")).alias("home"), (F.col("own") >= F.col("other")).alias("ask"))
+    group = ["key", "tree", "asks"]
+    rows = rows.repartition(partitions(values), *group).sortWithinPartitions(*group, F.desc("home"))
+
+    def _starts(table) -> np.ndarray:
+        """Whether a row is the first of its group."""
+        cols = [table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[c].to_numpy() for c in group]
+        return np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))
 
     def run(batches: Iterator) -> Iterator:
         for batch in _complete(batches):
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "shard", "fp", "home")]
-            key, shard, fps, home = cols
-            group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))))
-            a, b = _link(group, home, np.ascontiguousarray(fps), radius)
+            home, ask, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "ask", "fp"))
+            a, b = _link(np.cumsum(_starts(batch)) - 1, home, ask, np.ascontiguousarray(fps), radius)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     def _complete(batches: Iterator, least: int = 50_000) -> Iterator:
-        """Batches cut between shards; a shard is bounded by the rows of its key."""
+        """Batches cut between groups."""
         held: list = []
         count = 0
         for batch in batches:
@@ -147,8 +157,7 @@ def near_links(values: DataFrame, radius: int = 2, tree_rows: int = 4096) -> Dat
             if count < least:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            key, shard = table["key"].to_numpy(), table["shard"].to_numpy()
-            cut = int(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))))[-1])
+            cut = int(np.flatnonzero(_starts(table))[-1])
             if cut:
                 yield table.slice(0, cut).combine_chunks().to_batches()[0]
             held = table.slice(cut).to_batches()

@@ -23,6 +23,11 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, error
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components to 0.5 .. 1: no bit is lost, and no square overflows or vanishes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of two int8 tiles; float32 holds every partial sum up to 2^24 exactly."""
     block = (1 << 24) // (127 * 127)
@@ -41,6 +46,7 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     With x = x' + e, where x' is the int8 form, x.y = x'.y' + x'.f + e.y, so the product of the int8 forms
     misses the cosine by at most (1 + |e|) |f| + |e|.  Only pairs that may reach ``least`` are recomputed.
     """
+    a, b = scaled(a), scaled(b)
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     qa, sa, ea = quantise(a / na[:, None])
     qb, sb, eb = quantise(b / nb[:, None])
@@ -81,9 +87,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tile: int = 2048) -
         F.min("vec_id").alias("low"), F.count("*").alias("copies")), "vector_nodes")
     # a fixed direction: signs from a hash of the position, so the projection is at most 1 in size
     sign = lambda i: F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    dot = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * sign(i)), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    placed = nodes.select("node", "label", "embedding", "copies", F.size("embedding").alias("dim"),
+    large = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    # divided by the largest component, bound once per row, as squares of tiny or huge values would be lost
+    shape = F.transform(F.array(large), lambda m: F.transform("embedding", lambda x: x.cast("double") / m))[0]
+    formed = nodes.withColumn("shape", shape)
+    dot = F.aggregate(F.transform("shape", lambda x, i: x * sign(i)), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate("shape", F.lit(0.0), lambda s, x: s + x * x))
+    placed = formed.select("node", "label", "embedding", "copies", F.size("embedding").alias("dim"),
                           F.floor(dot / norm / F.sqrt(F.size("embedding").cast("double")) / F.lit(STEP)).alias("bucket"))
     group = ["label", "dim", "bucket"]
     counts = placed.groupBy(*group).agg(F.count("*").alias("n"))

@@ -398,3 +398,35 @@ def test_several_passages_count_together():
     one, two = toxicity._combined([9.0], 100, model), toxicity._combined([9.0, 8.9], 100, model)
     assert one == 9 - np.log(100) and two > one
     assert toxicity._combined([9.0, 4.0], 100, model) == one and toxicity._combined([], 100, model) == -np.log(100)
+
+
+def test_tiny_and_huge_vectors(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(4, 8))
+    sizes = [1.0, 1e-200, 1e200, 1e-305, 1e300]
+    rows = [(10 * k + s, (base[k] * size).tolist(), 1) for k in range(4) for s, size in enumerate(sizes)] + [(90, [5e-324, 0.0], 1), (91, [1e300, 1.0], 1)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vectors.near_duplicates(docs, tile=4).collect()}
+    assert got == {**{v: (4, v - v % 10) for v, *_ in rows[:20]}, 90: (1, 90), 91: (1, 90)}
+
+
+def test_long_words_are_segmented_by_windows():
+    import tracemalloc
+
+    vocab = pieces.load(PIECE_MODEL)
+    r = np.random.default_rng(5)
+    pool = np.frombuffer("".join(WORDS).encode("utf-32-le"), dtype=np.uint32)
+    for n, size in ((3, 700), (1, 2000), (40, 90)):
+        points = r.choice(pool, (n, size))
+        points[:, 100:160] = ord("a")
+        whole = pieces.viterbi(points, vocab, 10**6)
+        for cells in (1, 50 * n, 64 * n + 1):
+            assert all((x == y).all() for x, y in zip(pieces.viterbi(points, vocab, cells), whole))
+    peaks = []
+    for size in (20_000, 60_000):  # both longer than a window
+        points = r.choice(pool, (1, size))
+        tracemalloc.start()
+        pieces.viterbi(points, vocab, 5000)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 40_000 * 30
