@@ -118,10 +118,11 @@ def viterbi(points: np.ndarray, vocab: Pieces, cells: int = WINDOW) -> tuple[np.
     score, rows, base = np.empty((vocab.longest + 1, n, 0)), np.empty((vocab.longest + 1, n, 0), dtype=np.int32), 0
     for lo in range(0, size, wide):
         hi = min(lo + wide, size)
-        new_score, new_rows = _starting(points, vocab, lo, hi)
         tail = min(vocab.longest, lo - base)  # starts before the window whose pieces end in it
-        score = np.concatenate([score[:, :, lo - base - tail:], new_score], axis=2)
-        rows = np.concatenate([rows[:, :, lo - base - tail:], new_rows], axis=2)
+        old = score[:, :, lo - base - tail:], rows[:, :, lo - base - tail:]
+        score, rows = _starting(points, vocab, lo, hi)
+        if tail:
+            score, rows = np.concatenate([old[0], score], axis=2), np.concatenate([old[1], rows], axis=2)
         base = lo - tail
         for e in range(lo + 1, hi + 1):
             ks = np.arange(min(vocab.longest, e), 0, -1)
