@@ -110,6 +110,8 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 #: Stores that tasks open by themselves, and what the opener calls them.
 STREAMED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 CHUNK = 1 << 20  # bytes of a file held at a time
+SMALL = 4 << 20  # bytes; the scan counts the opening of a file as so many
+TASK_FILES, TASK_BYTES = 1000, 128 << 20  # that a task reads on average where files are small
 
 
 def _open(path: str):
@@ -136,12 +138,22 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(md5=sums)
 
 
+def _by_tasks(listed: DataFrame) -> DataFrame:
+    """Listed files, dealt out anew if they are small: the scan takes few a task then, and a Python task costs more than those."""
+    slots = listed.sparkSession.sparkContext.defaultParallelism
+    files, size = listed.coalesce(4 * slots).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if size >= files * SMALL:
+        return listed
+    return listed.repartition(max(-(-files // TASK_FILES), -(-size // TASK_BYTES), min(files, slots)))
+
+
 def file_inventory(spark: SparkSession, folder: str, glob: str = "*", checksum: bool = True) -> DataFrame:
     """Name, size, modification time, type and MD5 of every file in a folder.
 
     Without ``checksum`` the contents are not read.  Tasks get paths and read their files in chunks, so a file may have
-    any size; the scan deals files to tasks by size.  Files of stores outside ``STREAMED`` are read by Spark as rows,
-    which holds for files up to 2 GB each.  Spark's file sources pass over files without bytes, so those are not listed.
+    any size; the scan deals files to tasks by size, and small ones are brought together.  Files of stores outside
+    ``STREAMED`` are read by Spark as rows, which holds for files up to 2 GB each.  Spark's file sources pass over files
+    without bytes, so those are not listed.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(folder))
@@ -150,7 +162,7 @@ def file_inventory(spark: SparkSession, folder: str, glob: str = "*", checksum:
         md5 = ["md5"]
         head = listed.select("path").first()
         if head is None or head["path"].split(":")[0] in STREAMED:
-            listed = listed.mapInPandas(_digests, "path string, modificationTime timestamp, length long, md5 string")
+            listed = _by_tasks(listed).mapInPandas(_digests, "path string, modificationTime timestamp, length long, md5 string")
         else:
             listed = files.withColumn("md5", F.md5("content")).drop("content")
     name = F.element_at(F.split("path", "/"), -1)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.frames import as_scalar, bind, one_of, one_row, time_number
+from gridspark.functions.frames import as_scalar, bind, one_of, one_row, spread, time_number
 from gridspark.functions.quantiles import percentiles
 
 STATS_SCHEMA = "feature string, mean double, std double, min double, max double, median double"
@@ -130,3 +133,46 @@ def write_forecast(df: DataFrame, folder: str, stamp: str | None = None) -> str:
 def export_history(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """Chosen columns of the records as CSV."""
     df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).csv(path)
+
+
+FOLDER_FILES = 1000   # of a folder of ``write_line_files``
+
+
+def _line_files(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's rows as files under a hidden folder of this attempt; gives the name the folder is to get."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, folder, n = uuid.uuid4().hex, "", 0
+        for batch in batches:
+            for line in batch["line"]:
+                if n % FOLDER_FILES == 0:
+                    os.makedirs(folder := f"{path}/_{name}/{n // FOLDER_FILES}")
+                with open(f"{folder}/{n}.txt", "wb") as file:
+                    file.write((b"" if line is None else bytes(line)) + b"\n")
+                n += 1
+        if n:
+            yield pd.DataFrame({"name": [name]})
+
+    return write
+
+
+def write_line_files(df: DataFrame, path: str) -> None:
+    """Each row of a one-column text table as a line in a text file of its own.
+
+    Files cost more than rows, so all tasks share them.  In a folder that every task mounts (``file:``) tasks write by themselves, as
+    Spark's writer takes milliseconds per file there; each attempt has a hidden folder, and those of the attempts that count get
+    their names in the end, so a repeated task leaves no second copy.  Other stores go through Spark's writer.
+    """
+    spark, (text,) = df.sparkSession, df.columns
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file":
+        spread(df).write.option("maxRecordsPerFile", 1).text(path)
+        return
+    if store.exists(place):
+        raise FileExistsError(path)
+    store.mkdirs(place)
+    lines = spread(df.select(F.col(text).cast("binary").alias("line")))
+    for row in lines.mapInPandas(_line_files(place.toUri().getPath()), "name string").collect():  # one per task
+        hidden, shown = (spark._jvm.org.apache.hadoop.fs.Path(place, f"{x}{row['name']}") for x in ("_", ""))
+        if not store.rename(hidden, shown):
+            raise OSError(f"not renamed: {hidden}")

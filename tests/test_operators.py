@@ -487,3 +487,67 @@ def test_file_digests_come_from_the_bytes_and_hold_above_two_gigabytes(spark, tm
     rows = readers.file_inventory(spark, str(tmp_path)).collect()
     assert {r["filename"]: (r["size_bytes"], r["md5"]) for r in rows} == want
     assert "md5" not in readers.file_inventory(spark, str(tmp_path), checksum=False).columns
+
+
+def test_small_files_come_together_in_tasks_by_their_number(spark, tmp_path):
+    import hashlib
+
+    from gridspark.sources import readers
+
+    known = {f"{i}.txt": f"file {i}\n".encode() * (1 + i % 3) for i in range(600)}
+    for name, data in known.items():
+        (tmp_path / name).write_bytes(data)
+    listed = readers.file_inventory(spark, str(tmp_path))
+    assert listed.rdd.getNumPartitions() == 8  # a task per core; the scan alone makes 19
+    assert {r["filename"]: (r["size_bytes"], r["md5"]) for r in listed.collect()} == {
+        n: (len(d), hashlib.md5(d).hexdigest()) for n, d in known.items()}
+
+
+def test_line_files_hold_a_row_each_and_come_from_all_tasks(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    import pandas as pd
+
+    from gridspark.sources import readers, sinks
+
+    texts = ["a|1", "a|1", None, "", "two\nlines", "\u00fc \u20ac", *map(str, range(94))]
+    want = Counter(((x or "") + "\n").encode() for x in texts)
+    rows = spark.createDataFrame([(x,) for x in texts], "v string").coalesce(1)
+    held = lambda at: Counter(f.read_bytes() for f in at.rglob("[!.]*.txt"))
+    sinks.write_line_files(rows, str(tmp_path / "plain"))
+    assert held(tmp_path / "plain") == want
+    assert len([*(tmp_path / "plain").iterdir()]) == 4  # tasks
+    with pytest.raises(FileExistsError):
+        sinks.write_line_files(rows, str(tmp_path / "plain"))
+
+    # what a lost attempt has written is not listed, and another attempt does not touch it
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 2)
+    lost = [[*sinks._line_files(str(tmp_path / "plain"))(iter([pd.DataFrame({"line": [b"x", b"y", b"z"]})]))] for _ in range(2)]
+    folders = [tmp_path / "plain" / f"_{x['name'][0]}" for (x,) in lost]
+    assert all(sorted(str(f.relative_to(d)) for f in d.rglob("*.txt")) == ["0/0.txt", "0/1.txt", "1/2.txt"] for d in folders)
+    assert readers.file_inventory(spark, str(tmp_path / "plain")).count() == len(texts)
+
+    sinks.write_line_files(rows.limit(0), str(tmp_path / "none"))
+    assert readers.file_inventory(spark, str(tmp_path / "none")).count() == 0
+
+    # a store that only Spark writes to
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./out", f"file://{tmp_path}")
+    sinks.write_line_files(rows, "viewfs://store/out/far")
+    assert held(tmp_path / "far") == want
+    assert len({f.name[:10] for f in (tmp_path / "far").glob("part-*")}) == 4
+
+
+def test_src_6_digests_writes_its_files_from_all_tasks(spark, tmp_path, monkeypatch):
+    import hashlib
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from gridspark.checks import grid_queries
+
+    rows = [("one", 1), ("one", 1), (None, 2), ("no key", None), (None, None), *((f"s{i}", i) for i in range(50))]
+    spark.createDataFrame(rows, "s_name string, s_suppkey int").coalesce(1).write.parquet(str(tmp_path / "in/supplier.parquet"))
+    monkeypatch.setattr(grid_queries, "shared_folder", lambda *_: str(tmp_path / "files"))
+    got = entry.queries()["src_6_digests"](spark, str(tmp_path / "in")).collect()
+    texts = [("|".join(str(x) for x in r if x is not None) + "\n").encode() for r in rows]
+    assert Counter(map(tuple, got)) == Counter((len(t), "txt", hashlib.md5(t).hexdigest()) for t in texts)
+    assert len([x for x in (tmp_path / "files").iterdir() if x.is_dir()]) == 4  # tasks
